@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sluice.llm import secrets
+
 WORDS = r"regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+')"
 N_WORDS = f"len(list_filter({WORDS}, lambda w: w <> ''))"
 
@@ -30,4 +32,27 @@ SELECT d.doc_id, d.size, d.source_size, d.target, (d.size * (floor(d.rate)::BIGI
 FROM draws d JOIN chosen c ON d.source IS NOT DISTINCT FROM c.source AND d.j = c.j
 """
 
-ORACLES = {"op4_mixing": OP4}
+
+def _spans(kind: str, order: int, pattern: str, group: int = 0, keep: str = "true") -> str:
+    """Rows (doc_id, start, order, end, kind) of a pattern's matches, as places between the pieces that splitting leaves."""
+    p = pattern.replace("'", "''")
+    return f"""
+    SELECT doc_id, q + sum(length(p)) OVER w + coalesce(sum(length(m)) OVER v, 0) AS s, {order} AS ord, q + sum(length(p)) OVER w + sum(length(m)) OVER w AS e, '{kind}' AS kind, {keep} AS keep
+    FROM (SELECT doc_id, 0 AS q, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(g) AS g, unnest(p[1:len(m)]) AS p
+          FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, regexp_extract_all(text, '{p}', {group}) AS g, regexp_split_to_array(text, '{p}') AS p
+                FROM documents WHERE regexp_matches(text, '{p}')))
+    WINDOW w AS (PARTITION BY doc_id ORDER BY i), v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+
+
+def _op1() -> str:
+    found = " UNION ALL ".join(_spans(r.kind, i, r.pattern, r.group, f"length(g) >= {r.least}") for i, r in enumerate(secrets.RULES))
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in secrets.BASE)
+    text = "concat_ws(':', kind, s::BIGINT::VARCHAR, e::BIGINT::VARCHAR)"
+    return f"""
+    WITH found AS (SELECT * FROM ({found}) WHERE keep),
+    per AS (SELECT doc_id, {counts}, string_agg({text}, ',' ORDER BY s, ord) FILTER (ord < {len(secrets.BASE)}) AS base, string_agg({text}, ',' ORDER BY s, ord) AS spans FROM found GROUP BY doc_id)
+    SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents d LEFT JOIN per USING (doc_id)"""
+
+
+ORACLES = {"op1_secrets": _op1(), "op4_mixing": OP4}
