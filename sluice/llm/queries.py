@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, mixing, secrets, sharding, toxicity
+from sluice.llm import fingerprints, mixing, quality, secrets, sharding, toxicity
 from sluice.llm.common import documents
 
 
@@ -13,6 +13,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.copies(documents(spark, sf_dir))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -34,4 +39,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op4_mixing, op6_sharding, op9_fingerprints, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_mixing, op6_sharding, op9_fingerprints, op10_toxicity)}
