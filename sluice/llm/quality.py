@@ -38,7 +38,7 @@ RULES = (
     Rule("letters", _share("n_marks", "word_chars"), 0.06, 0.1),
     Rule("starts", _share("n_starts", "n_words"), 0.35, 0.6),
     Rule("capitals", _share("n_capital_runs", "n_words"), 0.1, 0.4),
-    Rule("repeats", _share("n_repeat_words", "n_words"), 0.1, 0.2),
+    Rule("repeats", _share("n_repeat_words", "n_words"), 0.1, 0.3),
     Rule("runs", _share("n_runs", "n_words"), 0.03, 0.2),
     Rule("lines", _share("n_dup_lines", "n_lines"), 0.1, 0.3),
     Rule("variety", _share("n_distinct", "n_words"), 0.3, 0.15),
