@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, mixing, quality, secrets, sharding, toxicity
+from sluice.llm import fingerprints, mixing, privacy, quality, secrets, sharding, toxicity
 from sluice.llm.common import documents
 
 
@@ -23,6 +23,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(privacy.find(documents(spark, sf_dir)))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(documents(spark, sf_dir))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
@@ -39,4 +43,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_mixing, op6_sharding, op9_fingerprints, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_mixing, op5_privacy, op6_sharding, op9_fingerprints, op10_toxicity)}
