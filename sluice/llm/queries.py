@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, language_model, mixing, privacy, quality, secrets, sharding, toxicity
+from sluice.llm import fingerprints, language_model, mixing, privacy, quality, secrets, sharding, similarity, toxicity
 from sluice.llm.common import documents
 
 
@@ -39,6 +39,10 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, model).select("doc_id", language_model.held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.totals["n"]).cast("long").alias("train_tokens"), "base_score", "score", perplexity)
 
 
+def op8_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.groups(documents(spark, sf_dir), k=4, percent=85)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(documents(spark, sf_dir))
 
@@ -50,4 +54,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_mixing, op5_privacy, op6_sharding, op7_language_model, op9_fingerprints, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_mixing, op5_privacy, op6_sharding, op7_language_model, op8_similarity, op9_fingerprints, op10_toxicity)}
