@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, language_model, mixing, privacy, quality, secrets, sharding, similarity, toxicity
+from sluice.llm import fingerprints, language_model, mixing, pieces, privacy, quality, secrets, sharding, similarity, toxicity
 from sluice.llm.common import documents
 
 
@@ -13,6 +13,13 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(documents(spark, sf_dir)))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each text, and whether decoding them gives the text again (a mark for a space in the text is read as a space)."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.xxhash64(F.replace("text", F.lit(pieces.MARK), F.lit(" "))).alias("text_key"))
+    out = pieces.decode(pieces.encode(docs))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("decoded") == F.col("text_key")).alias("round_trip"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
@@ -54,4 +61,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op3_quality, op4_mixing, op5_privacy, op6_sharding, op7_language_model, op8_similarity, op9_fingerprints, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pieces, op3_quality, op4_mixing, op5_privacy, op6_sharding, op7_language_model, op8_similarity, op9_fingerprints, op10_toxicity)}
