@@ -1,13 +1,44 @@
-"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, encoding."""
+"""The corpus pipeline: toxicity, near duplicates, personal data, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluice.llm import mixing, pieces, privacy, similarity, toxicity
 from sluice.llm.common import documents, written
 
-STAGES: list = []
-#: SQL can't express the stages.
+
+def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that score 0.7 or more; learns from the labels of two thirds of the ids."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out())
+    return toxicity.clean(docs, toxicity.train(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of texts that links of likeness 0.8 or more in five-word shingles make."""
+    return similarity.one_of_each(docs, k=5, percent=80)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts [kind] for each span of personal data."""
+    return privacy.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target asks."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids of pieces instead of their texts."""
+    return pieces.encode(docs)
+
+
+STAGES = [("toxicity", clean_language), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mixing", mix), ("encoding", encode)]
+#: SQL can't express the stages; they are tested against plain versions.
 ORACLE_SQL = None
 
 

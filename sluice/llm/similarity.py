@@ -275,3 +275,14 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 3, most
     named = labels.join(ids, "comp").select("node", "component_id")
     out = sets.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
+    """docs with one document of each group of like ones: that of the least doc_id, and of rows alike one.
+
+    Rows with a null doc_id stay, as no group can name them.
+    """
+    grouped = groups(docs, k, percent, **how)
+    kept = grouped.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept")).withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

@@ -159,6 +159,23 @@ class _Score:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(bad, spans)], ["doc_id", "score", "sentences"])
 
 
+class _Clean:
+    def __init__(self, scorer: _Score, limit: float):
+        self.scorer, self.limit = scorer, limit
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            filled = whole.set_column(whole.schema.get_field_index("text"), "text", whole.column("text").fill_null(""))
+            for batch, own in zip(parts(filled, "text"), parts(whole, "text")):
+                scored = next(self.scorer(iter([batch])))
+                yield own.filter(pa.array(scored.column("score").to_numpy() < self.limit))
+
+
+def clean(docs: DataFrame, model: tuple[np.ndarray, float], limit: float = 0.7) -> DataFrame:
+    """The rows of docs whose score is under limit, as they are. Null and empty texts score as one plain sentence."""
+    return docs.mapInArrow(_Clean(_Score(*model, 2.0), limit), docs.schema)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5) -> DataFrame:
     """(doc_id, score, sentences) of each document: the noisy-or of its sentences, and the spans (code points, end
     exclusive) and scores of those of `least` or more. An empty or null text scores as one plain sentence."""
