@@ -16,23 +16,24 @@ class Rule(NamedTuple):
     """Votes for (1) above or below `good`, against (-1) beyond `bad`, and else abstains (0)."""
 
     name: str
-    value: Column
+    value: str  # SQL
     good: float
     bad: float
 
     def vote(self) -> Column:
+        value = F.expr(self.value)
         if self.good <= self.bad:
-            return F.when(self.value <= self.good, 1).when(self.value > self.bad, -1).otherwise(0)
-        return F.when(self.value >= self.good, 1).when(self.value < self.bad, -1).otherwise(0)
+            return F.when(value <= self.good, 1).when(value > self.bad, -1).otherwise(0)
+        return F.when(value >= self.good, 1).when(value < self.bad, -1).otherwise(0)
 
 
-def _share(a: str, b: str) -> Column:
-    return F.col(a) / F.greatest(F.col(b), F.lit(1))
+def _share(a: str, b: str) -> str:
+    return f"{a} / greatest({b}, 1)"
 
 
 #: Most kinds of junk show in several of these, so that rules can confirm each other.
 RULES = (
-    Rule("long", F.col("n_words"), 60, 25),
+    Rule("long", "n_words", 60, 25),
     Rule("symbols", _share("n_symbols", "n_words"), 0.05, 0.3),
     Rule("odd_words", _share("n_odd_words", "n_words"), 0.1, 0.3),
     Rule("letters", _share("n_marks", "word_chars"), 0.06, 0.1),
@@ -42,7 +43,7 @@ RULES = (
     Rule("runs", _share("n_runs", "n_words"), 0.03, 0.2),
     Rule("lines", _share("n_dup_lines", "n_lines"), 0.1, 0.3),
     Rule("variety", _share("n_distinct", "n_words"), 0.3, 0.15),
-    Rule("word_length", F.abs(_share("word_chars", "n_words") - 6.5), 4.0, 9.0),
+    Rule("word_length", f"abs({_share('word_chars', 'n_words')} - 6.5)", 4.0, 9.0),
 )
 #: Counted as pieces of the text that these part: words with more after a mark or with a mark first, words that do not start small.
 COUNTED = {
