@@ -171,8 +171,19 @@ class _Decode:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(self.model).lib
-        for batch in batches:
-            yield batch.append_column("decoded", pa.array([None if x is None else pieces.decode(x) for x in batch.column("ids").to_pylist()], pa.string()))
+        for whole in batches:
+            for batch in _slices(whole):
+                yield batch.append_column("decoded", pa.array([None if x is None else pieces.decode(x) for x in batch.column("ids").to_pylist()], pa.string()))
+
+
+def _slices(batch: pa.RecordBatch, most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about `most` ids each, so that a worker never holds all ids of a batch as Python numbers."""
+    sizes = np.cumsum(batch.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 class _Chunks:
