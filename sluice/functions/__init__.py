@@ -1 +1 @@
-"""Part of sluice: see the package docstring."""
+"""Schemas and column expressions that the operators share."""

@@ -1 +1 @@
-"""Part of sluice: see the package docstring."""
+"""Operators over decoded events and target tables; each takes and returns DataFrames."""

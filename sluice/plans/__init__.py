@@ -1 +1 @@
-"""Part of sluice: see the package docstring."""
+"""Whole pipelines, and the registered queries with their SQL."""

@@ -1 +1 @@
-"""Part of sluice: see the package docstring."""
+"""Reading and writing: change feeds, target tables, payloads."""

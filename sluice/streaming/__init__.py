@@ -1 +1 @@
-"""Part of sluice: see the package docstring."""
+"""Structured Streaming: the pipeline over micro-batches, and stateful operators."""
