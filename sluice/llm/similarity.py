@@ -209,25 +209,32 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Whether two rows of a token can be of a pair that is like enough: by size, by the token's places, by signature."""
+def _placed(a: str, b: str, percent: int) -> Column:
+    """Whether two rows of a token can be of a pair that is like enough, by their sizes and the token's places in them."""
+    c = lambda x, y: F.col(f"{x}.{y}")
+    need = F.ceil((c(a, "n") + c(b, "n")) * percent / (100 + percent) - 1e-9)
+    return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (1 + F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place")) >= need)
+
+
+def _signed(a: str, b: str, percent: int) -> Column:
+    """Whether two sets can be like enough, by their sizes and signatures."""
     c = lambda x, y: F.col(f"{x}.{y}")
     total = c(a, "n") + c(b, "n")
-    need = F.ceil(total * percent / (100 + percent) - 1e-9)
     apart = sum((F.bit_count(c(a, f"s{i}").bitwiseXOR(c(b, f"s{i}"))) for i in range(SIGNATURE)), F.lit(0))
-    return (F.least(c(a, "n"), c(b, "n")) * 100 >= F.greatest(c(a, "n"), c(b, "n")) * percent) & (1 + F.least(c(a, "n") - c(a, "place"), c(b, "n") - c(b, "place")) >= need) & (apart <= total - 2 * need)
+    return apart <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
 
 
-def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 3, most_broadcast: int = 500_000) -> DataFrame:
+def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crowd: int = 16, most_broadcast: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs.
 
     Two rows link if their sets of distinct k-word shingles have a Jaccard likeness of percent / 100 or more; component_id is the
     least doc_id that links reach. All links between different sets are found or lie within a component that is found:
 
     Rows with one set are one node. The first shingles of each set in a global order (rare ones first, by a sketch of
-    all counts) are its prefix; like sets share a token there. In each round every node of a token is compared with one
-    node, drawn anew each round, which joins large groups in few pairs. Then all pairs of a token whose components still
-    differ are compared, so no link is lost. Sizes, places of the token and signatures rule pairs out inside the join;
+    all counts) are its prefix; like sets share a token there. All pairs of a token that up to `crowd` nodes share are
+    candidates. A larger crowd goes in rounds: every node is compared with one, first the one with the most shared tokens,
+    then a drawn one, which joins large groups in few pairs; then all pairs of which the components still differ
+    are candidates, so no link is lost. Sizes, places of the token and signatures rule pairs out before
     what is left is compared as whole sets, after the prefixes in other orders.
 
     Empty and null texts link with nothing and have their own doc_id; a null doc_id counts as greater than all. Extra
@@ -237,39 +244,44 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 3, most
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = written(docs.mapInArrow(_Sets(k), _ROWS))
     levels = spark.sparkContext.broadcast(_sketch(rows).tobytes())
-    sets = rows.filter("block IS NULL")
-    nodes = written(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(f"s{i}").alias(f"s{i}") for i in range(SIGNATURE)]))
-    prefixes = docs.mapInArrow(_Prefixes(k, percent, levels), "token long, node long, n long, place long").dropDuplicates(["token", "node"])
-    shared = written(prefixes.withColumn("times", F.count("*").over(Window.partitionBy("token"))).filter("times > 1").select("token", "node", "place"))
+    sets, signs = rows.filter("block IS NULL"), [f"s{i}" for i in range(SIGNATURE)]
+    nodes = written(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in signs]))
+    by_token = Window.partitionBy("token")
+    # one exchange by token serves both the distinct rows and their number
+    prefixes = docs.mapInArrow(_Prefixes(k, percent, levels), "token long, node long, n long, place long").repartition("token").dropDuplicates(["token", "node"])
+    shared = written(prefixes.withColumn("times", F.count("*").over(by_token)).filter("times > 1"))
+    crowded = written(shared.filter(F.col("times") > crowd).drop("times", "n").join(nodes.drop("doc_id"), "node").withColumn("tokens", F.count("*").over(Window.partitionBy("node"))))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct())
         wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").filter("doc_id IS NOT NULL").select("doc_id", "node"))
         few = wanted.count() <= most_broadcast
         loaded = written(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(_Load(k), "node long, set binary").dropDuplicates(["node"]))
         both = pairs.join(loaded.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(loaded.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(percent, levels), "a long, b long")
-
-    def labelled(found: DataFrame | None) -> DataFrame:
-        """The shared tokens with what is known of their nodes, where a token's nodes are of several components."""
-        known = nodes.drop("doc_id")
-        if found is None:
-            return shared.join(known, "node").withColumn("comp", F.col("node"))
-        known = known.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        by_token = Window.partitionBy("token")
-        out = shared.join(known, "node").withColumn("low", F.min("comp").over(by_token)).withColumn("high", F.max("comp").over(by_token))
-        return out.filter("low <> high").drop("low", "high")
-
-    links, found = None, None
+        return written(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(percent, levels), "a long, b long"))
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return written(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+
+    few = shared.filter(F.col("times") <= crowd)
+    pairs = ordered(few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _placed("x", "y", percent)))
+    x, y = (nodes.select(F.col("node").alias(c), F.struct("n", *signs).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    links = verified(written(pairs.join(x, "a").join(y, "b").filter(_signed("x", "y", percent)).select("a", "b")))
+    found = components(links)
+
+    def differing() -> DataFrame:
+        """The crowds with the components of their nodes, where these differ."""
+        known = crowded.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return known.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token)}).filter("low <> high").drop("low", "high")
+
+    columns = ["node", "comp", "n", "place", *signs]
     for i in range(rounds):
-        drawn = F.struct(F.xxhash64("node", F.lit(i)).alias("draw"), "node", "comp", "n", "place", *[f"s{j}" for j in range(SIGNATURE)])
-        star = labelled(found).withColumn("x", F.struct(*["node", "comp", "n", "place", *[f"s{j}" for j in range(SIGNATURE)]])).withColumn("y", F.min(drawn).over(Window.partitionBy("token")))
-        new = verified(star.filter("x.comp <> y.comp").filter(_may_link("x", "y", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
-        links = written(new if links is None else new.union(links))
+        draw = (F.col("n") - F.col("tokens")) / F.col("n") if i == 0 else F.xxhash64("node", F.lit(i)).cast("double")
+        star = differing().withColumn("y", F.min(F.struct(draw.alias("draw"), *columns)).over(by_token)).withColumn("x", F.struct(*columns))
+        links = written(links.union(verified(ordered(star.filter("x.comp <> y.comp").filter(_placed("x", "y", percent) & _signed("x", "y", percent))))))
         found = components(links)
-    left = written(labelled(found))
-    rest = left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent))
-    found = components(verified(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))).union(links))
+    left = written(differing())
+    rest = left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _placed("x", "y", percent) & _signed("x", "y", percent))
+    found = components(verified(ordered(rest)).union(links))
     labels = written(nodes.select("node", "doc_id").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     ids = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(ids, "comp").select("node", "component_id")
