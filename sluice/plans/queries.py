@@ -633,7 +633,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.collected(stateful.drop_stale(e), shared_folder(spark)).groupBy("key").agg(F.max("ts").alias("last_ts"))
 
 
-@query(_WINDOWS.replace("FROM events", "FROM (SELECT *, max(ts) OVER () AS newest FROM events) WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= newest - INTERVAL 40 DAY + INTERVAL 39 DAY"))
+@query(_WINDOWS.replace("FROM events", "FROM (SELECT *, max(ts) OVER () AS newest FROM events) WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= newest - INTERVAL 1 DAY"))
 def stream_window(spark: SparkSession, sf: str) -> DataFrame:
     """Windows that the watermark (a day, since files come in any order) has passed; the rest of the last day stays in state."""
     from sluice.streaming import pipeline
