@@ -19,6 +19,12 @@ _BLOCK = 64  # chunks whose matrices are combined first
 State = tuple[int, int]  # a piece's start and end around a boundary
 
 
+def library(model: bytes):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_proto=model)
+
+
 class Pieces:
     """A SentencePiece BPE model, and which pieces may follow which.
 
@@ -28,9 +34,7 @@ class Pieces:
     """
 
     def __init__(self, model: bytes):
-        import sentencepiece
-
-        self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.lib = library(model)
         n = self.lib.get_piece_size()
         plain = [i for i in range(n) if not (self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i) or self.lib.is_unused(i))]
         self.ids = {self.lib.id_to_piece(i): i for i in plain}
@@ -158,7 +162,7 @@ class _Encode:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(self.model).lib
+        pieces = library(self.model)
         for whole in batches:
             for batch in parts(whole, "text"):
                 ids = pieces.encode(batch.column("text").to_pylist(), num_threads=1)
@@ -170,7 +174,7 @@ class _Decode:
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(self.model).lib
+        pieces = library(self.model)
         for whole in batches:
             for batch in _slices(whole):
                 yield batch.append_column("decoded", pa.array([None if x is None else pieces.decode(x) for x in batch.column("ids").to_pylist()], pa.string()))
@@ -288,7 +292,7 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = 65_536, chunk: int
     states = matrices.join(borders, ["key", "block"]).groupBy("key", "block").applyInArrow(_within, "key string, at long, start long, end long")
     traced = chunks.join(states, ["key", "at"]).mapInArrow(_Backtrace(proto), "key string, at long, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    large = large.join(whole, F.col("_key") == F.col("key")).select(*columns, "ids")
+    large = large.join(whole.select(F.col("key").alias("_key"), F.col("ids").alias("_ids")), "_key").select(*columns, F.col("_ids").alias("ids"))
     none = docs.filter("text IS NULL").select(*columns, F.lit(None).cast("array<int>").alias("ids"))
     return small.unionByName(large).unionByName(none)
 
