@@ -143,7 +143,7 @@ def test_sharding(spark):
     assert max(loads) < 1.05 * min(loads) and max(map(len, shards.values())) < 1.2 * min(map(len, shards.values()))
     small = collections.defaultdict(set)
     for r in rows:
-        if r["doc_id"] >= 900:
+        if r["doc_id"] >= 900 and r["size"] < 100:  # groups of longer texts are hot here
             small[texts[r["doc_id"]]].add(r["shard"])
     assert all(len(s) == 1 for s in small.values())
 
