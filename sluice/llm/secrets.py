@@ -99,9 +99,9 @@ def trigram_query(pattern: str) -> Query:
 
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """The inverted index (trigram, doc_id) of the texts in lower case, for the trigrams that some query names."""
-    low = F.lower(F.col("text"))
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in trigrams]))
-    return docs.select("doc_id", F.explode(found).alias("trigram"))
+    found = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]))
+    # explode() would add a filter on the size of the array, and so look for every trigram twice
+    return docs.select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode_outer(found).alias("trigram")).filter("trigram IS NOT NULL")
 
 
 def candidates(postings: DataFrame, queries: dict[str, Query]) -> DataFrame:
