@@ -39,6 +39,15 @@ def _sentences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.searchsorted(ends, start, "right") - 1, sentence[start] if len(buf) else start, features.astype(np.int64), ends, sentence
 
 
+def _distinct(sentence: np.ndarray, features: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a word, feature) of the chosen features, each once in a sentence however often it is said, in order of the words."""
+    rows, columns = np.nonzero(chosen)
+    own = features[rows, columns].astype(np.int64)
+    _, first = np.unique(sentence[rows].astype(np.int64) * FEATURES + own, return_index=True)
+    first.sort()
+    return rows[first], own[first]
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic, documents that have it) of each batch."""
     for whole in batches:
@@ -63,10 +72,10 @@ class _Compact:
             for batch in parts(whole, "text"):
                 doc, sentence, features, ends, sentence_at = _sentences(batch.column("text"))
                 at = place[features]
-                rows, columns = np.nonzero(at >= 0)
+                rows, own = _distinct(sentence, at, at >= 0)
                 cut = np.searchsorted(doc[rows], np.arange(len(batch) + 1))
                 lengths = [(sentence_at[b - 1] - sentence_at[a] + 1) if b > a else 0 for a, b in zip(ends, ends[1:])]
-                s, f = sentence[rows].astype(np.int32), at[rows, columns]
+                s, f = sentence[rows].astype(np.int32), own.astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("toxic").cast(pa.int32()), pa.array(lengths, pa.int32()), pa.array([s[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int32())), pa.array([f[a:b] for a, b in zip(cut, cut[1:])], pa.list_(pa.int32()))],
                     ["toxic", "sentences", "sentence", "feature"],
@@ -138,7 +147,8 @@ class _Score:
         for whole in batches:
             for batch in parts(whole, "text"):
                 doc, sentence, features, ends, at = _sentences(batch.column("text"))
-                z = np.bincount(sentence, self.weights[features].sum(axis=1), int(at[-1]) + 1 if len(at) else 1) + self.bias
+                rows, own = _distinct(sentence, features, self.weights[features] != 0)
+                z = np.bincount(sentence[rows], self.weights[own], int(at[-1]) + 1 if len(at) else 1) + self.bias
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 clean = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-12)))])
                 score, bad = [], []
