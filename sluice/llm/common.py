@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from typing import NamedTuple
 
 import numpy as np
@@ -13,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import sluice
+from sluice.functions.folders import shared_folder, written
+
+__all__ = ["SPACE", "WORD", "Words", "documents", "find_words", "let", "mix", "n_words", "parts", "shared_folder", "span_hashes", "words", "written"]
 
 # Workers may run in a folder where this package can't be imported: send its functions whole.
 cloudpickle.register_pickle_by_value(sluice)
@@ -25,22 +26,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where none is set, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df, written to a table in the shared folder and read again: cuts the lineage and outlives executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: a lambda's variable is not inlined again, an expression is."""
     return F.transform(F.array(value), body)[0]
