@@ -30,10 +30,11 @@ def merged(current: DataFrame, batch: DataFrame, keys: list[str], order: tuple[s
 
 class Tables:
     """Tables under a folder. Appends go to a folder for each batch, so that a batch that runs again replaces its own rows; an
-    upsert writes a new version and then points to it, so readers never see half of one."""
+    upsert writes the buckets of keys that a batch touches anew and then points to them, so readers never see half of a
+    version and a small batch doesn't rewrite a large table."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
     def _path(self, *parts: str) -> str:
         return "/".join([self.folder, *parts])
@@ -48,28 +49,36 @@ class Tables:
             return None
         return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0])
 
-    def read(self, table: str, columns: T.StructType) -> DataFrame:
+    def paths(self, table: str) -> list[str]:
+        """The folders that hold a table now."""
         now = self.version(table)
         if now:
-            return self.spark.read.schema(columns).parquet(self._path(table, now["version"]))
-        system, path = self._pointer(table)
+            return [self._path(table, v, f"bucket={b}") for b, v in sorted(now["buckets"].items())]
+        system, _ = self._pointer(table)
         parts = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, "batches"))
-        return self.spark.read.schema(columns).parquet(self._path(table, "batches", "*")) if system.exists(parts) else self.spark.createDataFrame([], columns)
+        return [self._path(table, "batches", "*")] if system.exists(parts) else []
+
+    def read(self, table: str, columns: T.StructType) -> DataFrame:
+        paths = self.paths(table)
+        return self.spark.read.schema(columns).parquet(*paths) if paths else self.spark.createDataFrame([], columns)
 
     def append(self, table: str, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self._path(table, "batches", f"batch={batch_id}"))
 
     def upsert(self, table: str, df: DataFrame, keys: list[str], order: tuple[str, ...], batch_id: int) -> None:
-        now = self.version(table)
-        if now and now["batch"] >= batch_id:
+        now = self.version(table) or {"batch": -1, "buckets": {}}
+        if now["batch"] >= batch_id:
             return
-        have = self.spark.read.parquet(self._path(table, now["version"])) if now else df.limit(0)
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in df.select(bucket.alias("b")).distinct().collect()]  # self.buckets at most
+        old = [self._path(table, now["buckets"][str(b)], f"bucket={b}") for b in touched if str(b) in now["buckets"]]
+        have = self.spark.read.schema(df.schema).parquet(*old) if old else df.limit(0)
         name = f"version={batch_id}"
-        merged(have, df, keys, order).write.mode("overwrite").parquet(self._path(table, name))
+        merged(have, df, keys, order).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(table, name))
         system, path = self._pointer(table)
         part = self.spark._jvm.org.apache.hadoop.fs.Path(path.toString() + ".part")
         out = system.create(part, True)
-        out.write(bytearray(json.dumps({"version": name, "batch": batch_id}).encode()))
+        out.write(bytearray(json.dumps({"batch": batch_id, "buckets": now["buckets"] | {str(b): name for b in touched}}).encode()))
         out.close()
         system.delete(path, False)
         system.rename(part, path)

@@ -35,13 +35,20 @@ class _Newer(StatefulProcessor):
             self.seen.update((int(fresh["ts"].max()),))
             yield fresh
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timer) -> None:
+        self.seen.update((int(initialState["ts"].max()),))
+
     def close(self) -> None:
         pass
 
 
-def drop_stale(rows: DataFrame, schema: str = "key long, ts long, scn long") -> DataFrame:
-    """Rows (key, ts, scn, ...) whose ts is later than all that earlier batches let pass for the key; one row of a key and ts."""
-    return rows.groupBy("key").transformWithStateInPandas(_Newer(), schema, "append", "none")
+def drop_stale(rows: DataFrame, schema: str = "key long, ts long, scn long", known: DataFrame | None = None) -> DataFrame:
+    """Rows (key, ts, scn, ...) whose ts is later than all that earlier batches let pass for the key; one row of a key and ts.
+
+    known (key, ts): what a first run takes as seen, as from target tables; later runs go on from the checkpoint.
+    """
+    initial = known.groupBy("key") if known is not None else None
+    return rows.groupBy("key").transformWithStateInPandas(_Newer(), schema, "append", "none", initialState=initial)
 
 
 class _Pending(StatefulProcessor):

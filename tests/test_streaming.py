@@ -22,7 +22,7 @@ def test_pipeline_and_restart(spark, tmp_path):
     put(tmp_path / "in", "b.json", message("CUSTOMERS", CUSTOMER | {"TIER": "PLATINUM"}, op="u", ts_ms=1_700_000_000_001))
     go()
     go()
-    read = lambda t: [r.asDict() for r in spark.read.parquet(*([f"{tmp_path}/tables/{t}/batches/*"] if not run.tables.version(t) else [f"{tmp_path}/tables/{t}/{run.tables.version(t)['version']}"])).collect()]
+    read = lambda t: [r.asDict() for r in spark.read.parquet(*run.tables.paths(t)).collect()]
     assert [r["tier"] for r in read("cdc_customers")] == ["PLATINUM"]
     assert sorted(r["order_id"] for r in read("cdc_orders")) == [7, 1001]
     assert len(read("cdc_order_items_extracted")) == 2
@@ -44,3 +44,12 @@ def test_item_lists_cap_and_expire(spark, tmp_path):
 def test_late_rows(spark):
     rows = spark.createDataFrame([(1_000,), (9_000,)], "ms long").select(F.timestamp_millis("ms").alias("ts"))
     assert pipeline.late_rows(rows, "ts", 5_000).count() == 1
+
+
+def test_first_run_starts_from_known_state(spark, tmp_path):
+    stateful.with_rocksdb(spark)
+    spark.createDataFrame([(1, 5, 1), (1, 8, 2), (2, 5, 3)], "key long, ts long, scn long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key long, ts long, scn long").parquet(f"{tmp_path}/in")
+    known = spark.createDataFrame([(1, 6)], "key long, ts long")
+    got = pipeline.collected(stateful.drop_stale(stream, known=known), f"{tmp_path}/out").collect()
+    assert sorted((r["key"], r["ts"]) for r in got) == [(1, 8), (2, 5)]
