@@ -254,8 +254,10 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crow
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").filter("doc_id IS NOT NULL").select("doc_id", "node"))
-        few = wanted.count() <= most_broadcast
-        loaded = written(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").mapInArrow(_Load(k), "node long, set binary").dropDuplicates(["node"]))
+        n = wanted.count()
+        if not n:
+            return spark.createDataFrame([], "a long, b long")
+        loaded = written(docs.join(F.broadcast(wanted) if n <= most_broadcast else wanted, "doc_id").mapInArrow(_Load(k), "node long, set binary").dropDuplicates(["node"]))
         both = pairs.join(loaded.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(loaded.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return written(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(percent, levels), "a long, b long"))
 
@@ -274,14 +276,19 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crow
         return known.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token)}).filter("low <> high").drop("low", "high")
 
     columns = ["node", "comp", "n", "place", *signs]
-    for i in range(rounds):
-        draw = (F.col("n") - F.col("tokens")) / F.col("n") if i == 0 else F.xxhash64("node", F.lit(i)).cast("double")
-        star = differing().withColumn("y", F.min(F.struct(draw.alias("draw"), *columns)).over(by_token)).withColumn("x", F.struct(*columns))
-        links = written(links.union(verified(ordered(star.filter("x.comp <> y.comp").filter(_placed("x", "y", percent) & _signed("x", "y", percent))))))
+    for i in range(rounds + 1):
+        left = written(differing())
+        if left.isEmpty():
+            break
+        if i < rounds:
+            draw = (F.col("n") - F.col("tokens")) / F.col("n") if i == 0 else F.xxhash64("node", F.lit(i)).cast("double")
+            star = left.withColumn("y", F.min(F.struct(draw.alias("draw"), *columns)).over(by_token)).withColumn("x", F.struct(*columns)).filter("x.comp <> y.comp")
+            more = ordered(star.filter(_placed("x", "y", percent) & _signed("x", "y", percent)))
+        else:
+            both = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+            more = ordered(left.alias("x").join(left.alias("y"), both & _placed("x", "y", percent) & _signed("x", "y", percent)))
+        links = written(links.union(verified(more)))
         found = components(links)
-    left = written(differing())
-    rest = left.alias("x").join(left.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _placed("x", "y", percent) & _signed("x", "y", percent))
-    found = components(verified(ordered(rest)).union(links))
     labels = written(nodes.select("node", "doc_id").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     ids = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(ids, "comp").select("node", "component_id")
