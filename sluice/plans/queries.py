@@ -689,3 +689,17 @@ def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return run.tables.read("cdc_customers", mapping.to_target(feeds.events(spark, sf, "CUSTOMERS"), "CUSTOMERS").schema).select("customer_id", "tier")
 
 
+@query(ORACLES["enrich_orders"])
+def stream_orders_enriched(spark: SparkSession, sf: str) -> DataFrame:
+    """The pipeline over orders, items and customers in any order and several micro-batches; the result is its table of enriched orders."""
+    from sluice.streaming.pipeline import Pipeline
+
+    folder = shared_folder(spark)
+    names = ("ORDERS", "ORDER_ITEMS", "CUSTOMERS")
+    messages = feeds.feed(spark, sf, names[0])
+    for name in names[1:]:
+        messages = messages.unionByName(feeds.feed(spark, sf, name))
+    messages.repartition(3).write.json(f"{folder}/in")
+    run = Pipeline(spark, f"{folder}/tables")
+    run.start(envelope.read_feed(spark, f"{folder}/in", 1), f"{folder}/checkpoint", once=True).awaitTermination()
+    return run.tables.read("cdc_orders_enriched", _enriched(spark, sf).schema)

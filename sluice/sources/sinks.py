@@ -66,19 +66,29 @@ class Tables:
         df.write.mode("overwrite").parquet(self._path(table, "batches", f"batch={batch_id}"))
 
     def upsert(self, table: str, df: DataFrame, keys: list[str], order: tuple[str, ...], batch_id: int) -> None:
+        """Puts the rows of df in by key, unless the table has a later row of the key."""
+        self._update(table, df, keys, df, batch_id, lambda have: merged(have, df, keys, order))
+
+    def replace(self, table: str, df: DataFrame, keys: list[str], of: DataFrame, batch_id: int) -> None:
+        """Puts df (one row of each key) in the place of the rows whose keys `of` has; a key that df lacks leaves the table."""
+        self._update(table, df, keys, of, batch_id, lambda have: have.join(of.select(*keys), keys, "left_anti").unionByName(df))
+
+    def _update(self, table: str, df: DataFrame, keys: list[str], of: DataFrame, batch_id: int, change: Callable[[DataFrame], DataFrame]) -> None:
         now = self.version(table) or {"batch": -1, "buckets": {}}
         if now["batch"] >= batch_id:
             return
         bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in df.select(bucket.alias("b")).distinct().collect()]  # self.buckets at most
+        touched = [r[0] for r in of.select(bucket.alias("b")).distinct().collect()]  # self.buckets at most
         old = [self._path(table, now["buckets"][str(b)], f"bucket={b}") for b in touched if str(b) in now["buckets"]]
         have = self.spark.read.schema(df.schema).parquet(*old) if old else df.limit(0)
         name = f"version={batch_id}"
-        merged(have, df, keys, order).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(table, name))
+        change(have).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(table, name))
         system, path = self._pointer(table)
+        left = {str(b): name for b in touched if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, name, f"bucket={b}")))}  # a bucket can run empty
+        kept = {b: v for b, v in now["buckets"].items() if int(b) not in touched}
         part = self.spark._jvm.org.apache.hadoop.fs.Path(path.toString() + ".part")
         out = system.create(part, True)
-        out.write(bytearray(json.dumps({"batch": batch_id, "buckets": now["buckets"] | {str(b): name for b in touched}}).encode()))
+        out.write(bytearray(json.dumps({"batch": batch_id, "buckets": kept | left}).encode()))
         out.close()
         system.delete(path, False)
         system.rename(part, path)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from sluice.functions.schemas import KEYS, TARGETS
 from sluice.operators import evolution, xml
 from sluice.operators.aggregates import by_tier
-from sluice.operators.dedup import latest_by_key
+from sluice.operators.dedup import ORDER, latest_by_key
 from sluice.operators.joins import current, enrich_orders
 from sluice.operators.mapping import customers_back, to_target
 from sluice.sources.envelope import decode, invalid, rows
@@ -57,10 +57,29 @@ class Pipeline:
         self.tables.write("cdc_dlq", bad.unionByName(broken), batch_id)
 
     def enriched(self, orders: DataFrame, items: DataFrame, customers: DataFrame, batch_id: int) -> None:
-        people = customers_back(self.tables.read("cdc_customers", customers.schema).filter("operation <> 'd'"))
-        out = enrich_orders(current(orders), people, current(items)).withColumn("source_ts", F.col("window_start"))
-        self.tables.write("cdc_orders_enriched", out, batch_id, ["order_id"])
-        self.tables.write("cdc_order_aggregations", by_tier(out), batch_id)
+        """Enriches the orders that the batch touches itself, by an item or by their customer, from the latest rows of all batches.
+
+        An item that goes to another order touches both. Orders that are deleted leave the table. The aggregates count the
+        orders that the batch brings alone.
+        """
+        state = {}
+        for name, df, key, columns in (("state_orders", orders, "ORDER_ID", ["ORDER_ID", "CUSTOMER_ID", "TOTAL_AMOUNT", "ORDER_DATE", "STATUS"]), ("state_order_items", items, "ITEM_ID", ["ITEM_ID", "ORDER_ID", "SUBTOTAL"])):
+            df = df.select(*columns, "_cdc_op", *ORDER)
+            self.tables.upsert(name, df, [key], ORDER, batch_id)
+            state[name] = self.tables.read(name, df.schema)
+        seen = self.tables.read("cdc_order_items", T.StructType.fromDDL("item_id INT, order_id INT")).join(items.select(F.col("ITEM_ID").alias("item_id")), "item_id", "left_semi")
+        own = orders.select("ORDER_ID")
+        of_customers = state["state_orders"].join(customers.select(F.col("customer_id").alias("CUSTOMER_ID")), "CUSTOMER_ID", "left_semi").select("ORDER_ID")
+        touched = own.union(seen.select("order_id")).union(of_customers).dropna().distinct().persist()
+        try:
+            mine = state["state_orders"].join(touched, "ORDER_ID", "left_semi")
+            parts = state["state_order_items"].join(touched, "ORDER_ID", "left_semi")
+            people = customers_back(self.tables.read("cdc_customers", customers.schema).filter("operation <> 'd'"))
+            out = enrich_orders(current(mine), people, current(parts)).withColumn("source_ts", F.col("window_start"))
+            self.tables.replace("cdc_orders_enriched", out, ["order_id"], touched.withColumnRenamed("ORDER_ID", "order_id"), batch_id)
+            self.tables.write("cdc_order_aggregations", by_tier(out.join(own.withColumnRenamed("ORDER_ID", "order_id"), "order_id", "left_semi")), batch_id)
+        finally:
+            touched.unpersist()
 
     def start(self, messages: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
         """Starts on a stream of messages; once: takes what is there and stops. The checkpoint makes a restart go on where it stopped."""

@@ -31,6 +31,27 @@ def test_pipeline_and_restart(spark, tmp_path):
     assert {r["order_id"]: (r["customer_name"], r["item_count"]) for r in read("cdc_orders_enriched")} == {1001: ("John Doe", 1), 7: ("John Doe", 0)}
 
 
+def test_enriched_over_several_batches(spark, feed, tmp_path):
+    """The order, its items and its customer come in batches of their own, in any order."""
+    run = pipeline.Pipeline(spark, f"file://{tmp_path}/tables", pipeline.Settings(dead_letters=False))
+    item = lambda i, order=1001: ITEM | {"ITEM_ID": i, "ORDER_ID": order}
+    later = 1_700_000_000_001
+    batches = [
+        ([message("ORDER_ITEMS", item(1))], {}),
+        ([message("ORDERS", ORDER), message("ORDERS", ORDER | {"ORDER_ID": 7})], {1001: (None, 1), 7: (None, 0)}),
+        ([message("CUSTOMERS", CUSTOMER), message("ORDER_ITEMS", item(2))], {1001: ("John Doe", 2), 7: ("John Doe", 0)}),
+        ([message("ORDERS", ORDER | {"STATUS": "SHIPPED"}, op="u", ts_ms=later), message("ORDER_ITEMS", item(2, 7), op="u", ts_ms=later)], {1001: ("John Doe", 1), 7: ("John Doe", 1)}),
+        # an older order and item, and deletes
+        ([message("ORDERS", ORDER), message("ORDER_ITEMS", item(2)), message("ORDER_ITEMS", None, item(1), op="d", ts_ms=later), message("ORDERS", None, ORDER | {"ORDER_ID": 7}, op="d", ts_ms=later)], {1001: ("John Doe", 0)}),
+    ]
+    for i, (messages, want) in enumerate(batches):
+        run.batch(feed(*messages), i)
+        paths = run.tables.paths("cdc_orders_enriched")
+        rows = spark.read.parquet(*paths).collect() if paths else []
+        assert {r["order_id"]: (r["customer_name"], r["item_count"]) for r in rows} == want, i
+    assert [r["status"] for r in rows] == ["SHIPPED"]
+
+
 def test_item_lists_cap_and_expire(spark, tmp_path):
     stateful.with_rocksdb(spark)
     rows = [(1, i, i) for i in range(150)] + [(2, 1, 0), (2, 2, 10_000_000)]
