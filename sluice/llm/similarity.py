@@ -224,11 +224,12 @@ def _signed(a: str, b: str, percent: int) -> Column:
     return apart <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
 
 
-def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crowd: int = 16, most_broadcast: int = 500_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs.
+def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crowd: int = 16, most_broadcast: int = 500_000, count: bool = True, block: int = 256) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of each row of docs; without count there is no n_links.
 
     Two rows link if their sets of distinct k-word shingles have a Jaccard likeness of percent / 100 or more; component_id is the
-    least doc_id that links reach. All links between different sets are found or lie within a component that is found:
+    least doc_id that links reach, and n_links the number of other rows that a row links with, rows of the same set among them.
+All links between different sets are found or lie within a component that is found:
 
     Rows with one set are one node. The first shingles of each set in a global order (rare ones first, by a sketch of
     all counts) are its prefix; like sets share a token there. All pairs of a token that up to `crowd` nodes share are
@@ -237,6 +238,9 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crow
     are candidates, so no link is lost. Sizes, places of the token and signatures rule pairs out before
     what is left is compared as whole sets, after the prefixes in other orders.
 
+    The count then takes all pairs of the crowds too, dealt out by pairs of blocks of about `block` nodes, so that
+    no task has a whole crowd; rows of one set are counted by their number.
+
     Empty and null texts link with nothing and have their own doc_id; a null doc_id counts as greater than all. Extra
     columns don't matter; an empty table gives no rows.
     """
@@ -245,12 +249,12 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crow
     rows = written(docs.mapInArrow(_Sets(k), _ROWS))
     levels = spark.sparkContext.broadcast(_sketch(rows).tobytes())
     sets, signs = rows.filter("block IS NULL"), [f"s{i}" for i in range(SIGNATURE)]
-    nodes = written(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in signs]))
+    nodes = written(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in signs]))
     by_token = Window.partitionBy("token")
     # one exchange by token serves both the distinct rows and their number
     prefixes = docs.mapInArrow(_Prefixes(k, percent, levels), "token long, node long, n long, place long").repartition("token").dropDuplicates(["token", "node"])
     shared = written(prefixes.withColumn("times", F.count("*").over(by_token)).filter("times > 1"))
-    crowded = written(shared.filter(F.col("times") > crowd).drop("times", "n").join(nodes.drop("doc_id"), "node").withColumn("tokens", F.count("*").over(Window.partitionBy("node"))))
+    crowded = written(shared.filter(F.col("times") > crowd).drop("n").join(nodes.drop("doc_id", "rows"), "node").withColumn("tokens", F.count("*").over(Window.partitionBy("node"))))
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").filter("doc_id IS NOT NULL").select("doc_id", "node"))
@@ -267,7 +271,7 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crow
     few = shared.filter(F.col("times") <= crowd)
     pairs = ordered(few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _placed("x", "y", percent)))
     x, y = (nodes.select(F.col("node").alias(c), F.struct("n", *signs).alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    links = verified(written(pairs.join(x, "a").join(y, "b").filter(_signed("x", "y", percent)).select("a", "b")))
+    few_links = links = verified(written(pairs.join(x, "a").join(y, "b").filter(_signed("x", "y", percent)).select("a", "b")))
     found = components(links)
 
     def differing() -> DataFrame:
@@ -289,11 +293,23 @@ def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crow
             more = ordered(left.alias("x").join(left.alias("y"), both & _placed("x", "y", percent) & _signed("x", "y", percent)))
         links = written(links.union(verified(more)))
         found = components(links)
-    labels = written(nodes.select("node", "doc_id").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    labels = written(nodes.select("node", "doc_id", "rows").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     ids = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = labels.join(ids, "comp").select("node", "component_id")
-    out = sets.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = labels.join(ids, "comp").select("node", "component_id", "rows")
+    columns = [F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if count:
+        blocks = F.ceil(F.col("times") / block).cast("int")
+        dealt = crowded.withColumn("own", F.pmod(F.xxhash64("node", "token"), blocks).cast("int"))
+        left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", blocks - 1)))
+        right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own")))
+        met = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node")))
+        rest = verified(ordered(left.alias("x").join(right.alias("y"), met & _placed("x", "y", percent) & _signed("x", "y", percent))))
+        both = few_links.union(rest).distinct()
+        ends = both.select(F.col("a").alias("node"), F.col("b").alias("other")).union(both.select("b", "a"))
+        linked = ends.join(nodes.select(F.col("node").alias("other"), "rows"), "other").groupBy("node").agg(F.sum("rows").alias("linked"))
+        named = named.join(linked, "node", "left").select("node", "component_id", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        columns.append(F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+    return sets.join(named, "node", "left").select("doc_id", *columns)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
@@ -301,7 +317,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFr
 
     Rows with a null doc_id stay, as no group can name them.
     """
-    grouped = groups(docs, k, percent, **how)
+    grouped = groups(docs, k, percent, count=False, **how)
     kept = grouped.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept, F.col("doc_id") == F.col("_kept")).withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

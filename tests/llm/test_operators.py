@@ -217,6 +217,26 @@ def test_similarity(spark, k, percent):
     assert got == plain_groups(dict(enumerate(texts)), k, percent)
 
 
+def test_similarity_counts_links(spark):
+    """Crowds over the bound of 16, and over one block; copies of a text count each."""
+    random.seed(11)
+    texts = []
+    for size in (60, 25, 3):
+        own = [f"w{random.randrange(10**6)}" for _ in range(60)]
+        for _ in range(size):
+            one = list(own)
+            for _ in range(random.choice([0, 1, 1, 2])):
+                one[random.randrange(len(one))] = f"w{random.randrange(10**6)}"
+            texts.append(" ".join(one))
+    texts += [texts[0], texts[0].upper(), texts[61], "a b", "A B", "", None]
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset() for w in ((t or "").lower().split() for t in texts)]
+    like = lambda x, y: bool(x) and bool(y) and len(x & y) * 100 >= 85 * len(x | y)
+    want = [sum(like(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    got = {r["doc_id"]: r["n_links"] for r in similarity.groups(table(spark, texts), block=8).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert max(want) > 20 and len(set(want)) > 5
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (300, 200)], "a long, b long")
     got = {r["node"]: r["comp"] for r in similarity.components(edges).collect()}
