@@ -62,6 +62,6 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it, in the columns of docs."""
-    taken = copies(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "t._copies")
+    taken = copies(docs, **how).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
+    out = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t._copies")
     return out.filter("_copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies", "_copy")

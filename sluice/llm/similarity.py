@@ -53,7 +53,7 @@ def _nodes(doc: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
 
 
 class _Sets:
-    """Texts to one row each (doc_id, node, n, signature), and the task's sketch of shingle counts in blocks.
+    """Texts to one row each (doc_id, key, node, n, signature), and the task's sketch of shingle counts in blocks.
 
     The signature has one bit for each of 256 classes of shingles: whether the set has an odd number of them. Two sets differ
     in as many shingles, at least, as their signatures differ in bits.
@@ -72,17 +72,17 @@ class _Sets:
                 sketch[slot] = np.minimum(sketch[slot] + times, 60_000).astype(np.uint16)
                 odd = np.bincount(doc * 256 + (shingle & np.uint64(255)).astype(np.int64), minlength=n * 256) & 1
                 signature = np.packbits(odd.astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
-                yield self.rows(n, doc_id=batch.column("doc_id"), node=_nodes(doc, shingle, n), n=np.bincount(doc, minlength=n), **{f"s{i}": np.ascontiguousarray(signature[:, i]) for i in range(SIGNATURE)})
+                yield self.rows(n, doc_id=batch.column("doc_id"), key=batch.column("key"), node=_nodes(doc, shingle, n), n=np.bincount(doc, minlength=n), **{f"s{i}": np.ascontiguousarray(signature[:, i]) for i in range(SIGNATURE)})
         if sketch.any():
             blocks = sketch.reshape(-1, 2**_BLOCK_BITS)
             yield self.rows(len(blocks), block=np.arange(len(blocks)), counts=[pa.compress(b.tobytes(), codec="zstd", asbytes=True) for b in blocks])
 
     def rows(self, many: int, /, **columns) -> pa.RecordBatch:
-        fields = [("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(f"s{i}", pa.int64()) for i in range(SIGNATURE)], ("block", pa.int64()), ("counts", pa.binary())]
+        fields = [("doc_id", pa.int64()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), *[(f"s{i}", pa.int64()) for i in range(SIGNATURE)], ("block", pa.int64()), ("counts", pa.binary())]
         return pa.RecordBatch.from_arrays([columns[c].cast(t) if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(many, t) for c, t in fields], schema=pa.schema(fields))
 
 
-_ROWS = "doc_id long, node long, n long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)) + ", block long, counts binary"
+_ROWS = "doc_id long, key long, node long, n long, " + ", ".join(f"s{i} long" for i in range(SIGNATURE)) + ", block long, counts binary"
 
 
 def _summed_sketch(key, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +224,15 @@ def _signed(a: str, b: str, percent: int) -> Column:
     return apart <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
 
 
-def groups(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crowd: int = 16, most_broadcast: int = 500_000, count: bool = True, block: int = 256) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of each row of docs; without count there is no n_links.
+def groups(docs: DataFrame, *how, **more) -> DataFrame:
+    """As labelled, without the columns key and comp."""
+    return labelled(docs, *how, **more).drop("key", "comp")
+
+
+def labelled(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crowd: int = 16, most_broadcast: int = 500_000, count: bool = True, block: int = 256) -> DataFrame:
+    """(doc_id, key, comp, n_shingles, component_id, n_links) of each row of docs; without count there is no n_links.
+
+    key is the hash of the text, and comp the node that stands for the component (null for a text without words).
 
     Two rows link if their sets of distinct k-word shingles have a Jaccard likeness of percent / 100 or more; component_id is the
     least doc_id that links reach, and n_links the number of other rows that a row links with, rows of the same set among them.
@@ -245,23 +252,23 @@ All links between different sets are found or lie within a component that is fou
     columns don't matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     rows = written(docs.mapInArrow(_Sets(k), _ROWS))
     levels = spark.sparkContext.broadcast(_sketch(rows).tobytes())
     sets, signs = rows.filter("block IS NULL"), [f"s{i}" for i in range(SIGNATURE)]
-    nodes = written(sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in signs]))
+    nodes = written(sets.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in signs]).select("*", "first.doc_id", "first.key").drop("first"))
     by_token = Window.partitionBy("token")
     # one exchange by token serves both the distinct rows and their number
     prefixes = docs.mapInArrow(_Prefixes(k, percent, levels), "token long, node long, n long, place long").repartition("token").dropDuplicates(["token", "node"])
     shared = written(prefixes.withColumn("times", F.count("*").over(by_token)).filter("times > 1"))
-    crowded = written(shared.filter(F.col("times") > crowd).drop("n").join(nodes.drop("doc_id", "rows"), "node").withColumn("tokens", F.count("*").over(Window.partitionBy("node"))))
+    crowded = written(shared.filter(F.col("times") > crowd).drop("n").join(nodes.drop("doc_id", "key", "rows"), "node").withColumn("tokens", F.count("*").over(Window.partitionBy("node"))))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").filter("doc_id IS NOT NULL").select("doc_id", "node"))
+        wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "node"))
         n = wanted.count()
         if not n:
             return spark.createDataFrame([], "a long, b long")
-        loaded = written(docs.join(F.broadcast(wanted) if n <= most_broadcast else wanted, "doc_id").mapInArrow(_Load(k), "node long, set binary").dropDuplicates(["node"]))
+        loaded = written(docs.join(F.broadcast(wanted) if n <= most_broadcast else wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node").mapInArrow(_Load(k), "node long, set binary").dropDuplicates(["node"]))
         both = pairs.join(loaded.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(loaded.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
         return written(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(percent, levels), "a long, b long"))
 
@@ -295,7 +302,7 @@ All links between different sets are found or lie within a component that is fou
         found = components(links)
     labels = written(nodes.select("node", "doc_id", "rows").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     ids = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = labels.join(ids, "comp").select("node", "component_id", "rows")
+    named = labels.join(ids, "comp").select("node", "comp", "component_id", "rows")
     columns = [F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
     if count:
         blocks = F.ceil(F.col("times") / block).cast("int")
@@ -307,17 +314,23 @@ All links between different sets are found or lie within a component that is fou
         both = few_links.union(rest).distinct()
         ends = both.select(F.col("a").alias("node"), F.col("b").alias("other")).union(both.select("b", "a"))
         linked = ends.join(nodes.select(F.col("node").alias("other"), "rows"), "other").groupBy("node").agg(F.sum("rows").alias("linked"))
-        named = named.join(linked, "node", "left").select("node", "component_id", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        named = named.join(linked, "node", "left").select("node", "comp", "component_id", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
         columns.append(F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
-    return sets.join(named, "node", "left").select("doc_id", *columns)
+    return sets.join(named, "node", "left").select("doc_id", "key", "comp", *columns)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
     """docs with one document of each group of like ones: that of the least doc_id, and of rows alike one.
 
-    Rows with a null doc_id stay, as no group can name them.
+    A row with a null doc_id stays only if its group has no doc_id: one of each such group, and all texts without words.
     """
-    grouped = groups(docs, k, percent, count=False, **how)
-    kept = grouped.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = written(labelled(docs, k, percent, count=False, **how))
+    kept = rows.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     named = docs.join(kept, F.col("doc_id") == F.col("_kept")).withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    alone = rows.filter("doc_id IS NULL AND comp IS NOT NULL AND component_id IS NULL").groupBy("comp").agg(F.min("key").alias("_kept")).select("_kept")
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    without = docs.filter("doc_id IS NULL").withColumn("_key", key)
+    one = without.join(alone, F.col("_key") == F.col("_kept")).dropDuplicates(["_key"])
+    wordless = rows.filter("doc_id IS NULL AND n_shingles = 0").select(F.col("key").alias("_kept")).distinct()
+    empty = without.join(wordless, F.col("_key") == F.col("_kept"), "left_semi")
+    return named.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(empty.select(*docs.columns))

@@ -110,6 +110,14 @@ def luhn(d):
     return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (c > "4") for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+def test_mix_takes_null_ids_by_source(spark):
+    rows = [(None, source, "a b c") for source, n in (("x", 30), ("y", 10), ("z", 4)) for _ in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = {r["source"]: r["n"] for r in mixing.copies(docs).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    assert len({r["copies"] for r in mixing.copies(docs).collect()}) > 1
+    assert {r["source"]: r["count"] for r in mixing.mix(docs).groupBy("source").count().collect()} == {k: v for k, v in want.items() if v}
+
+
 def test_privacy_base_against_python(spark):
     random.seed(3)
     bits = ["a@b.c", "@", "x.y@z", "..", "1.2.3.4", "300.1.1.1", "007.1.2.3", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (988) 555-2485", "++1234567890", "é", "😀", " ", "\n", "-", "12", ".5", "_x@d.e", "+", "("]
@@ -237,6 +245,20 @@ def test_similarity_counts_links(spark):
     assert max(want) > 20 and len(set(want)) > 5
 
 
+def test_similarity_of_null_ids(spark):
+    """A null id links like others: near copies, a bridge between two documents, and groups of null ids alone."""
+    w = [f"w{i}" for i in range(80)]
+    bridge = " ".join(w)
+    far = [" ".join(["x1"] + w[1:]), " ".join(w[:-1] + ["y1"])]  # 76 of 78 like the bridge, 75 of 79 like each other
+    alone = " ".join(f"z{i}" for i in range(80))
+    rows = [(5, far[0]), (9, far[1]), (None, bridge), (None, bridge), (None, alone), (None, alone), (None, alone + " end"), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["component_id"], r["n_links"]) for r in similarity.groups(docs, percent=97).collect()), key=repr)
+    assert got == sorted([(5, 5, 2), (9, 5, 2), (None, 5, 3), (None, 5, 3), (None, None, 2), (None, None, 2), (None, None, 2), (None, None, 0)], key=repr)
+    kept = [(r["doc_id"], r["text"]) for r in similarity.one_of_each(docs, k=4, percent=97).collect()]
+    assert len(kept) == 3 and (5, far[0]) in kept and (None, "") in kept and sum(t.startswith(alone) for _, t in kept) == 1
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (300, 200)], "a long, b long")
     got = {r["node"]: r["comp"] for r in similarity.components(edges).collect()}
