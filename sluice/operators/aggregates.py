@@ -72,5 +72,10 @@ def progress(decoded: DataFrame, consumer: str) -> DataFrame:
     return decoded.groupBy("topic").agg(F.max(F.col("scn").try_cast("long")).alias("last_offset"), F.timestamp_millis(F.max("ts_ms")).alias("last_timestamp")).withColumn("consumer_id", F.lit(consumer))
 
 
+def furthest(reached: DataFrame) -> DataFrame:
+    """Progress rows to one of each consumer and topic: as far as any of them reaches."""
+    return reached.groupBy("consumer_id", "topic").agg(F.max("last_offset").alias("last_offset"), F.max("last_timestamp").alias("last_timestamp"))
+
+
 def money(value: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(value, 2))

@@ -18,19 +18,17 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ORD
     return rows.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(best.alias("_row")).select("_row.*")
 
 
-def latest_ranked(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """As latest_by_key, by a window: for orders with their own null placement."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
-
-
 def last_n(rows: DataFrame, keys: list[str], n: int, order: tuple[str, ...] = ORDER, cap: int | None = None) -> DataFrame:
-    """The last n rows of each key; with cap only where a key has more than that."""
-    by = Window.partitionBy(*keys)
-    rows = rows.withColumn("_rank", F.row_number().over(by.orderBy(*[F.col(c).desc() for c in order])))
+    """The last n rows of each key; with cap only where a key has more than that.
+
+    Only the first ranks are asked for, so each task sends n (or cap + 1) rows of a hot key, not all.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
+    last = rows.withColumn("_rank", rank).filter(F.col("_rank") <= max(n, 0 if cap is None else cap + 1))
     if cap is None:
-        return rows.filter(F.col("_rank") <= n).drop("_rank")
-    return rows.withColumn("_all", F.count("*").over(by)).filter((F.col("_all") <= cap) | (F.col("_rank") <= n)).drop("_rank", "_all")
+        return last.drop("_rank")
+    over = F.max("_rank").over(Window.partitionBy(*keys)) > cap
+    return last.withColumn("_over", over).filter(~F.col("_over") & (F.col("_rank") <= cap) | (F.col("_rank") <= n)).drop("_rank", "_over")
 
 
 def stale(rows: DataFrame, keys: list[str], arrival: str, ts: str = "_cdc_ts_ms") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.functions.columns import let
 from sluice.functions.schemas import SOURCE_TYPES, known, schema
 from sluice.operators.dedup import latest_by_key
 
@@ -28,6 +29,14 @@ def removed_columns(events: DataFrame, table: str, columns: list[str] | None = N
     return events.select(F.explode(gone).alias("column_name")).groupBy("column_name").agg(F.count("*").alias("times"))
 
 
+def changed_columns(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(column_name, change): the keys of images that a batch has and the batch before it had not (added), or the other way (removed)."""
+    keys = lambda events, name: events.select(F.explode(key_set()).alias("column_name")).distinct().withColumn(name, F.lit(True))
+    both = keys(before, "old").join(keys(after, "new"), "column_name", "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
+    return both.select("column_name", change.alias("change")).filter("change IS NOT NULL")
+
+
 def inferred_type(value: Column) -> Column:
     """The type of a variant value: boolean, int, long (beyond 32 bits), double, else string."""
     kind = F.schema_of_variant(value)
@@ -63,7 +72,7 @@ def pending(registry: DataFrame) -> DataFrame:
 def extras(table: str, image: str = "_cdc_image") -> Column:
     """The fields outside the baseline as a JSON object; null if there are none."""
     extra = F.map_filter(F.from_json(image, "map<string,variant>"), lambda k, _: ~k.isin(known(table)))
-    return F.when(F.size(extra) > 0, F.to_json(extra))
+    return let(extra, lambda m: F.when(F.size(m) > 0, F.to_json(m)))
 
 
 def normalized(events: DataFrame, table: str) -> DataFrame:

@@ -38,6 +38,16 @@ def items_with_products(items: DataFrame, products: DataFrame) -> DataFrame:
     return items.join(products.select("PRODUCT_ID", F.col("NAME").alias("product_name"), F.col("CATEGORY").alias("product_category")), "PRODUCT_ID", "left")
 
 
+def items_of_orders(items: DataFrame, orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
+    """Items with source_ts, the tier of their order's customer (UNKNOWN if there is none) and their product's category.
+
+    All four hold one row of each key. Orders meet their customers first: they are fewer than items.
+    """
+    tiers = orders.select("ORDER_ID", "CUSTOMER_ID").join(customers.select("CUSTOMER_ID", F.col("TIER").alias("customer_tier")), "CUSTOMER_ID", "left")
+    out = items_with_products(items, products).join(tiers.select("ORDER_ID", "customer_tier"), "ORDER_ID", "left")
+    return out.withColumns({"customer_tier": F.coalesce("customer_tier", F.lit("UNKNOWN")), "source_ts": F.timestamp_millis("_cdc_ts_ms")})
+
+
 def dynamic_join(left: DataFrame, right: DataFrame, on: str, suffix: str = "_right") -> DataFrame:
     """Left join on a key that both must have; every other column is carried, those of the right side with a suffix if both have them."""
     for side, df in (("left", left), ("right", right)):

@@ -21,15 +21,18 @@ def is_active(status: str = "STATUS") -> Column:
 _DERIVED = {("CUSTOMERS", "name"): full_name, ("PRODUCTS", "is_active"): is_active}
 
 
-def to_target(rows: DataFrame, table: str, columns: list[Mapped] | None = None) -> DataFrame:
-    """The target rows of a table's events, with source_ts and operation. A column that rows lack is null."""
+def to_target(rows: DataFrame, table: str, columns: list[Mapped] | None = None, sequence: bool = False) -> DataFrame:
+    """The target rows of a table's events, with source_ts and operation. A column that rows lack is null.
+
+    sequence: with source_scn too, which tells events of one millisecond apart.
+    """
     chosen = [m for m in columns or mapping(table) if not m.target.startswith("_")]
     out = []
     for m in chosen:
         derived = _DERIVED.get((table, m.target))
         value = derived() if derived else F.col(m.source) if m.source in rows.columns else F.lit(None)
         out.append((value.cast(m.type) if derived or m.source not in rows.columns else value.try_cast(m.type)).alias(m.target))
-    return rows.select(*out, F.timestamp_millis("_cdc_ts_ms").alias("source_ts"), F.col("_cdc_op").alias("operation"))
+    return rows.select(*out, F.timestamp_millis("_cdc_ts_ms").alias("source_ts"), F.col("_cdc_op").alias("operation"), *([F.col("_cdc_scn").alias("source_scn")] if sequence else []))
 
 
 def registry_seed(spark) -> DataFrame:

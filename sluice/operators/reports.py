@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.operators.dedup import latest_ranked
+from sluice.operators.dedup import latest_by_key
 
 
 def latest(target: DataFrame, key: str, ts: str = "source_ts", tie: str | None = None) -> DataFrame:
-    """The latest row of each key, rows without a time last."""
-    order = [F.col(ts).desc_nulls_last(), *([F.col(tie).desc()] if tie else [])]
-    return latest_ranked(target, [key], order)
+    """The latest row of each key, rows without a time last. An aggregation, so a hot key sends one row a task."""
+    return latest_by_key(target, [key], (ts, *([tie] if tie else [])))
 
 
 def newest(target: DataFrame, n: int, ts: str, tie: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.functions.folders import written
 from sluice.sources.envelope import decode, encode, rows
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -84,9 +85,21 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUILDERS = {"ORDERS": orders, "ORDER_ITEMS": order_items, "CUSTOMERS": customers, "PRODUCTS": products, "AUDIT_LOG": audit}
 
 
+_stored: dict[tuple[str, ...], DataFrame] = {}
+
+
 def feed(spark: SparkSession, sf_dir: str, name: str, **how) -> DataFrame:
-    """A table's events as messages (topic, value)."""
-    return encode(BUILDERS[name](spark, sf_dir, **how), name)
+    """A table's events as messages (topic, value), stored as any feed is: what reads them does not encode them again.
+
+    Written once for each application, folder and way.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name, str(sorted(how.items(), key=str)))
+    if key not in _stored:
+        images, cores = BUILDERS[name](spark, sf_dir, **how), spark.sparkContext.defaultParallelism
+        # a small table is one split: its messages, which are much longer than its rows, are dealt to all cores
+        images = images.repartition(cores) if images.rdd.getNumPartitions() < cores else images
+        _stored[key] = written(encode(images, name))
+    return _stored[key]
 
 
 def events(spark: SparkSession, sf_dir: str, name: str, **how) -> DataFrame:

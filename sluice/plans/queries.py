@@ -314,6 +314,13 @@ def cdc_removed_columns(spark: SparkSession, sf: str) -> DataFrame:
     return evolution.removed_columns(feeds.events(spark, sf, "ORDERS"), "ORDERS")
 
 
+@query("SELECT 'LOYALTY_POINTS' AS column_name, 'removed' AS change FROM orders HAVING sum((o_orderkey % 14 = 0)::INT) > 0")
+def cdc_changed_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Two batches, the later one of producers that no longer send a column."""
+    e = feeds.events(spark, sf, "ORDERS")
+    return evolution.changed_columns(e.filter("ORDER_ID % 2 = 0"), e.filter("ORDER_ID % 7 <> 0"))
+
+
 def _odd_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Audit events with fields of every type beside the baseline."""
     e = feeds.table(spark, sf, "events")
@@ -470,14 +477,25 @@ def agg_by_tier_nulls_zero(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.by_tier(e, null_as_zero=True)
 
 
-_WINDOWS = "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end, event_type, count(*) AS order_count, sum(value::DECIMAL(18,4))::DOUBLE AS total_revenue, round(sum(value::DECIMAL(18,4))::DECIMAL(28,10) / count(value), 4)::DOUBLE AS avg_order_value FROM events GROUP BY ALL"
+_SUMS = """count(*) AS order_count, sum({v}::DECIMAL(18,4))::DOUBLE AS total_revenue, round(sum({v}::DECIMAL(18,4))::DECIMAL(28,10) / count({v}), 4)::DOUBLE AS avg_order_value"""
+_WINDOWS = f"SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE AS window_end, event_type, {_SUMS.format(v='value')} FROM events GROUP BY ALL"
 
 
 @query(_WINDOWS)
-def agg_window_tier_category(spark: SparkSession, sf: str) -> DataFrame:
+def agg_window(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.windowed(feeds.table(spark, sf, "events"), "ts", ["event_type"], "value")
 
 
+@query(f"""WITH rows AS (SELECT time_bucket(INTERVAL 5 MINUTE, make_timestamp({L_TS} * 1000)) AS window_start, coalesce(customer_tier, 'UNKNOWN') AS customer_tier, p_type AS product_category, l_extendedprice
+        FROM {LATEST_ITEMS} LEFT JOIN {ENRICHED} ON l_orderkey = order_id LEFT JOIN (SELECT * FROM part WHERE {P_OP} <> 'd') ON l_partkey = p_partkey WHERE {L_OP} <> 'd')
+    SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, customer_tier, product_category, {_SUMS.format(v='l_extendedprice')} FROM rows GROUP BY ALL""")
+def agg_window_tier_category(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of five minutes by customer tier and product category over the current items."""
+    now = lambda t, key: joins.current(dedup.latest_by_key(feeds.events(spark, sf, t), [key]))
+    items = joins.items_of_orders(now("ORDER_ITEMS", "ITEM_ID"), now("ORDERS", "ORDER_ID"), now("CUSTOMERS", "CUSTOMER_ID"), now("PRODUCTS", "PRODUCT_ID"))
+    return aggregates.windowed(items, "source_ts", ["customer_tier", "product_category"], "SUBTOTAL")
+
+
 @query("SELECT 'ORDERS' AS table_name, count(*) AS events FROM orders UNION ALL SELECT 'ORDER_ITEMS', count(*) FROM lineitem UNION ALL SELECT 'CUSTOMERS', count(*) FROM customer UNION ALL SELECT 'PRODUCTS', count(*) FROM part UNION ALL SELECT 'AUDIT_LOG', count(*) FROM events")
 def event_counts_by_table(spark: SparkSession, sf: str) -> DataFrame:
     every = feeds.feed(spark, sf, "ORDERS")
@@ -508,7 +526,12 @@ def state_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT 'cdc/oracle/SALES/ORDERS/' || CASE {O_OP} WHEN 'd' THEN 'delete' WHEN 'u' THEN 'update' ELSE 'insert' END AS topic, max(o_orderkey) AS last_offset, make_timestamp(max({O_TS}) * 1000) AS last_timestamp, 'c' AS consumer_id FROM orders GROUP BY ALL")
 def feed_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.progress(_decoded(spark, sf, "ORDERS"), "c")
+    """Written in two batches, the later events first."""
+    tables, d = sinks.Tables(spark, shared_folder(spark)), _decoded(spark, sf, "ORDERS")
+    for i in (1, 0):
+        out = aggregates.progress(d.filter(F.col("scn").cast("long") % 2 == i), "c")
+        tables.advance("cdc_checkpoints", out, 1 - i)
+    return tables.read("cdc_checkpoints", out.schema)
 
 
 # Reports
@@ -562,11 +585,19 @@ def alert_new_customer(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.new_customers(feeds.events(spark, sf, "CUSTOMERS"), "BUILDING").select(F.col("CUSTOMER_ID").alias("customer_id"))
 
 
-@query("""WITH w AS (SELECT time_bucket(INTERVAL 60 MINUTE, ts) AS window_start, avg((event_type = 'error')::INT::DOUBLE) AS e, count(*)::DOUBLE AS n FROM events GROUP BY ALL)
-    SELECT window_start, 'error_rate' AS rule, e AS value FROM w WHERE e > 0.25 UNION ALL SELECT window_start, 'backlog', n FROM w WHERE n > 10""")
+@query("""WITH e AS (SELECT *, time_bucket(INTERVAL 60 MINUTE, ts) AS w, row_number() OVER (PARTITION BY time_bucket(INTERVAL 60 MINUTE, ts) ORDER BY value) AS k,
+            CASE WHEN event_id % 10 > 0 THEN ts + INTERVAL 1 MINUTE * (event_id % 180) END AS done FROM events),
+        per AS (SELECT w, w + INTERVAL 60 MINUTE AS till, count(*) AS n, avg((event_type = 'error')::INT::DOUBLE) AS errors, sum((event_type = 'error' AND event_id % 3 = 0)::INT)::DOUBLE AS dead FROM e GROUP BY ALL),
+        waiting AS (SELECT per.w, count(*)::DOUBLE AS n FROM per JOIN e ON e.ts < till AND (done IS NULL OR done > till) GROUP BY per.w),
+        p99 AS (SELECT e.w, min(value) AS p FROM e JOIN per USING (w) WHERE k >= ceil(0.99 * n) GROUP BY e.w)
+    SELECT w AS window_start, 'error_rate' AS rule, errors AS value FROM per WHERE errors > 0.25 UNION ALL SELECT w, 'backlog', n FROM waiting WHERE n > 90
+    UNION ALL SELECT w, 'dead_letters', dead FROM per WHERE dead > 1 UNION ALL SELECT w, 'p99_latency', p FROM p99 WHERE p > 95""")
 def alert_rules(spark: SparkSession, sf: str) -> DataFrame:
-    e = feeds.table(spark, sf, "events")
-    return alerts.breaches(e, "ts", F.col("event_type") == "error", F.lit(1.0), "60 minutes", 0.25, 10_000, 10)
+    """value stands for the latency; an event is done some minutes after it came, each tenth never."""
+    e, k = feeds.table(spark, sf, "events"), F.col("event_id")
+    done = F.when(k % 10 > 0, F.col("ts") + F.make_dt_interval(mins=(k % 180).cast("int")))
+    error = F.col("event_type") == "error"
+    return alerts.breaches(e, "ts", error, F.col("value"), "60 minutes", 0.25, 95, 90, 1, done=done, is_dead=error & (k % 3 == 0))
 
 
 @query(f"SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id HAVING max(ts) < {AS_OF} + INTERVAL 16 DAY - INTERVAL 86400 SECOND")
@@ -616,21 +647,28 @@ def payload_chunks(spark: SparkSession, sf: str) -> DataFrame:
 # Streams
 
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
+def _stream(spark: SparkSession, sf: str, name: str, files: int = 2) -> DataFrame:
+    """A table as a stream of its four files, so many a micro-batch."""
     source = feeds.table(spark, sf, name)
     folder = shared_folder(spark)
     source.repartition(4).write.parquet(folder)
-    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-@query("SELECT user_id AS key, max((epoch_us(ts) // 1000)) AS last_ts FROM events GROUP BY ALL")
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id FROM events), early AS (SELECT user_id, ms, max(ms) OVER (PARTITION BY user_id) AS seen FROM e WHERE event_id % 2 = 0)
+    SELECT user_id AS key, ms AS ts, 0 AS batch FROM early GROUP BY ALL
+    UNION ALL SELECT user_id, ms, 1 FROM e WHERE ms > coalesce((SELECT max(seen) FROM early f WHERE f.user_id = e.user_id), -1) GROUP BY ALL""")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """The even events, then all: the second batch lets through only what is later than all that a key had in the first."""
     from sluice.streaming import pipeline, stateful
 
     stateful.with_rocksdb(spark)
-    e = _stream(spark, sf, "events").select(F.col("user_id").alias("key"), F.unix_millis("ts").alias("ts"), F.col("event_id").alias("scn"))
-    return pipeline.collected(stateful.drop_stale(e), shared_folder(spark)).groupBy("key").agg(F.max("ts").alias("last_ts"))
+    e, folder = feeds.table(spark, sf, "events").select(F.col("user_id").alias("key"), F.unix_millis("ts").alias("ts"), F.col("event_id").alias("scn")), shared_folder(spark)
+    for part in (e.filter("scn % 2 = 0"), e):
+        part.repartition(4).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    out = pipeline.collected(stateful.drop_stale(stream), shared_folder(spark))
+    return out.select("key", "ts", F.col("_batch").alias("batch"))
 
 
 @query(_WINDOWS.replace("FROM events", "FROM (SELECT *, max(ts) OVER () AS newest FROM events) WHERE time_bucket(INTERVAL 5 MINUTE, ts) + INTERVAL 5 MINUTE <= newest - INTERVAL 1 DAY"))
@@ -656,35 +694,57 @@ def stream_pending_join(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.collected(stateful.pending_join(o, c), shared_folder(spark)).drop("_batch")
 
 
-@query("SELECT o_orderkey AS order_id, l_partkey AS part, l_linenumber AS line FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 100 DAY AND o_orderdate + INTERVAL 100 DAY")
+@query("""WITH near AS (SELECT o_orderkey, l_partkey, l_linenumber FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_shipdate BETWEEN o_orderdate - INTERVAL 100 DAY AND o_orderdate + INTERVAL 100 DAY)
+    SELECT o_orderkey AS order_id, l_partkey AS part, l_linenumber AS line FROM near
+    UNION ALL SELECT o_orderkey, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM near) AND o_orderdate + INTERVAL 100 DAY < (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem))) - INTERVAL 1 DAY""")
 def stream_join(spark: SparkSession, sf: str) -> DataFrame:
-    """The matches of the outer join; the orders without items that it adds in time are left out."""
+    """The matches, and the orders that no item can match any more once the watermark has passed."""
+    from sluice.streaming import pipeline, stateful
+
+    o = _stream(spark, sf, "orders", 4).select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("order_ts"))
+    i = _stream(spark, sf, "lineitem", 4).select(F.col("l_orderkey").alias("item_order_id"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("item_ts"))
+    return pipeline.collected(stateful.join_streams(o, i, "1 day", "100 days"), shared_folder(spark)).select("order_id", "part", "line")
+
+
+@query("""SELECT o_orderkey AS order_id, c_mktsegment AS tier, l_partkey AS part, p_type AS category FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
+    WHERE l_shipdate BETWEEN o_orderdate - INTERVAL 400 DAY AND o_orderdate + INTERVAL 400 DAY AND TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey % 900) BETWEEN o_orderdate - INTERVAL 400 DAY AND o_orderdate + INTERVAL 400 DAY
+      AND TIMESTAMP '1995-06-01' + INTERVAL 1 DAY * (p_partkey % 700) BETWEEN l_shipdate - INTERVAL 400 DAY AND l_shipdate + INTERVAL 400 DAY""")
+def stream_join_four(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders, customers, items and products, in several micro-batches; customers and products get times by their keys."""
     from sluice.streaming import pipeline, stateful
 
-    o = _stream(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").alias("order_ts"))
-    i = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item_order_id"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("item_ts"))
-    out = pipeline.collected(stateful.join_streams(o, i, "10000 days", "100 days"), shared_folder(spark))
-    return out.filter("part IS NOT NULL").select("order_id", "part", "line")
+    day = lambda start, key: F.expr(f"TIMESTAMP '{start} 00:00:00' + make_dt_interval(CAST({key} AS INT))")
+    o = _stream(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("order_customer_id"), F.col("o_orderdate").alias("order_ts"))
+    c = _stream(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("tier"), day("1995-01-01", "c_custkey % 900").alias("customer_ts"))
+    i = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item_order_id"), F.col("l_partkey").alias("item_product_id"), F.col("l_shipdate").alias("item_ts"))
+    p = _stream(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), day("1995-06-01", "p_partkey % 700").alias("product_ts"))
+    out = pipeline.collected(stateful.join_four(o, c, i, p, "10000 days", "400 days"), shared_folder(spark))
+    return out.select("order_id", "tier", F.col("product_id").alias("part"), "category")
 
 
-@query("SELECT l_orderkey AS order_id, least(count(*), 1000)::BIGINT AS items FROM lineitem GROUP BY ALL")
+@query("""WITH i AS (SELECT l_orderkey, epoch_ms(l_shipdate) AS ts, l_partkey * 8 + l_linenumber AS id FROM lineitem),
+        gaps AS (SELECT *, coalesce(ts - lag(ts) OVER w > 8640000000, true)::INT AS fresh FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY ts, id)),
+        lists AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS list FROM gaps),
+        sizes AS (SELECT l_orderkey, list, count(*) AS n FROM lists GROUP BY ALL)
+    SELECT l_orderkey AS order_id, (CASE WHEN arg_max(n, list) <= 3 THEN arg_max(n, list) ELSE 2 + (arg_max(n, list) - 4) % 2 END)::BIGINT AS items FROM sizes GROUP BY ALL""")
 def stream_item_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of more than three items keep the last two, and start afresh after a hundred days without news."""
     from sluice.streaming import pipeline, stateful
 
     stateful.with_rocksdb(spark)
-    i = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("item_id"), F.unix_millis("l_shipdate").alias("ts"))
-    out = pipeline.collected(stateful.item_lists(i, cap=1000, ttl_ms=10**13), shared_folder(spark), "update")
-    return out.groupBy("order_id").agg(F.max("items").alias("items"))
+    i = _stream(spark, sf, "lineitem", 4).select(F.col("l_orderkey").alias("order_id"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("item_id"), F.unix_millis("l_shipdate").alias("ts"))
+    lists = stateful.item_lists(i, cap=3, keep=2, ttl_ms=100 * 86_400_000)
+    return pipeline.collected(lists, shared_folder(spark), "update").select("order_id", "items")
 
 
 @query("SELECT c_custkey::INT AS customer_id, c_mktsegment AS tier FROM customer")
 def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
     """The whole pipeline over customers as a stream of messages; the result is its table of customers."""
-    from sluice.streaming.pipeline import Pipeline
+    from sluice.streaming.pipeline import Pipeline, Settings
 
     folder = shared_folder(spark)
     feeds.feed(spark, sf, "CUSTOMERS").repartition(2).write.json(f"{folder}/in")
-    run = Pipeline(spark, f"{folder}/tables")
+    run = Pipeline(spark, f"{folder}/tables", Settings(buckets=4))
     run.start(envelope.read_feed(spark, f"{folder}/in", 1), f"{folder}/checkpoint", once=True).awaitTermination()
     return run.tables.read("cdc_customers", mapping.to_target(feeds.events(spark, sf, "CUSTOMERS"), "CUSTOMERS").schema).select("customer_id", "tier")
 
@@ -692,7 +752,7 @@ def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 @query(ORACLES["enrich_orders"])
 def stream_orders_enriched(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline over orders, items and customers in any order and several micro-batches; the result is its table of enriched orders."""
-    from sluice.streaming.pipeline import Pipeline
+    from sluice.streaming.pipeline import Pipeline, Settings
 
     folder = shared_folder(spark)
     names = ("ORDERS", "ORDER_ITEMS", "CUSTOMERS")
@@ -700,6 +760,6 @@ def stream_orders_enriched(spark: SparkSession, sf: str) -> DataFrame:
     for name in names[1:]:
         messages = messages.unionByName(feeds.feed(spark, sf, name))
     messages.repartition(3).write.json(f"{folder}/in")
-    run = Pipeline(spark, f"{folder}/tables")
+    run = Pipeline(spark, f"{folder}/tables", Settings(buckets=4))
     run.start(envelope.read_feed(spark, f"{folder}/in", 1), f"{folder}/checkpoint", once=True).awaitTermination()
     return run.tables.read("cdc_orders_enriched", _enriched(spark, sf).schema)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions.schemas import ENVELOPE, IMAGE, schema
+from sluice.functions.columns import let, spread
+from sluice.functions.schemas import EVENT, schema
 
 OPERATIONS = {"c": "insert", "r": "read", "u": "update", "d": "delete"}
 FEED = "topic STRING, value STRING"
@@ -43,19 +44,32 @@ def decode(feed: DataFrame) -> DataFrame:
     image is the row that the operation leaves: before for d, after otherwise; before and after stay JSON text, so that
     columns unknown so far survive. Rows without a body are dropped. Bad JSON, unknown operations and empty images have the
     error_type MALFORMED_JSON, all others null.
+
+    All that is read from a value comes from one parse: the fields are one struct, bound once and spread by a generator, which
+    filters on them do not pass.
     """
     feed = topic_parts(feed.filter(F.trim("value") != ""))
-    whole, bare = F.from_json("value", ENVELOPE), F.from_json("value", IMAGE)
-    out = feed.withColumn("_e", F.coalesce(whole["payload"], bare))
     received = F.unix_millis("received_at") if "received_at" in feed.columns else F.lit(None).cast("long")
-    image = F.when(F.col("op").isin("c", "r", "u"), F.col("after")).when(F.col("op") == "d", F.col("before"))
-    out = out.withColumns({
-        "op": F.coalesce("_e.op", F.lit("c")), "ts_ms": F.coalesce("_e.ts_ms", received), "scn": F.col("_e.source.scn"), "before": F.col("_e.before"), "after": F.col("_e.after"),
-    }).withColumn("image", image)
-    fields = F.json_object_keys("image")
-    error = F.when(F.try_parse_json("value").isNull(), "not valid JSON").when(~F.col("op").isin(*OPERATIONS), F.concat(F.lit("unknown operation "), "op")).when(fields.isNull() | (F.size(fields) == 0), "empty row image")
-    out = out.withColumn("error_message", error).withColumn("error_type", F.when(F.col("error_message").isNotNull(), "MALFORMED_JSON"))
-    return out.drop("_e")
+
+    def event(e: Column) -> Column:
+        bare = F.struct(*[e[c].alias(c) for c in ("before", "after", "source", "op", "ts_ms")])
+        return let(F.coalesce(e["payload"], bare), lambda p: let(F.coalesce(p["op"], F.lit("c")), lambda op: with_image(e, p, op)))
+
+    def with_image(e: Column, p: Column, op: Column) -> Column:
+        return let(F.when(op.isin("c", "r", "u"), p["after"]).when(op == "d", p["before"]), lambda image: record(e, p, op, image))
+
+    def record(e: Column, p: Column, op: Column, image: Column) -> Column:
+        keys = F.json_object_keys(image)
+        # the parser also marks values of another type as corrupt; only what is no JSON at all is an error
+        broken = e["_corrupt"].isNotNull() & F.try_parse_json("value").isNull()
+        error = F.when(broken, "not valid JSON").when(~op.isin(*OPERATIONS), F.concat(F.lit("unknown operation "), op)).when(F.coalesce(F.size(keys), F.lit(0)) <= 0, "empty row image")
+        return let(error, lambda message: F.struct(
+            op.alias("op"), F.coalesce(p["ts_ms"], received).alias("ts_ms"), p["source"]["scn"].alias("scn"), p["before"].alias("before"), p["after"].alias("after"), image.alias("image"),
+            message.alias("error_message"), F.when(message.isNotNull(), "MALFORMED_JSON").alias("error_type"),
+        ))
+
+    parsed = F.from_json("value", EVENT, {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
+    return spread(feed, let(parsed, event))
 
 
 def valid(decoded: DataFrame) -> DataFrame:
@@ -67,27 +81,30 @@ def invalid(decoded: DataFrame) -> DataFrame:
 
 
 def typed(image: Column, fields: T.StructType) -> Column:
-    """The fields of a JSON object; a value that doesn't fit its type is null and leaves the others alone."""
-    raw = F.from_json(image, T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
-    return F.struct(*[raw[f.name].try_cast(f.dataType).alias(f.name) for f in fields])
+    """The fields of a JSON object; a value that doesn't fit its type is null and leaves the others alone. One parse for all fields."""
+    texts = F.from_json(image, T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
+    return let(texts, lambda raw: F.struct(*[raw[f.name].try_cast(f.dataType).alias(f.name) for f in fields]))
 
 
 def rows(decoded: DataFrame, table: str) -> DataFrame:
     """The valid events of a table, with its baseline columns and _cdc_op, _cdc_ts_ms, _cdc_table, _cdc_scn, _cdc_image."""
-    own = valid(decoded).filter(F.col("table_name") == table)
-    row = own.select(
-        F.col("op").alias("_cdc_op"), F.col("ts_ms").alias("_cdc_ts_ms"), F.col("table_name").alias("_cdc_table"), F.col("scn").try_cast("long").alias("_cdc_scn"), F.col("image").alias("_cdc_image"), typed(F.col("image"), schema(table)).alias("_row")
+    own = valid(decoded).filter(F.col("table_name") == table).select(
+        F.col("op").alias("_cdc_op"), F.col("ts_ms").alias("_cdc_ts_ms"), F.col("table_name").alias("_cdc_table"), F.col("scn").try_cast("long").alias("_cdc_scn"), F.col("image").alias("_cdc_image")
     )
-    return row.select("_row.*", "_cdc_op", "_cdc_ts_ms", "_cdc_table", "_cdc_scn", "_cdc_image")
+    return spread(own, typed(F.col("_cdc_image"), schema(table))).select(*schema(table).names, *own.columns)
 
 
 def mismatched(decoded: DataFrame, table: str, required: list[str]) -> DataFrame:
     """Valid events of a table with a null required column, or a value that doesn't fit its type: error_type SCHEMA_MISMATCH."""
     fields = schema(table)
-    raw = F.from_json("image", T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
-    bad = [F.when(raw[f.name].isNotNull() & raw[f.name].try_cast(f.dataType).isNull(), F.lit(f"{f.name} does not fit {f.dataType.simpleString()}")) for f in fields]
-    bad += [F.when(raw[c].isNull(), F.lit(f"{c} is missing")) for c in required]
-    out = valid(decoded).filter(F.col("table_name") == table).withColumn("error_message", F.concat_ws("; ", *bad))
+    texts = F.from_json("image", T.StructType([T.StructField(f.name, T.StringType()) for f in fields]))
+
+    def faults(raw: Column) -> Column:
+        bad = [F.when(raw[f.name].isNotNull() & raw[f.name].try_cast(f.dataType).isNull(), F.lit(f"{f.name} does not fit {f.dataType.simpleString()}")) for f in fields]
+        return F.concat_ws("; ", *bad, *[F.when(raw[c].isNull(), F.lit(f"{c} is missing")) for c in required])
+
+    own = valid(decoded).filter(F.col("table_name") == table).drop("error_message", "error_type")
+    out = spread(own, let(texts, lambda raw: F.struct(faults(raw).alias("error_message"))))
     return out.filter("error_message <> ''").withColumn("error_type", F.lit("SCHEMA_MISMATCH"))
 
 
@@ -103,8 +120,10 @@ def split_operations(events: DataFrame, column: str = "_cdc_op") -> tuple[DataFr
 
 def encode(images: DataFrame, table: str, db_schema: str = "SALES", wrapped: bool = True) -> DataFrame:
     """(topic, value) of rows (before, after: structs or JSON text; op, ts_ms, scn)."""
-    body = lambda c: F.parse_json(c) if dict(images.dtypes)[c] == "string" else F.parse_json(F.to_json(c))
-    source = F.struct(F.lit("2.4").alias("version"), F.lit("oracle").alias("connector"), F.lit("feed").alias("name"), F.col("ts_ms"), F.lit("false").alias("snapshot"), F.lit("ORCL").alias("db"), F.lit(db_schema).alias("schema"), F.lit(table).alias("table"), F.col("scn").cast("string").alias("txId"), F.col("scn").cast("string").alias("scn"))
+    body = lambda c: F.parse_json(c) if dict(images.dtypes)[c] == "string" else F.col(c)
+    fixed = {"version": "2.4", "connector": "oracle", "name": "feed", "snapshot": "false", "db": "ORCL", "schema": db_schema, "table": table}
+    scn = F.col("scn").cast("string")
+    source = F.struct(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col("ts_ms"), scn.alias("txId"), scn.alias("scn"))
     payload = F.struct(body("before").alias("before"), body("after").alias("after"), source.alias("source"), F.col("op"), F.col("ts_ms"))
     word = F.element_at(F.create_map(*[F.lit(x) for kv in OPERATIONS.items() for x in kv]), F.col("op"))
     value = F.to_json(F.struct(payload.alias("payload")) if wrapped else payload)

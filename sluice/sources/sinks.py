@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.schemas import MODES
+from sluice.operators.aggregates import furthest
 from sluice.operators.joins import insert_missing
 from sluice.operators.mapping import public_columns
 
@@ -22,16 +24,25 @@ def aligned(df: DataFrame, columns: T.StructType) -> DataFrame:
 
 
 def merged(current: DataFrame, batch: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
-    """current with the rows of batch put in by key, unless current has a later row of the key."""
-    both = current.unionByName(batch, allowMissingColumns=True)
-    best = F.max_by(F.struct(*both.columns), F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order]))
+    """current with the rows of batch put in by key, unless current has a later row of the key.
+
+    Of rows alike in `order` that of batch counts; of such rows within the batch the one of the greatest hash, so reruns agree.
+    """
+    both = current.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    columns = [c for c in both.columns if c != "_new"]
+    rank = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order], "_new", F.xxhash64(*columns))
+    best = F.max_by(F.struct(*columns), rank)
     return both.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(best.alias("_row")).select("_row.*")
 
 
 class Tables:
-    """Tables under a folder. Appends go to a folder for each batch, so that a batch that runs again replaces its own rows; an
-    upsert writes the buckets of keys that a batch touches anew and then points to them, so readers never see half of a
-    version and a small batch doesn't rewrite a large table."""
+    """Tables under a folder. Appends go to a folder for each batch, so that a batch that runs again replaces its own rows.
+
+    An upsert writes the buckets of keys that a batch touches anew, under the batch's own version, and then publishes a
+    pointer current-<batch>.json by one rename. The highest pointer counts and a published one is never changed, so a
+    stop between any two steps leaves the table as before or as after, readers never see half of a version, and a small
+    batch doesn't rewrite a large table.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
@@ -39,27 +50,36 @@ class Tables:
     def _path(self, *parts: str) -> str:
         return "/".join([self.folder, *parts])
 
-    def _pointer(self, table: str) -> tuple[object, object]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, "current.json"))
+    def _at(self, *parts: str) -> tuple[Any, Any]:
+        """The file system and path of a place in the folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(*parts))
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _names(self, *parts: str) -> list[str]:
+        system, path = self._at(*parts)
+        return sorted(x.getPath().getName() for x in system.listStatus(path)) if system.exists(path) else []
+
     def version(self, table: str) -> dict | None:
-        system, path = self._pointer(table)
-        if not system.exists(path):
+        """The batch of the newest version and the version of each bucket; None for a table without versions."""
+        pointers = [n for n in self._names(table) if n.startswith("current-") and n.endswith(".json")]
+        if not pointers:
             return None
-        return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0])
-
-    def paths(self, table: str) -> list[str]:
-        """The folders that hold a table now."""
+        system, path = self._at(table, pointers[-1])
+        stream = system.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def paths(self, table: str, but: int | None = None) -> list[str]:
+        """The folders that hold a table now; of an appended one without those of batch `but`."""
         now = self.version(table)
         if now:
             return [self._path(table, v, f"bucket={b}") for b, v in sorted(now["buckets"].items())]
-        system, _ = self._pointer(table)
-        parts = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, "batches"))
-        return [self._path(table, "batches", "*")] if system.exists(parts) else []
+        return [self._path(table, "batches", n) for n in self._names(table, "batches") if n.startswith("batch=") and n != f"batch={but}"]
 
-    def read(self, table: str, columns: T.StructType) -> DataFrame:
-        paths = self.paths(table)
+    def read(self, table: str, columns: T.StructType, but: int | None = None) -> DataFrame:
+        paths = self.paths(table, but)
         return self.spark.read.schema(columns).parquet(*paths) if paths else self.spark.createDataFrame([], columns)
 
     def append(self, table: str, df: DataFrame, batch_id: int) -> None:
@@ -73,6 +93,20 @@ class Tables:
         """Puts df (one row of each key) in the place of the rows whose keys `of` has; a key that df lacks leaves the table."""
         self._update(table, df, keys, of, batch_id, lambda have: have.join(of.select(*keys), keys, "left_anti").unionByName(df))
 
+    def advance(self, table: str, progress: DataFrame, batch_id: int) -> None:
+        """Progress rows (consumer_id, topic, last_offset, last_timestamp) put into a table; none goes back."""
+        keys = ["consumer_id", "topic"]
+        have = self.read(table, progress.schema).join(progress.select(*keys), keys, "left_semi")
+        self.replace(table, furthest(progress.unionByName(have)), keys, progress, batch_id)
+
+    def remove(self, table: str, columns: T.StructType, keys: list[str], of: DataFrame, batch_id: int) -> None:
+        """Takes the rows whose keys `of` has out of the table."""
+        self.replace(table, self.spark.createDataFrame([], columns), keys, of, batch_id)
+
+    def expire(self, table: str, columns: T.StructType, keys: list[str], ts: str, before: Column, batch_id: int) -> None:
+        """Takes the rows whose ts is earlier than `before` out of the table; rows without a ts stay."""
+        self.remove(table, columns, keys, self.read(table, columns).filter(F.col(ts) < before), batch_id)
+
     def _update(self, table: str, df: DataFrame, keys: list[str], of: DataFrame, batch_id: int, change: Callable[[DataFrame], DataFrame]) -> None:
         now = self.version(table) or {"batch": -1, "buckets": {}}
         if now["batch"] >= batch_id:
@@ -83,15 +117,19 @@ class Tables:
         have = self.spark.read.schema(df.schema).parquet(*old) if old else df.limit(0)
         name = f"version={batch_id}"
         change(have).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(table, name))
-        system, path = self._pointer(table)
-        left = {str(b): name for b in touched if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table, name, f"bucket={b}")))}  # a bucket can run empty
+        written = {n.removeprefix("bucket=") for n in self._names(table, name) if n.startswith("bucket=")}  # a bucket can run empty
         kept = {b: v for b, v in now["buckets"].items() if int(b) not in touched}
-        part = self.spark._jvm.org.apache.hadoop.fs.Path(path.toString() + ".part")
+        self._publish(table, {"batch": batch_id, "buckets": kept | {b: name for b in written}})
+
+    def _publish(self, table: str, version: dict) -> None:
+        name = f"current-{version['batch']:019d}.json"
+        system, part = self._at(table, f".{name}.part")
         out = system.create(part, True)
-        out.write(bytearray(json.dumps({"batch": batch_id, "buckets": kept | left}).encode()))
+        out.write(bytearray(json.dumps(version).encode()))
         out.close()
-        system.delete(path, False)
-        system.rename(part, path)
+        system.rename(part, self._at(table, name)[1])
+        for old in [n for n in self._names(table) if n.startswith("current-")][:-2]:  # the one before stays for readers
+            system.delete(self._at(table, old)[1], False)
 
     def write(self, table: str, df: DataFrame, batch_id: int, keys: list[str] | None = None, order: tuple[str, ...] = ("source_ts",)) -> bool:
         """Writes by the table's mode; False for a table that has none."""
@@ -101,7 +139,7 @@ class Tables:
         elif mode == "upsert":
             self.upsert(table, df, keys or [], order, batch_id)
         elif mode == "insert_missing":
-            self.append(table, insert_missing(self.read(table, df.schema), df, keys or []), batch_id)
+            self.append(table, insert_missing(self.read(table, df.schema, but=batch_id), df, keys or []), batch_id)
         return mode is not None
 
 
@@ -139,8 +177,10 @@ def row_payloads(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.to_json(F.struct(*_iso(rows.select(*columns)))).alias("payload"))
 
 
+# The columns of two target tables.
 ENRICHED = ["order_id", "customer_id", "customer_name", "customer_tier", "customer_region", "total_amount", "item_count", "order_date", "status", "window_start", "window_end"]
 EXTRACTED = ["order_id", "product_id", "quantity", "unit_price", "subtotal", "extracted_from"]
+# End of the fixed values.
 
 
 def chunked(payloads: DataFrame, size: int = 100) -> DataFrame:

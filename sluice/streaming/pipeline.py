@@ -2,65 +2,110 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from sluice.functions.schemas import KEYS, TARGETS
+from sluice.functions.schemas import KEYS, MODES, TARGETS
 from sluice.operators import evolution, xml
-from sluice.operators.aggregates import by_tier
+from sluice.operators.aggregates import by_tier, progress
 from sluice.operators.dedup import ORDER, latest_by_key
 from sluice.operators.joins import current, enrich_orders
 from sluice.operators.mapping import customers_back, to_target
-from sluice.sources.envelope import decode, invalid, rows
-from sluice.sources.sinks import Tables, dead_letters
+from sluice.sources.envelope import decode, invalid, mismatched, rows
+from sluice.sources.sinks import Tables, aligned, dead_letters, each_on_its_own
 
 
 @dataclass
 class Settings:
+    """buckets: parts by key of each upserted table, of which a batch writes those that it touches. sinks: what else each batch of enriched orders goes to, by name; one that fails stops neither the others nor the batch."""
+
     consumer: str = "sluice"
     trigger: str = "10 seconds"
     dead_letters: bool = True
     enrich: bool = True
+    buckets: int = 64
+    sinks: dict[str, Callable[[DataFrame], None]] = field(default_factory=dict)
+
+
+REGISTRY = "table_name STRING, column_name STRING, column_type STRING, is_active BOOLEAN"
+SEQUENCE = ("source_ts", "source_scn")
 
 
 class Pipeline:
     """Writes each micro-batch of messages to the target tables, under its batch id: a batch that runs again replaces itself."""
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
-        self.tables, self.settings = Tables(spark, folder), settings or Settings()
+        self.spark, self.settings = spark, settings or Settings()
+        self.tables = Tables(spark, folder, self.settings.buckets)
 
     def batch(self, messages: DataFrame, batch_id: int) -> None:
+        """Tables without events in the batch are left alone. Each table's latest rows are computed once for all that use them."""
         decoded = decode(messages).persist()
+        here = {r[0] for r in decoded.select("table_name").filter(F.col("table_name").isin(*KEYS)).distinct().collect()}  # five at most
+        every = {t: rows(decoded, t) for t in KEYS}
+        latest = {t: latest_by_key(every[t], [k]) for t, k in KEYS.items()}
+        latest |= {t: latest[t].persist() for t in here}
         try:
-            latest = {t: latest_by_key(rows(decoded, t), [k]) for t, k in KEYS.items()}
-            for table, target in TARGETS.items():
-                out = to_target(xml.without_xml(latest[table], xml.ITEMS) if table == "ORDERS" else latest[table], table)
-                self.tables.write(target, out, batch_id, [KEYS[table].lower()])
-            items = xml.order_items(latest["ORDERS"])
-            self.tables.write("cdc_order_items_extracted", items.withColumnRenamed("ORDER_ID", "order_id"), batch_id)
-            self.tables.write("cdc_orders_dynamic", evolution.dynamic_rows(latest["ORDERS"], "ORDERS"), batch_id)
+            for table in sorted(here):
+                own = xml.without_xml(latest[table], xml.ITEMS) if table == "ORDERS" else latest[table]
+                # appended tables have the declared columns; in others the sequence number tells events of one time apart
+                upserts = MODES[TARGETS[table]] == "upsert"
+                self.tables.write(TARGETS[table], to_target(own, table, sequence=upserts), batch_id, [KEYS[table].lower()], SEQUENCE)
+            if "ORDERS" in here:
+                items = xml.order_items(latest["ORDERS"])
+                self.tables.write("cdc_order_items_extracted", items.withColumnRenamed("ORDER_ID", "order_id"), batch_id)
+            failures = self.evolved({t: every[t] for t in sorted(here)}, batch_id)
+            if self.settings.enrich and here & {"ORDERS", "ORDER_ITEMS", "CUSTOMERS"}:
+                failures |= self.enriched(latest["ORDERS"], latest["ORDER_ITEMS"], to_target(latest["CUSTOMERS"], "CUSTOMERS"), batch_id)
             if self.settings.dead_letters:
-                self.failed(decoded, latest["ORDERS"], batch_id)
-            if self.settings.enrich:
-                self.enriched(latest["ORDERS"], latest["ORDER_ITEMS"], to_target(latest["CUSTOMERS"], "CUSTOMERS"), batch_id)
+                self.failed(decoded, every, here, failures, batch_id)
+            self.tables.advance("cdc_checkpoints", progress(decoded, self.settings.consumer), batch_id)
         finally:
-            decoded.unpersist()
+            for df in (decoded, *(latest[t] for t in here)):
+                df.unpersist()
 
-    def failed(self, decoded: DataFrame, orders: DataFrame, batch_id: int) -> None:
-        now = F.current_timestamp()
-        bad = dead_letters(invalid(decoded), F.col("topic"), F.col("value"), self.settings.consumer, now)
-        broken = dead_letters(xml.malformed(orders, xml.ITEMS), F.lit("cdc/oracle/ORDERS"), F.col("_cdc_image"), self.settings.consumer, now)
-        self.tables.write("cdc_dlq", bad.unionByName(broken), batch_id)
+    def evolved(self, every: dict[str, DataFrame], batch_id: int) -> dict[str, str]:
+        """Unknown columns of all tables and events: their rows go to the dynamic table, their names to the registry.
 
-    def enriched(self, orders: DataFrame, items: DataFrame, customers: DataFrame, batch_id: int) -> None:
+        A registry that can't be written does not stop the batch; returns the message of what failed.
+        """
+        if not every:
+            return {}
+        dynamic = reduce(DataFrame.unionByName, [evolution.dynamic_rows(df, t) for t, df in every.items()]).persist()
+        try:
+            if dynamic.isEmpty():
+                return {}
+            self.tables.write("cdc_orders_dynamic", dynamic, batch_id)
+            found = reduce(DataFrame.unionByName, [evolution.detected(df, t) for t, df in every.items()]).withColumn("is_active", F.lit(False))
+            register = lambda df: self.tables.write("cdc_schema_registry", aligned(df, T.StructType.fromDDL(REGISTRY)), batch_id, ["table_name", "column_name"])
+            return each_on_its_own(found, {"registry": register})
+        finally:
+            dynamic.unpersist()
+
+    def failed(self, decoded: DataFrame, every: dict[str, DataFrame], here: set[str], failures: dict[str, str], batch_id: int) -> None:
+        """What could not be read goes to the dead letters: messages, values of other types, XML of every event, and sinks' failures."""
+        dead = lambda df, topic, payload: dead_letters(df, topic, payload, self.settings.consumer, F.current_timestamp())
+        out = dead(invalid(decoded), F.col("topic"), F.col("value"))
+        for table in sorted(here):
+            out = out.unionByName(dead(mismatched(decoded, table, [KEYS[table]]), F.col("topic"), F.col("value")))
+        if "ORDERS" in here:
+            out = out.unionByName(dead(xml.malformed(every["ORDERS"], xml.ITEMS), F.lit("cdc/oracle/ORDERS"), F.col("_cdc_image")))
+        if failures:
+            lost = self.spark.createDataFrame([("WRITE_ERROR", m, n) for n, m in failures.items()], "error_type string, error_message string, name string")
+            out = out.unionByName(dead(lost, F.col("name"), F.lit(None).cast("string")))
+        self.tables.write("cdc_dlq", out, batch_id)
+
+    def enriched(self, orders: DataFrame, items: DataFrame, customers: DataFrame, batch_id: int) -> dict[str, str]:
         """Enriches the orders that the batch touches itself, by an item or by their customer, from the latest rows of all batches.
 
         An item that goes to another order touches both. Orders that are deleted leave the table. The aggregates count the
-        orders that the batch brings alone.
+        orders that the batch brings alone. The enriched orders also go to the sinks of the settings; returns what failed there.
         """
         state = {}
         for name, df, key, columns in (("state_orders", orders, "ORDER_ID", ["ORDER_ID", "CUSTOMER_ID", "TOTAL_AMOUNT", "ORDER_DATE", "STATUS"]), ("state_order_items", items, "ITEM_ID", ["ITEM_ID", "ORDER_ID", "SUBTOTAL"])):
@@ -75,9 +120,12 @@ class Pipeline:
             mine = state["state_orders"].join(touched, "ORDER_ID", "left_semi")
             parts = state["state_order_items"].join(touched, "ORDER_ID", "left_semi")
             people = customers_back(self.tables.read("cdc_customers", customers.schema).filter("operation <> 'd'"))
-            out = enrich_orders(current(mine), people, current(parts)).withColumn("source_ts", F.col("window_start"))
+            out = enrich_orders(current(mine), people, current(parts)).withColumn("source_ts", F.col("window_start")).persist()
             self.tables.replace("cdc_orders_enriched", out, ["order_id"], touched.withColumnRenamed("ORDER_ID", "order_id"), batch_id)
             self.tables.write("cdc_order_aggregations", by_tier(out.join(own.withColumnRenamed("ORDER_ID", "order_id"), "order_id", "left_semi")), batch_id)
+            failures = each_on_its_own(out, self.settings.sinks) if self.settings.sinks else {}
+            out.unpersist()
+            return failures
         finally:
             touched.unpersist()
 
@@ -113,7 +161,8 @@ def late_rows(batch: DataFrame, ts: str, watermark_ms: int) -> DataFrame:
 
 
 def collected(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """What a stream yields over all that is there now, as a table."""
+    """What a stream yields over all that is there now, as a table. Not for operators whose state expires by processing time: such
+    a stream never ends by itself."""
     spark, schema = stream.sparkSession, stream.schema
     out = f"{folder}/out"
 

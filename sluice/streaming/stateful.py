@@ -24,8 +24,11 @@ def with_rocksdb(spark: SparkSession) -> SparkSession:
 class _Newer(StatefulProcessor):
     """Lets a row pass if its ts is beyond every ts of its key so far."""
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ts LONG")
+        self.seen = handle.getValueState("seen", "ts LONG", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         seen = self.seen.get()[0] if self.seen.exists() else None
@@ -42,21 +45,30 @@ class _Newer(StatefulProcessor):
         pass
 
 
-def drop_stale(rows: DataFrame, schema: str = "key long, ts long, scn long", known: DataFrame | None = None) -> DataFrame:
+def _mode(ttl_ms: int | None) -> str:
+    """State expires by processing time; without a ttl no timers run."""
+    return "processingTime" if ttl_ms else "none"
+
+
+def drop_stale(rows: DataFrame, schema: str = "key long, ts long, scn long", known: DataFrame | None = None, ttl_ms: int | None = None) -> DataFrame:
     """Rows (key, ts, scn, ...) whose ts is later than all that earlier batches let pass for the key; one row of a key and ts.
 
-    known (key, ts): what a first run takes as seen, as from target tables; later runs go on from the checkpoint.
+    known (key, ts): what a first run takes as seen, as from target tables; later runs go on from the checkpoint. A key that
+    had no news for ttl_ms of processing time is forgotten; without ttl_ms none is.
     """
     initial = known.groupBy("key") if known is not None else None
-    return rows.groupBy("key").transformWithStateInPandas(_Newer(), schema, "append", "none", initialState=initial)
+    return rows.groupBy("key").transformWithStateInPandas(_Newer(ttl_ms), schema, "append", _mode(ttl_ms), initialState=initial)
 
 
 class _Pending(StatefulProcessor):
     """Orders wait until their customer is known."""
 
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.name = handle.getValueState("name", "name STRING, ts LONG")
-        self.waiting = handle.getListState("waiting", "order_id LONG")
+        self.name = handle.getValueState("name", "name STRING, ts LONG", self.ttl_ms)
+        self.waiting = handle.getListState("waiting", "order_id LONG", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows))
@@ -81,22 +93,25 @@ class _Pending(StatefulProcessor):
         pass
 
 
-def pending_join(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Orders (customer_id, order_id) joined with customers (customer_id, name, ts); an order waits for its customer as long as it takes."""
+def pending_join(orders: DataFrame, customers: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Orders (customer_id, order_id) joined with customers (customer_id, name, ts); an order waits for its customer.
+
+    With ttl_ms customers are forgotten, and orders given up, after so much processing time; without it state stays.
+    """
     none = lambda t: F.lit(None).cast(t)
     both = orders.select("customer_id", F.col("order_id").cast("long").alias("order_id"), none("string").alias("name"), F.lit(0).cast("long").alias("ts"), F.lit(False).alias("is_customer"))
     both = both.unionByName(customers.select("customer_id", F.lit(0).cast("long").alias("order_id"), "name", F.col("ts").cast("long").alias("ts"), F.lit(True).alias("is_customer")))
-    return both.groupBy("customer_id").transformWithStateInPandas(_Pending(), "customer_id long, order_id long, customer_name string", "append", "none")
+    return both.groupBy("customer_id").transformWithStateInPandas(_Pending(ttl_ms), "customer_id long, order_id long, customer_name string", "append", _mode(ttl_ms))
 
 
 class _Items(StatefulProcessor):
     """The latest items of an order; above `cap` the last `keep` stay, and after `ttl_ms` of event time without news the list starts afresh."""
 
-    def __init__(self, cap: int, keep: int, ttl_ms: int):
-        self.cap, self.keep, self.ttl_ms = cap, keep, ttl_ms
+    def __init__(self, cap: int, keep: int, ttl_ms: int, state_ttl_ms: int | None):
+        self.cap, self.keep, self.ttl_ms, self.state_ttl_ms = cap, keep, ttl_ms, state_ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getListState("items", "item_id LONG, ts LONG")
+        self.items = handle.getListState("items", "item_id LONG, ts LONG", self.state_ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         have = [tuple(r) for r in self.items.get()]
@@ -113,9 +128,14 @@ class _Items(StatefulProcessor):
         pass
 
 
-def item_lists(items: DataFrame, cap: int = 100, keep: int = 50, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Items (order_id, item_id, ts) to the number that each order's list holds after each batch."""
-    return items.groupBy("order_id").transformWithStateInPandas(_Items(cap, keep, ttl_ms), "order_id long, items long, last_ts long", "update", "none")
+def item_lists(items: DataFrame, cap: int = 100, keep: int = 50, ttl_ms: int = 3_600_000, state_ttl_ms: int | None = None) -> DataFrame:
+    """Items (order_id, item_id, ts) to the number that each order's list holds after each batch.
+
+    ttl_ms is event time between items after which a list starts afresh; state_ttl_ms is processing time after which the
+    state of an order without news is dropped.
+    """
+    lists = _Items(cap, keep, ttl_ms, state_ttl_ms)
+    return items.groupBy("order_id").transformWithStateInPandas(lists, "order_id long, items long, last_ts long", "update", _mode(state_ttl_ms))
 
 
 def join_streams(orders: DataFrame, items: DataFrame, late: str = "10 seconds", within: str = "1 hour") -> DataFrame:
@@ -124,3 +144,18 @@ def join_streams(orders: DataFrame, items: DataFrame, late: str = "10 seconds",
     o, i = orders.withWatermark("order_ts", late), items.withWatermark("item_ts", late)
     near = F.expr(f"order_id = item_order_id AND item_ts BETWEEN order_ts - INTERVAL {within} AND order_ts + INTERVAL {within}")
     return o.join(i, near, "leftOuter")
+
+
+def join_four(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, late: str = "10 seconds", within: str = "1 hour") -> DataFrame:
+    """Items (item_order_id, item_product_id, item_ts, ...) with their order (order_id, order_customer_id, order_ts), its customer
+    (customer_id, customer_ts, ...) and their product (product_id, product_ts, ...), all four streams with watermarks.
+
+    Each side may come up to `within` of event time apart from the item or order it belongs to, so all state is dropped in time.
+    Orders meet their customers and items their products first: each join then has one time a side, as watermarks ask. Of the times
+    item_ts stays.
+    """
+    o, c, i, p = orders.withWatermark("order_ts", late), customers.withWatermark("customer_ts", late), items.withWatermark("item_ts", late), products.withWatermark("product_ts", late)
+    near = lambda a, b: F.expr(f"{a} BETWEEN {b} - INTERVAL {within} AND {b} + INTERVAL {within}")
+    whose = o.join(c, F.expr("order_customer_id = customer_id") & near("customer_ts", "order_ts")).drop("customer_ts")
+    what = i.join(p, F.expr("item_product_id = product_id") & near("product_ts", "item_ts")).drop("product_ts")
+    return whose.join(what, F.expr("order_id = item_order_id") & near("item_ts", "order_ts")).drop("order_ts")

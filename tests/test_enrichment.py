@@ -15,7 +15,7 @@ def enriched(feed, orders=None):
 
 def test_enriched_order(feed):
     r = enriched(feed).first()
-    assert (r["order_id"], r["customer_id"], r["customer_name"], r["customer_tier"], r["customer_region"], float(r["total_amount"]), r["item_count"]) == (1001, 501, "John Doe", "GOLD", "Jakarta", 299.99, 1)
+    assert (r["order_id"], r["customer_id"], r["customer_name"], r["customer_tier"], r["customer_region"], float(r["total_amount"]), r["item_count"]) == (77, 9, "Ada Quill", "SILVER", "Turku", 71.5, 1)
     assert (r["window_end"] - r["window_start"]).seconds == 300
 
 
@@ -69,6 +69,69 @@ def test_upsert_keeps_the_later_row_and_replays_once(spark, tmp_path):
     assert got == {1: "new", 2: "b", 3: "c"} and not t.write("unknown", rows(), 0)
 
 
+def contents(t, table, schema):
+    return sorted(tuple(r) for r in t.read(table, schema).collect())
+
+
+def test_of_equal_times_the_greater_sequence_number_counts(spark, tmp_path):
+    t = sinks.Tables(spark, f"file://{tmp_path}", buckets=2)
+    rows = lambda *x: spark.createDataFrame(list(x), "customer_id int, name string, source_ts int, source_scn long")
+    put = lambda i, *x: t.write("cdc_customers", rows(*x), i, ["customer_id"], ("source_ts", "source_scn"))
+    put(0, (1, "ten", 5, 10), (2, "x", 5, 7))
+    put(1, (1, "nine", 5, 9), (2, "same", 5, 7), (3, "c", 5, None))
+    put(2, (3, "d", 5, 1))
+    assert [r[1] for r in contents(t, "cdc_customers", rows().schema)] == ["ten", "same", "d"]
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    t = sinks.Tables(spark, f"file://{tmp_path}", buckets=2)
+    schema = "table_name string, column_name string"
+    found = lambda *names: spark.createDataFrame([("ORDERS", n) for n in names], schema)
+    runs = [(0, found("a", "b")), (1, found("b", "c"))]
+    for i, df in [runs[0], runs[0], runs[1], runs[1], runs[0]]:
+        t.write("cdc_schema_registry", df, i, ["table_name", "column_name"])
+    assert [r[1] for r in contents(t, "cdc_schema_registry", found().schema)] == ["a", "b", "c"]
+    for _ in range(2):
+        t.write("cdc_orders", spark.range(3), 4)
+    assert t.read("cdc_orders", spark.range(1).schema).count() == 3
+
+
+@pytest.mark.parametrize("step", ["_publish", "rename"])
+def test_a_stop_between_two_steps_loses_nothing(spark, tmp_path, monkeypatch, step):
+    t = sinks.Tables(spark, f"file://{tmp_path}", buckets=2)
+    rows = lambda *x: spark.createDataFrame(list(x), "customer_id int, name string, source_ts int")
+    t.write("cdc_customers", rows((1, "a", 1), (2, "b", 1)), 0, ["customer_id"])
+    second = lambda: t.write("cdc_customers", rows((1, "new", 2)), 1, ["customer_id"])
+    with monkeypatch.context() as m:
+        if step == "_publish":
+            m.setattr(t, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("stopped")))
+        else:  # the pointer is written but not yet in its place
+            at = t._at
+            m.setattr(t, "_at", lambda *parts: (_ for _ in ()).throw(RuntimeError("stopped")) if parts[-1].startswith("current-") and parts[-1].endswith("1.json") else at(*parts))
+        with pytest.raises(RuntimeError):
+            second()
+    assert contents(t, "cdc_customers", rows().schema) == [(1, "a", 1), (2, "b", 1)]
+    second()
+    assert contents(t, "cdc_customers", rows().schema) == [(1, "new", 2), (2, "b", 1)]
+
+
+def test_rows_are_removed_and_expire(spark, tmp_path):
+    t = sinks.Tables(spark, f"file://{tmp_path}", buckets=2)
+    rows = spark.createDataFrame([(i, i * 10) for i in range(6)], "k int, ts int")
+    t.upsert("state", rows, ["k"], ("ts",), 0)
+    t.remove("state", rows.schema, ["k"], rows.filter("k = 3"), 1)
+    t.expire("state", rows.schema, ["k"], "ts", F.lit(20), 2)
+    assert [r[0] for r in contents(t, "state", rows.schema)] == [2, 4, 5]
+
+
+def test_rules_about_waiting_and_dead_letters(spark):
+    at = lambda m: f"TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, {m})"
+    rows = spark.createDataFrame([(0, 1, 5.0), (1, 2, 90.0), (2, None, 5.0), (61, 62, 5.0)], "m int, d int, ms double")
+    rows = rows.withColumns({"ts": F.expr(at("m")), "done": F.expr(at("d"))})
+    got = {(r["rule"], r["value"]) for r in alerts.breaches(rows, "ts", F.lit(False), F.col("ms"), "60 minutes", 0.5, 50, 0, 0, done=F.col("done"), is_dead=F.col("m") == 1).collect()}
+    assert got == {("p99_latency", 90.0), ("backlog", 1.0), ("dead_letters", 1.0)}
+
+
 def test_dual_sinks(spark):
     seen = []
 

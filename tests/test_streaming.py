@@ -24,25 +24,25 @@ def test_pipeline_and_restart(spark, tmp_path):
     go()
     read = lambda t: [r.asDict() for r in spark.read.parquet(*run.tables.paths(t)).collect()]
     assert [r["tier"] for r in read("cdc_customers")] == ["PLATINUM"]
-    assert sorted(r["order_id"] for r in read("cdc_orders")) == [7, 1001]
+    assert sorted(r["order_id"] for r in read("cdc_orders")) == [7, 77]
     assert len(read("cdc_order_items_extracted")) == 2
     assert sorted(r["error_type"] for r in read("cdc_dlq")) == ["MALFORMED_JSON", "MALFORMED_XML"]
     assert [json.loads(r["data"]) for r in read("cdc_orders_dynamic")] == [{"PRIORITY": "HIGH"}]
-    assert {r["order_id"]: (r["customer_name"], r["item_count"]) for r in read("cdc_orders_enriched")} == {1001: ("John Doe", 1), 7: ("John Doe", 0)}
+    assert {r["order_id"]: (r["customer_name"], r["item_count"]) for r in read("cdc_orders_enriched")} == {77: ("Ada Quill", 1), 7: ("Ada Quill", 0)}
 
 
 def test_enriched_over_several_batches(spark, feed, tmp_path):
     """The order, its items and its customer come in batches of their own, in any order."""
     run = pipeline.Pipeline(spark, f"file://{tmp_path}/tables", pipeline.Settings(dead_letters=False))
-    item = lambda i, order=1001: ITEM | {"ITEM_ID": i, "ORDER_ID": order}
+    item = lambda i, order=77: ITEM | {"ITEM_ID": i, "ORDER_ID": order}
     later = 1_700_000_000_001
     batches = [
         ([message("ORDER_ITEMS", item(1))], {}),
-        ([message("ORDERS", ORDER), message("ORDERS", ORDER | {"ORDER_ID": 7})], {1001: (None, 1), 7: (None, 0)}),
-        ([message("CUSTOMERS", CUSTOMER), message("ORDER_ITEMS", item(2))], {1001: ("John Doe", 2), 7: ("John Doe", 0)}),
-        ([message("ORDERS", ORDER | {"STATUS": "SHIPPED"}, op="u", ts_ms=later), message("ORDER_ITEMS", item(2, 7), op="u", ts_ms=later)], {1001: ("John Doe", 1), 7: ("John Doe", 1)}),
+        ([message("ORDERS", ORDER), message("ORDERS", ORDER | {"ORDER_ID": 7})], {77: (None, 1), 7: (None, 0)}),
+        ([message("CUSTOMERS", CUSTOMER), message("ORDER_ITEMS", item(2))], {77: ("Ada Quill", 2), 7: ("Ada Quill", 0)}),
+        ([message("ORDERS", ORDER | {"STATUS": "SHIPPED"}, op="u", ts_ms=later), message("ORDER_ITEMS", item(2, 7), op="u", ts_ms=later)], {77: ("Ada Quill", 1), 7: ("Ada Quill", 1)}),
         # an older order and item, and deletes
-        ([message("ORDERS", ORDER), message("ORDER_ITEMS", item(2)), message("ORDER_ITEMS", None, item(1), op="d", ts_ms=later), message("ORDERS", None, ORDER | {"ORDER_ID": 7}, op="d", ts_ms=later)], {1001: ("John Doe", 0)}),
+        ([message("ORDERS", ORDER), message("ORDER_ITEMS", item(2)), message("ORDER_ITEMS", None, item(1), op="d", ts_ms=later), message("ORDERS", None, ORDER | {"ORDER_ID": 7}, op="d", ts_ms=later)], {77: ("Ada Quill", 0)}),
     ]
     for i, (messages, want) in enumerate(batches):
         run.batch(feed(*messages), i)
@@ -74,3 +74,59 @@ def test_first_run_starts_from_known_state(spark, tmp_path):
     known = spark.createDataFrame([(1, 6)], "key long, ts long")
     got = pipeline.collected(stateful.drop_stale(stream, known=known), f"{tmp_path}/out").collect()
     assert sorted((r["key"], r["ts"]) for r in got) == [(1, 8), (2, 5)]
+
+
+def test_pipeline_sides(spark, feed, tmp_path):
+    """Registry, dynamic rows of all tables and events, dead letters of every kind, a sink that fails, and sequence numbers."""
+    seen = []
+
+    def down(df):
+        raise RuntimeError("no route")
+
+    settings = pipeline.Settings(buckets=2, sinks={"push": down, "copy": lambda df: seen.append(df.count())})
+    run = pipeline.Pipeline(spark, f"file://{tmp_path}/tables", settings)
+    read = lambda t: [r.asDict() for r in spark.read.parquet(*run.tables.paths(t)).collect()]
+    broken = message("ORDERS", ORDER | {"SHIPPING_INFO": "<a><items>", "RUSH": True}, ts_ms=1)
+    run.batch(feed(broken, message("ORDERS", ORDER), message("CUSTOMERS", CUSTOMER | {"MOOD": "calm"}, scn="10"), message("CUSTOMERS", {"CUSTOMER_ID": "none"})), 0)
+    run.batch(feed(message("CUSTOMERS", CUSTOMER | {"TIER": "LATE"}, scn="9"), message("ORDERS", ORDER | {"STATUS": "STALE"}, ts_ms=2), message("ORDERS", ORDER | {"RUSH": False}, ts_ms=3)), 1)
+    assert sorted((r["table_name"], r["column_name"]) for r in read("cdc_schema_registry")) == [("CUSTOMERS", "MOOD"), ("ORDERS", "RUSH")]
+    assert sorted((r["source_table"], json.loads(r["data"]).popitem()) for r in read("cdc_orders_dynamic")) == [("CUSTOMERS", ("MOOD", "calm")), ("ORDERS", ("RUSH", False)), ("ORDERS", ("RUSH", True))]
+    assert sorted((r["error_type"], r["original_topic"]) for r in read("cdc_dlq")) == [("MALFORMED_XML", "cdc/oracle/ORDERS"), ("SCHEMA_MISMATCH", "cdc/oracle/SALES/CUSTOMERS/insert"), ("WRITE_ERROR", "push"), ("WRITE_ERROR", "push")]
+    assert [r["tier"] for r in read("cdc_customers")] == ["SILVER"] and [r["status"] for r in read("cdc_orders_enriched")] == ["CONFIRMED"]
+    assert seen == [1, 1] and max(r["last_offset"] for r in read("cdc_checkpoints")) == 10
+
+
+def test_output_modes_and_statistics(spark, tmp_path):
+    spark.createDataFrame([(1, 2), (1, 3), (2, 5)], "k int, v int").repartition(2).write.parquet(f"{tmp_path}/in")
+    stats = pipeline.Statistics()
+    spark.streams.addListener(stats)
+    try:
+        sums = spark.readStream.schema("k int, v int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").groupBy("k").agg(F.sum("v").alias("v"))
+        out = pipeline.collected(sums, f"{tmp_path}/out", "complete")
+        last = out.agg(F.max("_batch")).first()[0]
+        assert sorted((r["k"], r["v"]) for r in out.filter(F.col("_batch") == last).collect()) == [(1, 5), (2, 5)]
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        assert sum(b["rows"] for b in stats.batches) == 3 and all(b["ms"] >= 0 for b in stats.batches)
+    finally:
+        spark.streams.removeListener(stats)
+
+
+def test_state_expires(spark, tmp_path):
+    """The same row passes again once its key is forgotten."""
+    import time
+
+    stateful.with_rocksdb(spark)
+    schema, got = "key long, ts long, scn long", []
+    put_row = lambda: spark.createDataFrame([(1, 5, 1)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put_row()
+    stream = stateful.drop_stale(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), ttl_ms=1)
+    query = stream.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    try:
+        for n in (1, 2):
+            end = time.time() + 60
+            while len(got) < n and time.time() < end:
+                time.sleep(0.3)
+            put_row()
+    finally:
+        query.stop()
+    assert len(got) >= 2
