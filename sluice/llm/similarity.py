@@ -14,7 +14,8 @@ from sluice.llm.common import find_words, mix, parts, written
 SKETCH_BITS = 23
 _BLOCK_BITS = 17  # counters of a block of the sketch
 SIGNATURE = 4  # longs
-_ORDERS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+SIGNS = [f"s{i}" for i in range(SIGNATURE)]
+_SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,8 +49,8 @@ def _nodes(doc: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit name of each text's set, as a signed long."""
     sums = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
     np.add.at(sums[0], doc, mix(shingle))
-    np.add.at(sums[1], doc, mix(shingle ^ _ORDERS[1]))
-    return (mix(sums[0]) ^ mix(sums[1] * _ORDERS[2] + np.uint64(1))).view(np.int64)
+    np.add.at(sums[1], doc, mix(shingle ^ _SALTS[0]))
+    return (mix(sums[0]) ^ mix(sums[1] * _SALTS[1] + np.uint64(1))).view(np.int64)
 
 
 class _Sets:
@@ -111,19 +112,32 @@ def least_common(n: int | np.ndarray, percent: int):
     return -(-n * percent // 100)
 
 
-def _ordered(doc: np.ndarray, shingle: np.ndarray, levels: np.ndarray, salt: np.uint64) -> np.ndarray:
-    """The shingles by document in a global order: rare classes first, then by a salted hash."""
-    return np.lexsort((mix(shingle ^ salt), levels[(shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], doc))
+def _slot(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _ordered(doc: np.ndarray, shingle: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The shingles by document in the order of rarity: rare classes first, then by hash."""
+    return np.lexsort((mix(shingle), levels[_slot(shingle)], doc))
+
+
+def _prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
+    """So many first shingles of a set, in any order, include one of each set as like as that."""
+    return n - least_common(n, percent) + 1
 
 
 class _Prefixes:
-    """Texts to (token, node, n, place) for the first shingles in the first order, once for each set in a task."""
+    """Texts to (token, salt, node, n, place) for the first shingles in the order of rarity, once for each set in a task.
 
-    def __init__(self, k: int, percent: int, levels):
-        self.k, self.percent, self.levels = k, percent, levels
+    The salt parts the tokens of classes that the sketch counts over `hot` times, by node; other tokens have -1.
+    """
+
+    def __init__(self, k: int, percent: int, levels, hot: float):
+        self.k, self.percent, self.levels, self.hot = k, percent, levels, hot
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = np.frombuffer(self.levels.value, np.uint8), set()
+        pieces = np.ceil(np.exp2(np.arange(256) / 8) / self.hot).astype(np.int64)  # by level
         for whole in batches:
             for batch in parts(whole, "text"):
                 doc, shingle = shingles(batch.column("text"), self.k)
@@ -133,80 +147,157 @@ class _Prefixes:
                     fresh[i] = x not in seen
                     seen.add(x)
                 doc, shingle = doc[fresh[doc]], shingle[fresh[doc]]
-                order = _ordered(doc, shingle, levels, _ORDERS[0])
+                order = _ordered(doc, shingle, levels)
                 doc, shingle = doc[order], shingle[order]
                 n = np.bincount(doc, minlength=batch.num_rows)
                 place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc] + 1
-                keep = place <= n[doc] - least_common(n[doc], self.percent) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[keep].view(np.int64)), pa.array(node[doc[keep]]), pa.array(n[doc[keep]]), pa.array(place[keep])], ["token", "node", "n", "place"])
+                keep = place <= _prefix_sizes(n[doc], self.percent)
+                doc, token, place = doc[keep], shingle[keep], place[keep]
+                into = pieces[levels[_slot(token)]]
+                salt = np.where(into > 1, (mix(node[doc].view(np.uint64)) % np.maximum(into, 1).astype(np.uint64)).astype(np.int64), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), salt, node[doc], n[doc], place)], ["token", "salt", "node", "n", "place"])
 
 
-class _Verify:
-    """Candidate pairs with both sets to those that are like enough.
+class _Load:
+    """Texts to (node, low, high, set) where the text has the node's set.
 
-    A pair must share a prefix shingle in each of the other orders too before the sets are compared.
+    low and high are the prefixes in two more orders, of rising and of falling hashes (32 bits of each shingle).
     """
 
-    def __init__(self, percent: int, levels):
-        self.percent, self.levels = percent, levels
+    def __init__(self, k: int, percent: int):
+        self.k, self.percent = k, percent
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in parts(whole, "text"):
+                doc, shingle = shingles(batch.column("text"), self.k)
+                node = _nodes(doc, shingle, batch.num_rows)
+                cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                low, high, sets, own = [], [], [], np.flatnonzero(node == batch.column("node").to_numpy())
+                for i in own:
+                    one = shingle[cut[i] : cut[i + 1]]
+                    size = _prefix_sizes(len(one), self.percent)
+                    short = (one & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+                    low.append(short[:size])
+                    high.append(short[-size:])
+                    sets.append(one.tobytes())
+                kind = pa.list_(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(low, kind), pa.array(high, kind), pa.array(sets, pa.binary())], ["node", "low", "high", "set"])
+
+
+class _Verify:
+    """Candidate pairs with both sets to those that are like enough."""
 
-    def prefix(self, s: np.ndarray, levels: np.ndarray, salt: np.uint64) -> np.ndarray:
-        return s[_ordered(np.zeros(len(s), np.int64), s, levels, salt)][: len(s) - least_common(len(s), self.percent) + 1]
+    def __init__(self, percent: int):
+        self.percent = percent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(self.levels.value, np.uint8)
         for batch in batches:
-            keep, known = [], {}
-            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "set_a", "set_b"))):
+            keep = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = -(-self.percent * (len(x) + len(y)) // (100 + self.percent))
-                like = True
-                for salt in _ORDERS[1:]:
-                    for node, s in ((a, x), (b, y)):
-                        if (node.as_py(), salt) not in known:
-                            known[node.as_py(), salt] = self.prefix(s, levels, salt)
-                    like = like and bool(np.isin(known[a.as_py(), salt], known[b.as_py(), salt]).any())
-                keep.append(like and len(np.intersect1d(x, y, assume_unique=True)) >= need)
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= _in_common(len(x) + len(y), self.percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-class _Load:
-    """Texts to (node, set) where the text has the node's set."""
-
-    def __init__(self, k: int):
-        self.k = k
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in parts(whole, "text"):
-                doc, shingle = shingles(batch.column("text"), self.k)
-                node = _nodes(doc, shingle, batch.num_rows)
-                cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                own = np.flatnonzero(node == batch.column("node").to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array([shingle[cut[i] : cut[i + 1]].tobytes() for i in own], pa.binary())], ["node", "set"])
+def _in_common(total, percent: int):
+    """The least number of shingles in common of two like sets that have so many together."""
+    return -(-percent * total // (100 + percent))
+
+
+class _Apart:
+    """The rows of two blocks of a token to the pairs (a, b) of different components that sizes, places and signatures let be."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def __call__(self, group: pa.Table) -> pa.Table:
+        c = {k: group.column(k).to_numpy() for k in ("i", "j", "own", "node", "comp", "n", "place", *SIGNS)}
+        x, y = (np.flatnonzero(c["own"] == c[k][0]) for k in ("i", "j"))
+        a, b = [], []
+        for p in x:  # one row against a block
+            q = y[c["node"][y] > c["node"][p]] if c["i"][0] == c["j"][0] else y
+            total, need = c["n"][p] + c["n"][q], _in_common(c["n"][p] + c["n"][q], self.percent)
+            ok = (c["comp"][q] != c["comp"][p]) & (np.minimum(c["n"][p], c["n"][q]) * 100 >= np.maximum(c["n"][p], c["n"][q]) * self.percent)
+            ok &= 1 + np.minimum(c["n"][p] - c["place"][p], c["n"][q] - c["place"][q]) >= need
+            q, total, need = q[ok], total[ok], need[ok]
+            apart = sum((np.bitwise_count((c[s][q] ^ c[s][p]).view(np.uint64)).astype(np.int64) for s in SIGNS), np.zeros(len(q), np.int64))
+            q = q[apart <= total - 2 * need]
+            a.append(np.minimum(c["node"][p], c["node"][q]))
+            b.append(np.maximum(c["node"][p], c["node"][q]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+
+class _Links:
+    """The sets of two blocks of a component to (node, linked): the rows that each node's links lead to in the other block."""
+
+    def __init__(self, percent: int, width: int = 4096):
+        self.percent, self.width = percent, width
+
+    def __call__(self, group: pa.Table) -> pa.Table:
+        i, j, own, node, rows = (group.column(k).to_numpy() for k in ("i", "j", "own", "node", "rows"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]
+        x, y = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        n = np.array([len(s) for s in sets], np.int64)
+        whose, token = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+        _, at, times = np.unique(token, return_inverse=True, return_counts=True)
+        shared = times[at] > 1  # others are in no two sets
+        number = np.cumsum(times > 1) - 1
+        whose, at = whose[shared], number[at[shared]]
+        order = np.argsort(at, kind="stable")
+        whose, at = whose[order], at[order]
+        common = np.zeros((len(x), len(y)), np.float32)
+        # blocks of columns, so that memory is bounded; counts below 2 ** 24 are exact
+        for first in range(0, int(number[-1]) + 1, self.width):
+            a, b = np.searchsorted(at, [first, first + self.width])
+            has = np.zeros((len(sets), self.width), np.float32)
+            has[whose[a:b], at[a:b] - first] = 1
+            common += has[x] @ has[y].T
+        like = 100 * common >= self.percent * (n[x][:, None] + n[y][None, :] - common)
+        like &= node[x][:, None] != node[y][None, :]
+        linked = np.zeros(len(sets), np.int64)
+        linked[x] += like @ rows[y]
+        if i[0] != j[0]:
+            linked[y] += like.T @ rows[x]
+        return pa.table({"node": node, "linked": linked})
+
+
+def _plain(f):
+    """f as the plain function that applyInArrow asks for."""
+
+    def of(group: pa.Table) -> pa.Table:
+        return f(group)
+
+    return of
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, comp): the least node of each node's component, for the nodes of edges (a, b).
 
     Large star and small star in turn, until the edges stay the same: each node's neighbours are joined to the least of
-    them, first the larger ones, then the smaller ones.
+    them, first the larger ones, then the smaller ones. The least is an aggregate, which each task begins on its own, and is
+    joined back, so a hub's neighbours never sit in one window. Rounds grow with the logarithm of the longest chain; if
+    most_rounds are not enough it raises, so no unfinished labels come out.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = state(edges)
-    by_node = Window.partitionBy("u")
+
+    def least(e: DataFrame) -> DataFrame:
+        """e (u, v) with m, the least v of each u."""
+        return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+
     for _ in range(most_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
-        large = both.withColumn("m", F.least("u", F.min("v").over(by_node))).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        down = large.select(F.col("a").alias("u"), F.col("b").alias("v")).withColumn("m", F.min("v").over(by_node))
-        small = down.select(F.col("v").alias("a"), F.col("m").alias("b")).union(down.select("u", "m")).filter("a <> b").distinct()
-        edges = written(small)
+        large = least(both).filter("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).filter("a <> b").distinct()
+        down = least(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        edges = written(down.select(F.col("v").alias("a"), F.col("m").alias("b")).union(down.select("u", "m")).filter("a <> b").distinct())
         after = state(edges)
         if after == before:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
         before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    raise RuntimeError(f"components still change after {most_rounds} rounds")
 
 
 def _placed(a: str, b: str, percent: int) -> Column:
@@ -224,29 +315,45 @@ def _signed(a: str, b: str, percent: int) -> Column:
     return apart <= total - 2 * F.ceil(total * percent / (100 + percent) - 1e-9)
 
 
+def _dealt(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """rows for each pair of blocks (i, j) of their key that they take part in, with their own block: so that every two rows
+    of a key meet in one group, and no group has more than two blocks."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64("node", key), blocks).cast("int"))
+    met = own.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    return met.withColumns({"i": F.least("own", "_o"), "j": F.greatest("own", "_o")}).drop("_o")
+
+
 def groups(docs: DataFrame, *how, **more) -> DataFrame:
     """As labelled, without the columns key and comp."""
     return labelled(docs, *how, **more).drop("key", "comp")
 
 
-def labelled(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crowd: int = 16, most_broadcast: int = 500_000, count: bool = True, block: int = 256) -> DataFrame:
+def labelled(
+    docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crowd: int = 16, most_broadcast: int = 500_000, count: bool = True,
+    block: int = 512, block_shingles: int = 500_000, hot: int = 2000,
+) -> DataFrame:
     """(doc_id, key, comp, n_shingles, component_id, n_links) of each row of docs; without count there is no n_links.
 
     key is the hash of the text, and comp the node that stands for the component (null for a text without words).
 
     Two rows link if their sets of distinct k-word shingles have a Jaccard likeness of percent / 100 or more; component_id is the
     least doc_id that links reach, and n_links the number of other rows that a row links with, rows of the same set among them.
-All links between different sets are found or lie within a component that is found:
+    All links between different sets are found or lie within a component that is found:
+
+    Rows with one set are one node. The first shingles of each set in a global order are its prefix; like sets share a token
+    there, in any order. Candidates come from the prefixes in the order of rarity (by a sketch of all counts), and must share
+    a token too in those of two more orders, of rising and of falling hashes: these filters, with sizes, places of the token
+    and signatures, meet in the joins before sets are brought to the pairs that are left and compared.
 
-    Rows with one set are one node. The first shingles of each set in a global order (rare ones first, by a sketch of
-    all counts) are its prefix; like sets share a token there. All pairs of a token that up to `crowd` nodes share are
-    candidates. A larger crowd goes in rounds: every node is compared with one, first the one with the most shared tokens,
-    then a drawn one, which joins large groups in few pairs; then all pairs of which the components still differ
-    are candidates, so no link is lost. Sizes, places of the token and signatures rule pairs out before
-    what is left is compared as whole sets, after the prefixes in other orders.
+    All pairs of a token that up to `crowd` nodes share are candidates. A larger crowd goes in rounds: every node is compared
+    with one, first the one with the most shared tokens, then a drawn one, which joins large groups in few pairs; then the
+    nodes of which the components still differ meet in pairs of blocks of `block` nodes, so no link is lost.
 
-    The count then takes all pairs of the crowds too, dealt out by pairs of blocks of about `block` nodes, so that
-    no task has a whole crowd; rows of one set are counted by their number.
+    Links within crowds are counted by component: its nodes meet in pairs of blocks of about `block` nodes and
+    block_shingles shingles at most, where the sets' products give all sizes in common at once; what leaves a task is a
+    number for each node, never the pairs. The work grows with the square of a component's different sets. Rows
+    of one set are counted by their number. Tokens that the sketch counts over `hot` times (or 16 times the mean) are dealt by node too,
+    so no task ranks or counts a whole crowd.
 
     Empty and null texts link with nothing and have their own doc_id; a null doc_id counts as greater than all. Extra
     columns don't matter; an empty table gives no rows.
@@ -254,83 +361,107 @@ All links between different sets are found or lie within a component that is fou
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     rows = written(docs.mapInArrow(_Sets(k), _ROWS))
-    levels = spark.sparkContext.broadcast(_sketch(rows).tobytes())
-    sets, signs = rows.filter("block IS NULL"), [f"s{i}" for i in range(SIGNATURE)]
-    nodes = written(sets.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in signs]).select("*", "first.doc_id", "first.key").drop("first"))
-    by_token = Window.partitionBy("token")
+    sketch = _sketch(rows)
+    levels = spark.sparkContext.broadcast(sketch.tobytes())  # 2 ** SKETCH_BITS bytes
+    often = max(float(hot), 16 * float(np.exp2(sketch / 8).mean()))
+    sets = rows.filter("block IS NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    nodes = sets.filter("n > 0").groupBy("node").agg(first, F.count("*").alias("rows"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in SIGNS])
+    nodes = written(nodes.select("*", "first.doc_id", "first.key").drop("first"))
     # one exchange by token serves both the distinct rows and their number
-    prefixes = docs.mapInArrow(_Prefixes(k, percent, levels), "token long, node long, n long, place long").repartition("token").dropDuplicates(["token", "node"])
-    shared = written(prefixes.withColumn("times", F.count("*").over(by_token)).filter("times > 1"))
-    crowded = written(shared.filter(F.col("times") > crowd).drop("n").join(nodes.drop("doc_id", "key", "rows"), "node").withColumn("tokens", F.count("*").over(Window.partitionBy("node"))))
+    prefixes = docs.mapInArrow(_Prefixes(k, percent, levels, often), "token long, salt long, node long, n long, place long")
+    prefixes = prefixes.repartition("token", "salt").dropDuplicates(["token", "salt", "node"])
+    times = F.count("*").over(Window.partitionBy("token", "salt"))
+    met = written(prefixes.withColumn("times", times).filter("times > 1 OR salt >= 0"))
+    salted = met.filter("salt >= 0").drop("times")
+    totals = salted.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = met.filter("salt < 0").unionByName(salted.join(totals, "token")).drop("salt")
+    tokens = F.count("*").over(Window.partitionBy("node"))  # as many rows as a set's prefix
+    crowded = written(shared.filter(F.col("times") > crowd).drop("n").join(nodes.drop("doc_id", "key", "rows"), "node").withColumn("tokens", tokens))
+
+    def loaded(wanted: DataFrame) -> DataFrame:
+        """The sets and further prefixes of nodes."""
+        wanted = written(wanted.join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "node"))
+        small = wanted.count() <= most_broadcast
+        own = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+        texts = docs.join(F.broadcast(wanted) if small else wanted, own).select("text", "node")
+        return written(texts.mapInArrow(_Load(k, percent), "node long, low array<int>, high array<int>, set binary").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "node"))
-        n = wanted.count()
-        if not n:
+        """The pairs that share a token in the other orders' prefixes, and are like enough."""
+        if pairs.isEmpty():
             return spark.createDataFrame([], "a long, b long")
-        loaded = written(docs.join(F.broadcast(wanted) if n <= most_broadcast else wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "node").mapInArrow(_Load(k), "node long, set binary").dropDuplicates(["node"]))
-        both = pairs.join(loaded.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(loaded.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        return written(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(percent, levels), "a long, b long"))
+        have = loaded(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        side = lambda c, *names: have.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
+        left = pairs.join(side("a", "low", "high"), "a").join(side("b", "low", "high"), "b")
+        left = written(left.filter(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).select("a", "b"))
+        both = left.join(side("a", "set"), "a").join(side("b", "set"), "b")
+        return written(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(percent), "a long, b long"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return written(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
 
     few = shared.filter(F.col("times") <= crowd)
     pairs = ordered(few.alias("x").join(few.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _placed("x", "y", percent)))
-    x, y = (nodes.select(F.col("node").alias(c), F.struct("n", *signs).alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    x, y = (nodes.select(F.col("node").alias(c), F.struct("n", *SIGNS).alias(v)) for c, v in (("a", "x"), ("b", "y")))
     few_links = links = verified(written(pairs.join(x, "a").join(y, "b").filter(_signed("x", "y", percent)).select("a", "b")))
     found = components(links)
 
     def differing() -> DataFrame:
         """The crowds with the components of their nodes, where these differ."""
         known = crowded.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        return known.withColumns({"low": F.min("comp").over(by_token), "high": F.max("comp").over(by_token)}).filter("low <> high").drop("low", "high")
+        several = known.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        return known.join(several.select("token"), "token", "left_semi")
 
-    columns = ["node", "comp", "n", "place", *signs]
+    columns = ["node", "comp", "n", "place", *SIGNS]
     for i in range(rounds + 1):
         left = written(differing())
         if left.isEmpty():
             break
         if i < rounds:
             draw = (F.col("n") - F.col("tokens")) / F.col("n") if i == 0 else F.xxhash64("node", F.lit(i)).cast("double")
-            star = left.withColumn("y", F.min(F.struct(draw.alias("draw"), *columns)).over(by_token)).withColumn("x", F.struct(*columns)).filter("x.comp <> y.comp")
+            centre = left.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), *columns)).alias("y"))
+            star = left.select("token", F.struct(*columns).alias("x")).join(centre, "token").filter("x.comp <> y.comp")
             more = ordered(star.filter(_placed("x", "y", percent) & _signed("x", "y", percent)))
         else:
-            both = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-            more = ordered(left.alias("x").join(left.alias("y"), both & _placed("x", "y", percent) & _signed("x", "y", percent)))
+            met = _dealt(left, "token", F.ceil(F.col("times") / block)).select("token", "i", "j", "own", *columns)
+            more = written(met.groupBy("token", "i", "j").applyInArrow(_plain(_Apart(percent)), "a long, b long").distinct())
         links = written(links.union(verified(more)))
         found = components(links)
     labels = written(nodes.select("node", "doc_id", "rows").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     ids = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(ids, "comp").select("node", "comp", "component_id", "rows")
-    columns = [F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    out = [F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
     if count:
-        blocks = F.ceil(F.col("times") / block).cast("int")
-        dealt = crowded.withColumn("own", F.pmod(F.xxhash64("node", "token"), blocks).cast("int"))
-        left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", blocks - 1)))
-        right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), "own")))
-        met = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & ((F.col("x.i") < F.col("x.j")) | (F.col("x.node") < F.col("y.node")))
-        rest = verified(ordered(left.alias("x").join(right.alias("y"), met & _placed("x", "y", percent) & _signed("x", "y", percent))))
-        both = few_links.union(rest).distinct()
-        ends = both.select(F.col("a").alias("node"), F.col("b").alias("other")).union(both.select("b", "a"))
-        linked = ends.join(nodes.select(F.col("node").alias("other"), "rows"), "other").groupBy("node").agg(F.sum("rows").alias("linked"))
-        named = named.join(linked, "node", "left").select("node", "comp", "component_id", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-        columns.append(F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
-    return sets.join(named, "node", "left").select("doc_id", "key", "comp", *columns)
+        dense = crowded.select("node", "n").distinct().join(labels.select("node", "comp", "rows"), "node")
+        sizes = dense.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("sum")).filter("size > 1")
+        dense = written(dense.join(sizes, "comp"))
+        blocks = F.ceil(F.greatest(F.col("size") / block, F.col("sum") / block_shingles))
+        linked = spark.createDataFrame([], "node long, linked long")
+        if not dense.isEmpty():
+            have = loaded(dense.select("node")).select("node", "set")
+            met = _dealt(dense, "comp", blocks).select("comp", "i", "j", "own", "node", "rows").join(have, "node")
+            linked = met.groupBy("comp", "i", "j").applyInArrow(_plain(_Links(percent)), "node long, linked long")
+        # links of which an end is in no crowd came from small tokens
+        inside = dense.select(F.col("node"), F.lit(1).alias("_in"))
+        rest = few_links.distinct().join(inside.withColumnsRenamed({"node": "a", "_in": "_in_a"}), "a", "left").join(inside.withColumnsRenamed({"node": "b", "_in": "_in_b"}), "b", "left").filter("_in_a IS NULL OR _in_b IS NULL")
+        ends = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).union(rest.select("b", "a"))
+        single = ends.join(nodes.select(F.col("node").alias("other"), F.col("rows").alias("linked")), "other").select("node", "linked")
+        sums = single.unionByName(linked).groupBy("node").agg(F.sum("linked").alias("linked"))
+        named = named.join(sums, "node", "left").select("node", "comp", "component_id", (F.col("rows") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        out.append(F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).alias("n_links"))
+    return sets.join(named, "node", "left").select("doc_id", "key", "comp", *out)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
-    """docs with one document of each group of like ones: that of the least doc_id, and of rows alike one.
+    """docs with one document of each group of like ones: that of the least doc_id, and of those the least text hash.
 
-    A row with a null doc_id stays only if its group has no doc_id: one of each such group, and all texts without words.
+    A row with a null doc_id stays only if its group has no doc_id. Texts without words are like nothing and all stay. Of rows
+    alike in doc_id and text one stays. Columns of any name are carried; an empty table gives no rows.
     """
-    rows = written(labelled(docs, k, percent, count=False, **how))
-    kept = rows.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept")).withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    alone = rows.filter("doc_id IS NULL AND comp IS NOT NULL AND component_id IS NULL").groupBy("comp").agg(F.min("key").alias("_kept")).select("_kept")
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    without = docs.filter("doc_id IS NULL").withColumn("_key", key)
-    one = without.join(alone, F.col("_key") == F.col("_kept")).dropDuplicates(["_key"])
-    wordless = rows.filter("doc_id IS NULL AND n_shingles = 0").select(F.col("key").alias("_kept")).distinct()
-    empty = without.join(wordless, F.col("_key") == F.col("_kept"), "left_semi")
-    return named.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(empty.select(*docs.columns))
+    rows = written(labelled(docs, k, percent, count=False, **how).select("doc_id", "key", "comp"))
+    best = rows.filter("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"))
+    kept = best.select("one.doc_id", "one.key").unionByName(rows.filter("comp IS NULL").select("doc_id", "key").distinct())
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    own = F.col("id").eqNullSafe(F.col("k.doc_id")) & (F.col("hash") == F.col("k.key"))
+    return packed.join(kept.alias("k"), own, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
