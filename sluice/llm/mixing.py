@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import n_words, written
@@ -34,34 +34,62 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", F.least(F.col("room"), F.coalesce(F.col("level") * F.col("weight"), F.col("room"))).alias("target"))
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+def n_size(text: str = "text") -> Column:
+    return n_words(F.col(text))
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per source: (source, source_size, target, rate, draw).
+
+    The rate is target / size. Every document has DRAWS hash draws, windows of one SHA-256 of its id that overlap by half; a
+    source uses the draw number whose sum comes nearest to its target (the first of equals), so the taken words come nearer
+    than one draw would bring them, and reruns agree. A source of size 0 has target 0 and rate 0.
+    """
+    sized = written(docs.select("doc_id", "source", n_size().alias("size")))
+    targets = source_targets(sized, weights, share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = written(targets.withColumn("rate", rate))
+    drawn = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("doc_id", "t.*", "size")
+    sums = [F.sum(F.col("size") * _extra(j)).alias(f"s{j}") for j in range(DRAWS)]
+    sums = drawn.withColumn("seed", _seed("doc_id")).groupBy("source", "source_size", "target", "rate").agg(*sums)
+    taken = lambda j: F.floor("rate") * F.col("source_size") + F.col(f"s{j}")
+    far = F.array(*[F.struct(F.abs(taken(j) - F.col("target")).alias("far"), F.lit(j).alias("draw")) for j in range(DRAWS)])
+    return written(sums.select("source", "source_size", "target", "rate", F.array_min(far)["draw"].alias("draw")))
+
+
+def _seed(doc_id: str) -> Column:
+    return F.sha2(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), 256)
+
+
+def _extra(j: int) -> Column:
+    """Whether draw j takes a row once more than floor(rate): 0 or 1."""
+    drawn = F.conv(F.substring("seed", 4 * j + 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    return (drawn < F.col("rate") - F.floor("rate")).cast("long")
+
+
+def _with_copies(rows: DataFrame, doc_id: str, source: str, by_source: DataFrame) -> DataFrame:
+    """rows with their source's plan and copies. Each row's own id and source decide, so rows that share an id are safe."""
+    out = rows.join(by_source.withColumnRenamed("source", "_of"), F.col(source).eqNullSafe(F.col("_of")))
+    extra = F.element_at(F.array(*[_extra(j) for j in range(DRAWS)]), F.col("draw") + 1)
+    return out.withColumn("seed", _seed(doc_id)).withColumn("copies", F.floor("rate") + extra)
+
+
+def copies(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of each document.
 
-    The rate of a source is target / size; each document is taken floor(rate) times, and once more if its hash
-    draw is below the fraction. Every document has DRAWS draws; each source uses the draw number
-    whose sum comes nearest to its target (the first of equals), so reruns agree. Rows with one doc_id draw
-    alike. A null text has size 0; a source of size 0 has target 0 and rate 0. An empty table gives no rows.
+    A document is taken floor(rate) times, and once more if its hash draw is below the fraction. Rows of one source and
+    doc_id draw alike. A null text has size 0, a null source is a source, a null doc_id an id. An empty table gives no rows.
     """
-    sized = written(sizes(docs))
-    targets = source_targets(sized, weights, share, most).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    targets = written(targets)
-    seed = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), 256)
-    draw = lambda j: F.conv(F.substring("seed", 4 * j + 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    drawn = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "source_size", "target", "rate", seed.alias("seed"))
-    drawn = drawn.withColumn("extra", F.array(*[(draw(j) < F.col("rate") - F.floor("rate")).cast("long") for j in range(DRAWS)]))
-    sums = drawn.groupBy("source").agg(F.first("target").alias("target"), F.first(F.floor("rate") * F.col("source_size")).alias("sure"), *[F.sum(F.col("size") * F.col("extra")[j]).alias(f"s{j}") for j in range(DRAWS)])
-    far = F.array(*[F.struct(F.abs(F.col("sure") + F.col(f"s{j}") - F.col("target")).alias("far"), F.lit(j).alias("draw")) for j in range(DRAWS)])
-    chosen = written(sums.select("source", F.array_min(far)["draw"].alias("draw")))
-    out = drawn.alias("d").join(chosen.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")))
-    return out.select("d.doc_id", "d.source", "size", "source_size", "target", (F.floor("rate") + F.element_at("extra", F.col("draw") + 1)).alias("copies"))
+    rows = docs.select("doc_id", "source", n_size().alias("size"))
+    out = _with_copies(rows, "doc_id", "source", plan(docs, **how))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it, in the columns of docs."""
-    taken = copies(docs, **how).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
-    out = docs.alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t._copies")
-    return out.filter("_copies > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).drop("_copies", "_copy")
+    """docs with each row as often as copies() takes it, in the columns of docs, which may have any names.
+
+    Rows only meet the table of sources, so no texts are shuffled. A row with rate 0 leaves; an empty table gives no rows.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"))
+    taken = _with_copies(rows, "id", "from", plan(docs, **how))
+    return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -214,19 +214,17 @@ class _Apart:
     def __call__(self, group: pa.Table) -> pa.Table:
         c = {k: group.column(k).to_numpy() for k in ("i", "j", "own", "node", "comp", "n", "place", *SIGNS)}
         x, y = (np.flatnonzero(c["own"] == c[k][0]) for k in ("i", "j"))
-        a, b = [], []
-        for p in x:  # one row against a block
-            q = y[c["node"][y] > c["node"][p]] if c["i"][0] == c["j"][0] else y
-            total, need = c["n"][p] + c["n"][q], _in_common(c["n"][p] + c["n"][q], self.percent)
-            ok = (c["comp"][q] != c["comp"][p]) & (np.minimum(c["n"][p], c["n"][q]) * 100 >= np.maximum(c["n"][p], c["n"][q]) * self.percent)
-            ok &= 1 + np.minimum(c["n"][p] - c["place"][p], c["n"][q] - c["place"][q]) >= need
-            q, total, need = q[ok], total[ok], need[ok]
-            apart = sum((np.bitwise_count((c[s][q] ^ c[s][p]).view(np.uint64)).astype(np.int64) for s in SIGNS), np.zeros(len(q), np.int64))
-            q = q[apart <= total - 2 * need]
-            a.append(np.minimum(c["node"][p], c["node"][q]))
-            b.append(np.maximum(c["node"][p], c["node"][q]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+        of = lambda k: (c[k][x][:, None], c[k][y][None, :])
+        (n, m), (at, to), (low, high) = of("n"), of("place"), of("comp")
+        need = _in_common(n + m, self.percent)
+        ok = (low != high) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent) & (1 + np.minimum(n - at, m - to) >= need)
+        if c["i"][0] == c["j"][0]:
+            ok &= np.less(*of("node"))
+        p, q = (side[k] for side, k in zip((x, y), np.nonzero(ok)))
+        apart = sum((np.bitwise_count((c[s][p] ^ c[s][q]).view(np.uint64)).astype(np.int64) for s in SIGNS), np.zeros(len(p), np.int64))
+        near = apart <= c["n"][p] + c["n"][q] - 2 * _in_common(c["n"][p] + c["n"][q], self.percent)
+        p, q = c["node"][p[near]], c["node"][q[near]]
+        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
 
 
 class _Links:
@@ -272,17 +270,43 @@ def _plain(f):
     return of
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to (node, comp) in one task: the least node of each node's component."""
+    tables = list(batches)
+    if not tables:
+        return
+    a, b = (np.concatenate([t.column(k).to_numpy() for t in tables]) for k in ("a", "b"))
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    least = np.arange(len(node))
+    while True:  # each end takes the least of both, and of that its least in turn
+        low = np.minimum(least[x], least[y])
+        new = least.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, least[x], low)
+        np.minimum.at(new, least[y], low)
+        new = new[new]
+        if np.array_equal(new, least):
+            break
+        least = new
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[least])], ["node", "comp"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, most_in_a_task: int = 1_000_000) -> DataFrame:
     """(node, comp): the least node of each node's component, for the nodes of edges (a, b).
 
-    Large star and small star in turn, until the edges stay the same: each node's neighbours are joined to the least of
-    them, first the larger ones, then the smaller ones. The least is an aggregate, which each task begins on its own, and is
-    joined back, so a hub's neighbours never sit in one window. Rounds grow with the logarithm of the longest chain; if
-    most_rounds are not enough it raises, so no unfinished labels come out.
+    Up to most_in_a_task edges (16 bytes each) are joined up in one task. More go in rounds: large star and small star in turn,
+    until the edges stay the same: each node's neighbours are joined to the least of them, first the larger ones, then the
+    smaller ones. The least is an aggregate, which each task begins on its own, and is joined back, so a hub's neighbours never sit in
+    one window. Rounds grow with the logarithm of the longest chain; if most_rounds are not enough it raises, so no
+    unfinished labels come out.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = state(edges)
+    if before[0] <= most_in_a_task:
+        return written(edges.coalesce(1).mapInArrow(_joined_up, "node long, comp long"))
 
     def least(e: DataFrame) -> DataFrame:
         """e (u, v) with m, the least v of each u."""
@@ -379,22 +403,22 @@ def labelled(
     tokens = F.count("*").over(Window.partitionBy("node"))  # as many rows as a set's prefix
     crowded = written(shared.filter(F.col("times") > crowd).drop("n").join(nodes.drop("doc_id", "key", "rows"), "node").withColumn("tokens", tokens))
 
-    def loaded(wanted: DataFrame) -> DataFrame:
-        """The sets and further prefixes of nodes."""
-        wanted = written(wanted.join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "node"))
-        small = wanted.count() <= most_broadcast
+    def loaded(wanted: DataFrame, small: bool) -> DataFrame:
+        """The sets and further prefixes of nodes; small: they are most_broadcast at most."""
+        wanted = wanted.join(nodes, "node").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "node")
         own = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
         texts = docs.join(F.broadcast(wanted) if small else wanted, own).select("text", "node")
         return written(texts.mapInArrow(_Load(k, percent), "node long, low array<int>, high array<int>, set binary").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that share a token in the other orders' prefixes, and are like enough."""
-        if pairs.isEmpty():
+        n = pairs.count()
+        if not n:
             return spark.createDataFrame([], "a long, b long")
-        have = loaded(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        have = loaded(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), 2 * n <= most_broadcast)
         side = lambda c, *names: have.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
         left = pairs.join(side("a", "low", "high"), "a").join(side("b", "low", "high"), "b")
-        left = written(left.filter(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).select("a", "b"))
+        left = left.filter(F.arrays_overlap("low_a", "low_b") & F.arrays_overlap("high_a", "high_b")).select("a", "b")
         both = left.join(side("a", "set"), "a").join(side("b", "set"), "b")
         return written(both.select("a", "b", "set_a", "set_b").mapInArrow(_Verify(percent), "a long, b long"))
 
@@ -438,8 +462,8 @@ def labelled(
         dense = written(dense.join(sizes, "comp"))
         blocks = F.ceil(F.greatest(F.col("size") / block, F.col("sum") / block_shingles))
         linked = spark.createDataFrame([], "node long, linked long")
-        if not dense.isEmpty():
-            have = loaded(dense.select("node")).select("node", "set")
+        if n := dense.count():
+            have = loaded(dense.select("node"), n <= most_broadcast).select("node", "set")
             met = _dealt(dense, "comp", blocks).select("comp", "i", "j", "own", "node", "rows").join(have, "node")
             linked = met.groupBy("comp", "i", "j").applyInArrow(_plain(_Links(percent)), "node long, linked long")
         # links of which an end is in no crowd came from small tokens
