@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder of spark.checkpoint.dir; in a temporary one where none is set, as in tests."""
+    """A new path in the folder of spark.checkpoint.dir.
+
+    Where none is set it is in a temporary folder of this machine if Spark runs on it alone, as in tests; on a cluster that
+    is an error, since executors would each write to their own.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='sluice-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
