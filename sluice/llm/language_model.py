@@ -18,6 +18,8 @@ from sluice.llm.common import find_words, mix, parts, shared_folder
 
 BEGIN, END = np.uint64(0x0B0E61), np.uint64(0x0E4D)
 _FLUSH = 1_500_000  # tokens that a task holds before it sends their counts
+_HELD = 2_000_000  # pairs of a shard that a task holds before it sums those alike
+_OPEN = 16_000  # files that a worker keeps mapped
 _SPREAD = 8  # shards over which the pairs of one left word lie
 
 
@@ -97,7 +99,7 @@ class _Count:
         for a, b in zip([0, *cut], [*cut, len(shard)]):
             first = np.flatnonzero(np.concatenate([[True], left[a + 1 : b] != left[a : b - 1]]))
             runs = np.diff(np.append(first, b - a)).astype(np.uint32)
-            rows.append((int(shard[a]), int(b - a), len(first), right[a:b].tobytes(), _packed(left[a:b][first], runs, n[a:b].astype(np.uint32))))
+            rows.append((int(shard[a]), int(b - a), len(first), right[a:b].tobytes(), _packed(left[a:b][first], runs, n[a:b].astype(np.uint64))))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["shard", "pairs", "lefts", "rights", "rest"])
 
 
@@ -118,52 +120,83 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     system.move(part, f"{path}/{name}")
 
 
-def _load(folder: str, name: str, kind: type, columns: int = 0) -> np.ndarray:
-    """A memory map of a saved array; where the folder is not mounted here, of a copy in the worker's temporary folder."""
+def _load(folder: str, name: str, rows: int, kind: type, columns: int = 1) -> np.ndarray:
+    """A memory map of a saved array of so many rows, or of counts as narrow as they are.
+
+    Where the folder is not mounted here it is of a copy, whose name goes at once, so that its space is free when the worker
+    ends. A file that is missing or has another size is an error: scores without it would be wrong.
+    """
+    if not rows:
+        return np.zeros((0, columns) if columns > 1 else 0, kind)
     system, path = _open(folder)
-    at = f"{path}/{name}"
-    if not isinstance(system, fs.LocalFileSystem):
-        at = f"{tempfile.gettempdir()}/{uuid.uuid4().hex}"
-        fs.copy_files(f"{path}/{name}", at, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-    if not os.path.exists(at) or not os.path.getsize(at):
-        return np.zeros((0, columns) if columns else 0, kind)
-    flat = np.memmap(at, kind, "r")
-    return flat.reshape(-1, columns) if columns else flat
+    at, local = f"{path}/{name}", isinstance(system, fs.LocalFileSystem)
+    size = system.get_file_info(at).size
+    kinds = {rows * columns * np.dtype(k).itemsize: k for k in (kind, np.uint32)}
+    if size not in kinds:
+        raise FileNotFoundError(f"{name} of the model in {folder} has {size} bytes, not {rows} rows")
+    if not local:
+        copy = f"{tempfile.gettempdir()}/{uuid.uuid4().hex}"
+        fs.copy_files(at, copy, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
+        at = copy
+    flat = np.memmap(at, kinds[size], "r")
+    if not local:
+        os.unlink(at)
+    return flat.reshape(-1, columns) if columns > 1 else flat
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if they fit, else in 64."""
+    return counts.astype(np.uint32 if counts.size == 0 or counts.max() < 2**32 else np.uint64)
 
 
 class _Pairs:
-    """The blobs of a shard to its file of sorted pair hashes with counts; sends what each word gathers here to the words' shards."""
+    """The blobs of a shard to its file of sorted pair hashes with counts; sends what each word gathers here to the words' shards.
+
+    Blobs come as a stream, and pairs alike are summed as it goes: a task holds the shard's different pairs and _HELD more.
+    """
 
     def __init__(self, shards: int, folder: str):
         self.shards, self.folder = shards, folder
 
-    def __call__(self, group: pa.Table) -> pa.Table:
-        left, right, n = [], [], []
-        for r in group.to_pylist():
-            rest = pa.decompress(r["rest"], decompressed_size=12 * r["lefts"] + 4 * r["pairs"], codec="zstd", asbytes=True)
-            firsts = np.frombuffer(rest, np.uint64, r["lefts"])
-            left.append(np.repeat(firsts, np.frombuffer(rest, np.uint32, r["lefts"], 8 * r["lefts"])))
-            right.append(np.frombuffer(r["rights"], np.uint64))
-            n.append(np.frombuffer(rest, np.uint32, r["pairs"], 12 * r["lefts"]).astype(np.int64))
-        left, right, n = _summed(*map(np.concatenate, (left, right, n)))
-        shard = group.column("shard")[0].as_py()
-        key = pair_key(left, right)
-        order = np.argsort(key)
-        _save(self.folder, f"pair-{shard}", key[order])
-        _save(self.folder, f"pair-count-{shard}", n[order].astype(np.uint32))
+    def __call__(self, key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = [[], [], []], 0
+        for batch in group:
+            for r in batch.to_pylist():
+                rest = pa.decompress(r["rest"], decompressed_size=12 * r["lefts"] + 8 * r["pairs"], codec="zstd", asbytes=True)
+                firsts, runs = np.frombuffer(rest, np.uint64, r["lefts"]), np.frombuffer(rest, np.uint32, r["lefts"], 8 * r["lefts"])
+                n = np.frombuffer(rest[12 * r["lefts"] :], np.uint64).astype(np.int64)
+                for column, x in zip(held, (np.repeat(firsts, runs), np.frombuffer(r["rights"], np.uint64), n)):
+                    column.append(x)
+                fresh += r["pairs"]
+                if fresh >= _HELD:
+                    held, fresh = [[x] for x in _summed(*map(np.concatenate, held))], 0
+        left, right, n = _summed(*map(np.concatenate, held))
+        shard, hashes = key[0].as_py(), pair_key(left, right)
+        order = np.argsort(hashes)
+        _save(self.folder, f"pair-{shard}", hashes[order])
+        _save(self.folder, f"pair-count-{shard}", _narrow(n[order]))
         words, at = np.unique(np.concatenate([left, right]), return_inverse=True)
         on_left, on_right = at[: len(left)], at[len(left) :]
-        sums = np.stack(
-            [np.bincount(on_right, n, len(words)), np.bincount(on_right, minlength=len(words)), *[np.bincount(on_left, n == k if k < 3 else n >= 3, len(words)) for k in (1, 2, 3)], np.where(words == BEGIN, np.bincount(on_left, n, len(words)), 0)], axis=1
-        ).astype(np.int64)
+        begin = np.where(words == BEGIN, _sum_at(on_left, n, len(words)), 0)
+        follow = [np.bincount(on_left, n == k if k < 3 else n >= 3, len(words)) for k in (1, 2, 3)]
+        sums = np.stack([_sum_at(on_right, n, len(words)), np.bincount(on_right, minlength=len(words)), *follow, begin], axis=1).astype(np.int64)
         to = word_shard(words, self.shards)
         cut = np.flatnonzero(np.diff(to)) + 1
-        rows = [(int(to[a]), int(b - a), words[a:b].tobytes(), _packed(sums[a:b].astype(np.uint32))) for a, b in zip([0, *cut], [*cut, len(to)])]
         several = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table([*[pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], *[pa.array([several[k]] + [0] * (len(rows) - 1), pa.int64()) for k in range(4)]], names=["shard", "words", "hashes", "sums", "p1", "p2", "p3", "p4"])
+        for i, (a, b) in enumerate(zip([0, *cut], [*cut, len(to)])):
+            first = i == 0
+            row = [int(to[a]), int(b - a), words[a:b].tobytes(), _packed(sums[a:b].astype(np.uint64)), *(x * first for x in several), shard, len(n) * first]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 6])], ["shard", "words", "hashes", "sums", "p1", "p2", "p3", "p4", "of", "pairs"])
 
 
-PAIRED = "shard long, words long, hashes binary, sums binary, p1 long, p2 long, p3 long, p4 long"
+def _sum_at(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    """Sums of whole numbers by place; exact, as sums of doubles are only below 2 ** 53."""
+    out = np.zeros(size, np.int64)
+    np.add.at(out, at, n)
+    return out
+
+
+PAIRED = "shard long, words long, hashes binary, sums binary, p1 long, p2 long, p3 long, p4 long, of long, pairs long"
 
 
 class _Words:
@@ -172,24 +205,37 @@ class _Words:
     def __init__(self, folder: str):
         self.folder = folder
 
-    def __call__(self, group: pa.Table) -> pa.Table:
-        rows = group.select(["words", "hashes", "sums"]).to_pylist()
-        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        sums = np.concatenate([np.frombuffer(pa.decompress(r["sums"], decompressed_size=24 * r["words"], codec="zstd", asbytes=True), np.uint32).reshape(-1, 6) for r in rows]).astype(np.int64)
+    def merged(self, held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, sums = np.concatenate([h for h, _ in held]), np.concatenate([s for _, s in held])
         order = np.argsort(hashes, kind="stable")
         words, at = np.unique(hashes[order], return_index=True)
-        sums = np.add.reduceat(sums[order], at)
+        return words, np.add.reduceat(sums[order], at)
+
+    def __call__(self, key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh, several, files = [], 0, np.zeros(4, np.int64), []
+        for batch in group:
+            for r in batch.to_pylist():
+                sums = np.frombuffer(pa.decompress(r["sums"], decompressed_size=48 * r["words"], codec="zstd", asbytes=True), np.uint64)
+                held.append((np.frombuffer(r["hashes"], np.uint64), sums.reshape(-1, 6).astype(np.int64)))
+                several += [r[f"p{k}"] for k in (1, 2, 3, 4)]
+                files += [(r["of"], r["pairs"])] if r["pairs"] else []
+                fresh += r["words"]
+                if fresh >= _HELD:
+                    held, fresh = [self.merged(held)], 0
+        words, sums = self.merged(held)
         begin = words == BEGIN
         sums[begin, 0] = sums[begin, 5]  # as often as documents begin
-        shard = group.column("shard")[0].as_py()
+        shard = key[0].as_py()
         _save(self.folder, f"word-{shard}", words)
-        _save(self.folder, f"word-count-{shard}", sums[:, :5])
+        _save(self.folder, f"word-count-{shard}", _narrow(sums[:, :5]))
         real = sums[~begin]
-        out = [real[:, 0].sum(), len(real), real[:, 1].sum(), *[(real[:, 1] == k).sum() for k in (1, 2, 3, 4)], (real[:, 1] >= 3).sum(), *[sum(group.column(f"p{k}").to_pylist()) for k in (1, 2, 3, 4)]]
-        return pa.table([pa.array([int(x)], pa.int64()) for x in out], names=TOTALS)
+        out = [real[:, 0].sum(), len(real), real[:, 1].sum(), *[(real[:, 1] == k).sum() for k in (1, 2, 3, 4)], (real[:, 1] >= 3).sum(), *several]
+        pairs = pa.array([[{"shard": a, "rows": b} for a, b in files]], pa.list_(pa.struct([("shard", pa.int64()), ("rows", pa.int64())])))
+        yield pa.RecordBatch.from_arrays([*[pa.array([int(x)], pa.int64()) for x in out], pa.array([shard]), pa.array([len(words)]), pairs], [*TOTALS, "shard", "rows", "pairs"])
 
 
 TOTALS = ["n", "v", "kinds", "c1", "c2", "c3", "c4", "c3p", "p1", "p2", "p3", "p4"]
+COUNTS = ", ".join(f"{c} long" for c in TOTALS) + ", shard long, rows long, pairs array<struct<shard:bigint,rows:bigint>>"
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -202,8 +248,8 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 def _plain(f):
     """f as the plain function that applyInArrow asks for."""
 
-    def of(group: pa.Table) -> pa.Table:
-        return f(group)
+    def of(key: tuple[pa.Scalar, ...], group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(key, group)
 
     return of
 
@@ -216,20 +262,30 @@ class Model(NamedTuple):
     totals: dict[str, int]
 
 
-def train(docs: DataFrame, shards: int | None = None) -> Model:
-    """Counts every pair of tokens in the texts of docs, and stores hashes and counts in `shards` files in the shared folder.
+def train(docs: DataFrame, shards: int | None = None, shard_bytes: int = 16_000_000) -> Model:
+    """Counts every pair of tokens in the texts of docs, and stores hashes and counts in the shared folder.
 
-    Tasks send sorted pairs with counts, by shard of the pair; a shard sums them, writes its file, and sends what each
-    word gathers there to the word's shard. A word's pairs are spread over shards, so no word's pairs meet in one task.
-    Null and empty texts are one END.
+    There are as many shards as the texts have shard_bytes, so what a task gathers stays the same at any size. Tasks send sorted
+    pairs with counts, by shard of the pair; a shard sums them, writes its file, and sends what each word gathers there to the
+    word's shard. A word's pairs are spread over shards, so no word's pairs meet in one task. The rows of all files are kept
+    in a manifest, so that one that is missing is noticed. Null and empty texts are one END; extra columns don't matter; an
+    empty table gives a model that knows no word.
     """
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = shared_folder(spark)
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    pairs = texts.mapInArrow(_Count(shards), COUNTED).groupBy("shard").applyInArrow(_plain(_Pairs(shards, folder)), PAIRED)
-    totals = pairs.groupBy("shard").applyInArrow(_plain(_Words(folder)), ", ".join(f"{c} long" for c in TOTALS)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS]).first()
-    return Model(folder, shards, totals.asDict())
+    if shards is None:
+        shards = max(2, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
+    folder = shared_folder(spark)
+    sent = texts.mapInArrow(_Count(shards), COUNTED).repartition(shards, "shard")
+    pairs = sent.groupBy("shard").applyInArrow(_plain(_Pairs(shards, folder)), PAIRED).repartition(shards, "shard")
+    totals, files = dict.fromkeys(TOTALS, 0), np.zeros((shards, 2), np.int64)
+    for r in pairs.groupBy("shard").applyInArrow(_plain(_Words(folder)), COUNTS).toLocalIterator():  # a row a shard
+        totals = {c: totals[c] + r[c] for c in TOTALS}
+        files[r["shard"], 1] = r["rows"]
+        for x in r["pairs"]:
+            files[x["shard"], 0] = x["rows"]
+    _save(folder, "manifest", files)
+    return Model(folder, shards, totals)
 
 
 class _Score:
@@ -242,10 +298,20 @@ class _Score:
     def __setstate__(self, model):
         self.__init__(model)
 
-    def file(self, name: str, kind: type, columns: int = 0) -> np.ndarray:
-        if name not in self.files:
-            self.files[name] = _load(self.model.folder, name, kind, columns)
-        return self.files[name]
+    def file(self, kind: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted hashes of a shard, and what is counted of each."""
+        if (kind, shard) not in self.files:
+            if len(self.files) >= _OPEN // 2:
+                self.files.clear()
+            rows = self.manifest()[shard, 0 if kind == "pair" else 1]
+            folder = self.model.folder
+            self.files[kind, shard] = _load(folder, f"{kind}-{shard}", rows, np.uint64), _load(folder, f"{kind}-count-{shard}", rows, np.uint64, 1 if kind == "pair" else 5)
+        return self.files[kind, shard]
+
+    def manifest(self) -> np.ndarray:
+        if "manifest" not in self.files:
+            self.files["manifest"] = _load(self.model.folder, "manifest", self.model.shards, np.int64, 2)
+        return self.files["manifest"]
 
     def words(self, words: np.ndarray) -> np.ndarray:
         """Count, continuations, and the pairs met once, twice, oftener that it begins, of sorted words."""
@@ -253,11 +319,11 @@ class _Score:
         shard = word_shard(words, self.model.shards)
         cut = np.flatnonzero(np.diff(shard)) + 1
         for a, b in zip([0, *cut], [*cut, len(words)]):
-            have = self.file(f"word-{shard[a]}", np.uint64)
+            have, counts = self.file("word", int(shard[a]))
             if len(have):
                 at = np.minimum(np.searchsorted(have, words[a:b]), len(have) - 1)
                 ok = have[at] == words[a:b]
-                out[a:b][ok] = self.file(f"word-count-{shard[a]}", np.int64, 5)[at[ok]]
+                out[a:b][ok] = counts[at[ok]]
         return out
 
     def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -267,11 +333,11 @@ class _Score:
         cut = np.flatnonzero(np.diff(shard[order])) + 1
         for a, b in zip([0, *cut], [*cut, len(order)]):
             own = order[a:b]
-            have = self.file(f"pair-{shard[own[0]]}", np.uint64)
+            have, counts = self.file("pair", int(shard[own[0]]))
             if len(have):
                 at = np.minimum(np.searchsorted(have, key[own]), len(have) - 1)
                 ok = have[at] == key[own]
-                out[own[ok]] = self.file(f"pair-count-{shard[own[0]]}", np.uint32)[at[ok]]
+                out[own[ok]] = counts[at[ok]]
         return out
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,8 +7,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sluice.llm.common import parts, written
 
@@ -46,6 +47,14 @@ class Pieces:
         self.may_follow = lru_cache(200_000)(self._may_follow)
         self.alone = lru_cache(100_000)(lambda p: self.merged(p) == [p])
 
+    def check(self) -> None:
+        """Raises for a model that chunks would encode otherwise than its library: none of byte pairs, or one that changes texts."""
+        for text in ("a", "x  y", "\ufb01 \uff21 \u00e9e\u0301\t\n", "the theory of 12345 words", "z" * 40):
+            marked = MARK + text.replace(" ", MARK)
+            own = [i for p in self.merged(marked) for i in ([self.ids[p]] if p in self.ids else [self.bytes[b] for b in p.encode()])]
+            if own != self.lib.encode(text):
+                raise ValueError("only byte-pair models that leave texts as they are and mark their start can encode in chunks")
+
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by its definition: the best merge first, the first of equals."""
         out = list(text)
@@ -267,22 +276,35 @@ def _within(group: pa.Table) -> pa.Table:
     return pa.table({"key": [r["key"] for r in rows], "at": pa.array([r["at"] for r in rows], pa.int64()), "start": pa.array(path[:-1], pa.int64()), "end": pa.array(path[1:], pa.int64())})
 
 
+def _proto(model: str) -> bytes:
+    with open(model, "rb") as f:
+        return f.read()
+
+
+def _packed(docs: DataFrame, *but: str) -> Column:
+    """The columns of docs but some, of any names, as one struct."""
+    names = [c for c in docs.columns if c not in but]
+    return (F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))).alias("row")
+
+
 def encode(docs: DataFrame, model: str = MODEL, giant: int = 65_536, chunk: int = 16_384) -> DataFrame:
     """docs without text, with ids: the model's ids of each text, as its own library gives them.
 
     Texts of over `giant` characters are cut into chunks that overlap by a piece's length. Each chunk yields the transfer
     matrix between the pieces that can cross its borders; products of blocks of matrices, then of a text's blocks, give
-    the piece at each border, from which each chunk is traced back on its own. A null text has null ids, an empty one none. Giant texts
-    that are equal are encoded once.
+    the piece at each border, from which each chunk is traced back on its own. A null text has null ids, an empty one none.
+    Giant texts that are equal are encoded once. Other columns are carried whatever their names, but one called ids gives way
+    to the ids. A model that chunks can't encode raises. An empty table gives no rows.
     """
-    with open(model, "rb") as f:
-        proto = f.read()
-    around = Pieces(proto).longest
-    columns = [c for c in docs.columns if c != "text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    small = docs.filter(F.length("text") <= giant).select(*columns, "text").mapInArrow(_Encode(proto), f"{kinds}, ids array<int>")
-    large = docs.filter(F.length("text") > giant).withColumn("_key", F.sha2("text", 256))
-    texts = large.select(F.col("_key").alias("key"), "text").dropDuplicates(["key"])
+    proto = _proto(model)
+    pieces = Pieces(proto)
+    pieces.check()
+    around = pieces.longest
+    rows = docs.select(_packed(docs, "text", "ids"), F.col("text"))
+    out = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType()))])
+    small = rows.filter(F.length("text") <= giant).mapInArrow(_Encode(proto), out)
+    large = rows.filter(F.length("text") > giant).select("row", "text", F.sha2("text", 256).alias("key"))
+    texts = large.select("key", "text").dropDuplicates(["key"])
     chunks = written(texts.mapInArrow(_Chunks(chunk, around), _CHUNK))
     spread = chunks.repartition("key", "at")
     block = F.floor(F.col("at") / _BLOCK)
@@ -292,14 +314,14 @@ def encode(docs: DataFrame, model: str = MODEL, giant: int = 65_536, chunk: int
     states = matrices.join(borders, ["key", "block"]).groupBy("key", "block").applyInArrow(_within, "key string, at long, start long, end long")
     traced = chunks.join(states, ["key", "at"]).mapInArrow(_Backtrace(proto), "key string, at long, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
-    large = large.join(whole.select(F.col("key").alias("_key"), F.col("ids").alias("_ids")), "_key").select(*columns, F.col("_ids").alias("ids"))
-    none = docs.filter("text IS NULL").select(*columns, F.lit(None).cast("array<int>").alias("ids"))
-    return small.unionByName(large).unionByName(none)
+    large = large.select("row", "key").join(whole, "key").select("row", "ids")
+    none = rows.filter("text IS NULL").select("row", F.lit(None).cast("array<int>").alias("ids"))
+    names = [c for c in docs.columns if c not in ("text", "ids")]
+    return small.unionByName(large).unionByName(none).select(*[F.col("row").getField(c).alias(c) for c in names], "ids")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """encoded with a column decoded: the text of the ids; null for null."""
-    with open(model, "rb") as f:
-        proto = f.read()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_Decode(proto), f"{kinds}, decoded string")
+    """encoded with a column decoded, the text of the ids; null for null. A column of that name gives way to it."""
+    rows = encoded.select(_packed(encoded, "decoded"), F.col("ids"))
+    out = rows.mapInArrow(_Decode(_proto(model)), StructType([*rows.schema, StructField("decoded", StringType())]))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in encoded.columns if c != "decoded"], "decoded")

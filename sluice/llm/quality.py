@@ -71,7 +71,13 @@ def _repeat_words(ws: Column) -> Column:
 
         return let(F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("at")))), found)
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(ws) - SPAN + 1), lambda i: F.xxhash64(F.slice(ws, i, SPAN)))
+    def doubled(hashes: Column, apart: int) -> Column:
+        """Hashes of windows twice as long, from each window and the one that follows it."""
+        return let(hashes, lambda hs: F.transform(F.slice(hs, 1, F.size(hs) - apart), lambda h, i: F.xxhash64(h, hs[i + apart])))
+
+    windows = F.transform(ws, lambda w: F.xxhash64(w))
+    for apart in (1, 2, 4):  # to windows of 8
+        windows = doubled(windows, apart)
     none = F.lit(0).cast("long")
     some = let(windows, lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), let(twice(hs), covered)).otherwise(none))
     return F.when(F.size(ws) > SPAN, some).otherwise(none)
@@ -93,41 +99,56 @@ def features(docs: DataFrame) -> DataFrame:
 START = {1: (0.7, 0.4), 0: (0.25, 0.3), -1: (0.05, 0.3)}
 
 
-def estimate(votes: DataFrame, rules: list[str], rounds: int = 20, prior: float = 0.8) -> tuple[float, dict[str, dict[int, tuple[float, float]]]]:
-    """The share of good documents, and for each rule the chances of its votes from a good and from a bad one.
+class Belief(NamedTuple):
+    """The share of good documents, and for each rule the chances of its votes from a good and from a bad one."""
+
+    prior: float
+    chances: dict[str, dict[int, tuple[float, float]]]
+
 
-    Expectation-maximisation on the table of vote patterns (3 ** rules rows at most) with counts n: each round sums the posterior
-    of the patterns by vote, as one aggregation. A trace of START stays in the sums, so no chance becomes 0.
+def estimate(patterns: DataFrame, rules: list[str], rounds: int = 20, prior: float = 0.8, close: float = 1e-6) -> Belief:
+    """Expectation-maximisation on the table of vote patterns (votes: one of each rule, n): 3 ** rules rows at most.
+
+    Each round sums the posterior of the patterns by rule and vote, in one plan: the chances go in as one array, so the plan's
+    code is the same in every round. It stops when no chance moves by more than `close`, or after `rounds`. A trace of START
+    stays in the sums, so no chance becomes 0. Without patterns the first belief stays.
     """
-    chances = {r: START for r in rules}
+    now = Belief(prior, {r: START for r in rules})
     for _ in range(rounds):
-        post = posterior(prior, chances)
-        sums = votes.select("n", *rules, post.alias("p")).agg(F.sum(F.col("n") * F.col("p")).alias("good"), F.sum("n").alias("all"), *[F.sum(F.when(F.col(r) == v, F.col("n") * F.col("p")).otherwise(0.0)).alias(f"g{v}{r}") for r in rules for v in (1, 0, -1)], *[F.sum(F.when(F.col(r) == v, F.col("n") * (1 - F.col("p"))).otherwise(0.0)).alias(f"b{v}{r}") for r in rules for v in (1, 0, -1)]).first()
-        if not sums["all"]:
+        each = patterns.select("n", (F.col("n") * posterior(now, F.col("votes"))).alias("good"), F.posexplode("votes").alias("rule", "vote"))
+        sums = {(r["rule"], r["vote"]): (r["good"], r["n"]) for r in each.groupBy("rule", "vote").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()}  # 3 a rule
+        if not sums:
+            break
+        good, n = (sum(sums.get((0, v), (0.0, 0))[k] for v in (1, 0, -1)) for k in (0, 1))
+        chances = {}
+        for k, rule in enumerate(rules):
+            by_vote = {v: sums.get((k, v), (0.0, 0)) for v in (1, 0, -1)}
+            chances[rule] = {v: ((g + START[v][0]) / (good + 1), (m - g + START[v][1]) / (n - good + 1)) for v, (g, m) in by_vote.items()}
+        before, now = now, Belief((good + 1) / (n + 2), chances)
+        moved = [abs(a - b) for r in rules for v in (1, 0, -1) for a, b in zip(before.chances[r][v], now.chances[r][v])]
+        if max(moved) < close:
             break
-        good, bad = sums["good"], sums["all"] - sums["good"]
-        prior = (good + 1) / (good + bad + 2)
-        chances = {r: {v: ((sums[f"g{v}{r}"] + START[v][0]) / (good + 1), (sums[f"b{v}{r}"] + START[v][1]) / (bad + 1)) for v in (1, 0, -1)} for r in rules}
-    return prior, chances
+    return now
 
 
-def posterior(prior: float, chances: dict[str, dict[int, tuple[float, float]]]) -> Column:
-    """The chance that a document is good, from its votes."""
-    odds = F.lit(prior / (1 - prior))
-    for r, by_vote in chances.items():
-        odds = odds * F.when(F.col(r) == 1, by_vote[1][0] / by_vote[1][1]).when(F.col(r) == -1, by_vote[-1][0] / by_vote[-1][1]).otherwise(by_vote[0][0] / by_vote[0][1])
-    return odds / (1 + odds)
+def posterior(belief: Belief, votes: Column) -> Column:
+    """The chance that a document is good, from its votes, one of each rule in order."""
+    ratios = F.lit([by_vote[v][0] / by_vote[v][1] for by_vote in belief.chances.values() for v in (-1, 0, 1)])
+    each = F.transform(votes, lambda v, i: F.get(ratios, 3 * i + v + 1))
+    odds = F.aggregate(each, F.get(F.lit([belief.prior / (1 - belief.prior)]), F.lit(0)), lambda a, x: a * x)
+    return let(odds, lambda o: o / (1 + o))
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The features of each document, base_failed, its quality (chance that it is good) and kept.
 
     base_failed: under 20 words, or over 30% of them in repeated windows. kept: not base_failed, and quality is `least` or
-    more. An empty or null text fails. Rows alike are judged alike; an empty table gives no rows.
+    more. An empty or null text fails. Rows alike are judged alike; extra columns don't matter; an empty table gives no rows.
     """
-    names = [r.name for r in RULES]
-    votes = features(docs).withColumns({r.name: r.vote() for r in RULES})
-    rows = written(votes.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))))
-    patterns = written(rows.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1))
-    prior, chances = estimate(patterns, names)
-    return rows.withColumn("quality", posterior(prior, chances)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).drop(*names)
+    found = features(docs)
+    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    rows = written(found.withColumns({"votes": F.array(*[r.vote() for r in RULES]), "base_failed": base_failed}))
+    patterns = written(rows.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1))
+    belief = estimate(patterns, [r.name for r in RULES])
+    out = rows.withColumn("quality", posterior(belief, F.col("votes")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least)).drop("votes")

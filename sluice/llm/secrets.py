@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import written
 from sluice.llm.spans import SPAN, count, joined, spans
 
 try:
@@ -120,17 +121,20 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
     return spans(text, rule.kind, order, rule.pattern, rule.group, (lambda v: F.length(v) >= rule.least) if rule.least else None)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_broadcast: int = 1_000_000) -> DataFrame:
     """(doc_id, spans) of each row of docs: array of (start, order, end, kind) by start, then rule.
 
     A rule with a trigram query is tried only on the documents that the index finds; each row's own text decides, so
     rows that share a doc_id are safe. A rule without mandatory trigrams scans every text. Null and empty texts have no
-    spans; a row with a null doc_id is scanned with all rules.
+    spans; a row with a null doc_id is scanned with all rules. The candidates (an id and rules each) are written; up to
+    most_broadcast of them go to the texts, so that no text is shuffled, and more meet the texts in a shuffle. Extra columns don't
+    matter; an empty table gives no rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     trigrams = sorted({t for q in queries.values() for clause in q for branch in clause for t in branch})
-    found = candidates(index(docs.filter("doc_id IS NOT NULL"), trigrams), queries)
+    found = written(candidates(index(docs.filter("doc_id IS NOT NULL"), trigrams), queries))
+    found = F.broadcast(found) if found.count() <= most_broadcast else found
     empty = F.array().cast(SPAN)
     all_scans = F.concat(empty, *[_spans(r, i, F.col("text")) for i, r in enumerate(rules) if r.kind not in queries])
     tried = F.concat(empty, *[F.when(F.col("doc_id").isNull() | F.array_contains("rules", r.kind), _spans(r, i, F.col("text"))).otherwise(empty) for i, r in enumerate(rules) if r.kind in queries])
