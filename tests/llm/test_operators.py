@@ -149,11 +149,11 @@ def test_sharding(spark):
     assert len(shards) == 16 and all(sorted(r["slot"] for r in s) == list(range(len(s))) for s in shards.values())
     loads = [sum(r["size"] for r in s) for s in shards.values()]
     assert max(loads) < 1.05 * min(loads) and max(map(len, shards.values())) < 1.2 * min(map(len, shards.values()))
-    small = collections.defaultdict(set)
+    whole = collections.defaultdict(set)
     for r in rows:
-        if r["doc_id"] >= 900 and r["size"] < 100:  # groups of longer texts are hot here
-            small[texts[r["doc_id"]]].add(r["shard"])
-    assert all(len(s) == 1 for s in small.values())
+        if r["doc_id"] >= 900:  # the hot group can't fit in a shard, all others do
+            whole[texts[r["doc_id"]]].add(r["shard"])
+    assert all(len(s) == 1 for s in whole.values())
 
 
 def test_language_model(spark):
