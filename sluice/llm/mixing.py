@@ -34,18 +34,17 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return per.select("source", "source_size", F.least(F.col("room"), F.coalesce(F.col("level") * F.col("weight"), F.col("room"))).alias("target"))
 
 
-def n_size(text: str = "text") -> Column:
-    return n_words(F.col(text))
+def sizes(docs: DataFrame) -> DataFrame:
+    return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """One row per source: (source, source_size, target, rate, draw).
+def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per source (source, source_size, target, rate, draw) of rows (doc_id, source, size).
 
     The rate is target / size. Every document has DRAWS hash draws, windows of one SHA-256 of its id that overlap by half; a
     source uses the draw number whose sum comes nearest to its target (the first of equals), so the taken words come nearer
     than one draw would bring them, and reruns agree. A source of size 0 has target 0 and rate 0.
     """
-    sized = written(docs.select("doc_id", "source", n_size().alias("size")))
     targets = source_targets(sized, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = written(targets.withColumn("rate", rate))
@@ -80,8 +79,8 @@ def copies(docs: DataFrame, **how) -> DataFrame:
     A document is taken floor(rate) times, and once more if its hash draw is below the fraction. Rows of one source and
     doc_id draw alike. A null text has size 0, a null source is a source, a null doc_id an id. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "source", n_size().alias("size"))
-    out = _with_copies(rows, "doc_id", "source", plan(docs, **how))
+    sized = sizes(docs)
+    out = _with_copies(sized, "doc_id", "source", plan(sized, **how))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
@@ -91,5 +90,5 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Rows only meet the table of sources, so no texts are shuffled. A row with rate 0 leaves; an empty table gives no rows.
     """
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("from"))
-    taken = _with_copies(rows, "id", "from", plan(docs, **how))
+    taken = _with_copies(rows, "id", "from", plan(sizes(docs), **how))
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")
