@@ -14,7 +14,7 @@ import sluice
 from sluice.functions.columns import let
 from sluice.functions.folders import shared_folder, written
 
-__all__ = ["SPACE", "WORD", "Words", "documents", "find_words", "let", "mix", "n_words", "parts", "shared_folder", "span_hashes", "words", "written"]
+__all__ = ["SPACE", "WORD", "Words", "bound_batches", "documents", "find_words", "let", "mix", "n_words", "parts", "shared_folder", "span_hashes", "words", "written"]
 
 # Workers may run in a folder where this package can't be imported: send its functions whole.
 cloudpickle.register_pickle_by_value(sluice)
@@ -23,6 +23,15 @@ cloudpickle.register_pickle_by_value(sluice)
 SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bounds the Arrow batches of texts by bytes, not by rows alone; a session that has set its own bound keeps it."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, most)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -48,7 +57,8 @@ class Words(NamedTuple):
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEP = 65_536  # codes that are summed at once
+_tables: dict[tuple[int, int], np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,25 +68,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(k: int, n: int) -> np.ndarray:
-    """Powers of the base (k=0) or of its inverse modulo 2^64 (k=1), n of them at least."""
-    have = _powers[k]
-    if len(have) < n:
-        base = _BASE if k == 0 else pow(_BASE, -1, 2**64)
-        while len(have) < n:
-            step = np.uint64(pow(base, len(have), 2**64))
-            have = np.concatenate([have, have * step])
-        _powers[k] = have
-    return have[:n]
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base (k=0) or of its inverse modulo 2^64 (k=1): the first _STEP, and each _STEP-th of the first n."""
+    base = _BASE if k == 0 else pow(_BASE, -1, 2**64)
+    out = []
+    for step, many in ((1, _STEP), (_STEP, n // _STEP + 1)):
+        have = _tables.get((k, step))
+        if have is None or len(have) < many:
+            factors = np.full(2 * many, pow(base, step, 2**64), np.uint64)
+            factors[0] = 1
+            have = _tables[k, step] = np.multiply.accumulate(factors)
+        out.append(have)
+    return out[0], out[1]
 
 
 def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end], wherever the spans lie: equal spans have equal hashes."""
+    """64-bit hashes of codes[start:end], wherever the spans lie: equal spans have equal hashes.
+
+    Beside the codes it holds 8 bytes a code, in whatever length.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
+    low, high = _powers(0, len(codes))
     prefix = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _power(0, len(codes)), out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * _power(1, len(codes))[start] + (end - start).astype(np.uint64) * _MULT)
+    for i, at in enumerate(range(0, len(codes), _STEP)):
+        block = codes[at : at + _STEP].astype(np.uint64)
+        block += np.uint64(1)
+        block *= low[: len(block)]
+        prefix[at + 1 : at + 1 + len(block)] = np.cumsum(block) * high[i] + prefix[at]
+    low, high = _powers(1, len(codes))
+    return mix((prefix[end] - prefix[start]) * (high[start // _STEP] * low[start % _STEP]) + (end - start).astype(np.uint64) * _MULT)
 
 
 def find_words(texts: pa.Array, lower: bool = True) -> Words:

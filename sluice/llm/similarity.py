@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import find_words, mix, parts, written
+from sluice.llm.common import bound_batches, find_words, mix, parts, written
 
 SKETCH_BITS = 23
 _BLOCK_BITS = 17  # counters of a block of the sketch
@@ -383,6 +383,7 @@ def labelled(
     columns don't matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     rows = written(docs.mapInArrow(_Sets(k), _ROWS))
     sketch = _sketch(rows)

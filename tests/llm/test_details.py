@@ -214,3 +214,16 @@ def test_salted_tokens_lose_no_link(spark):
     plain = sorted(map(tuple, similarity.groups(docs, percent=80, hot=10**9).collect()))
     assert sorted(map(tuple, similarity.groups(docs, percent=80, hot=1, block=9).collect())) == plain
     assert max(r[3] for r in plain) > 30
+
+
+def test_hashes_of_spans_in_long_codes():
+    """Equal spans have equal hashes wherever they lie, across the steps of the sums too, and other spans have others."""
+    piece = np.random.default_rng(3).integers(0, 256, 70_000).astype(np.uint8)
+    codes = np.concatenate([piece, piece[:7], piece, piece[:-1]])
+    start = np.array([0, 70_007, 140_007, 140_007, 5, 65_530, 135_537])
+    end = start + [70_000, 70_000, 69_999, 10, 10, 12, 12]
+    got = span_hashes(codes, start, end).tolist()
+    assert got[0] == got[1] and got[5] == got[6]
+    assert len(set(got)) == 5
+    short = span_hashes(codes[5:15], np.array([0, 3, 3]), np.array([10, 3, 4])).tolist()
+    assert short[0] == got[4] and len(set(short)) == 3
