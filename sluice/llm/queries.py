@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import fingerprints, language_model, mixing, pieces, privacy, quality, secrets, sharding, similarity, toxicity
+from sluice.llm import fingerprints, language_model, licenses, mixing, negatives, pieces, privacy, quality, secrets, sharding, similarity, spelling, toxicity
 from sluice.llm.common import documents
 
 
@@ -61,4 +61,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "sentences")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pieces, op3_quality, op4_mixing, op5_privacy, op6_sharding, op7_language_model, op8_similarity, op9_fingerprints, op10_toxicity)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh vector carries the next label; anchors are the vectors whose id is divisible by 100."""
+    rows = negatives.scaled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secrets, op2_pieces, op3_quality, op4_mixing, op5_privacy, op6_sharding, op7_language_model, op8_similarity, op9_fingerprints, op10_toxicity,
+        op11_negatives, op12_licenses, op13_spelling,
+    )
+}
