@@ -13,6 +13,8 @@ from sluice.llm.common import bound_batches, find_words, mix, parts, written
 
 SKETCH_BITS = 23
 _BLOCK_BITS = 17  # counters of a block of the sketch
+_SLICE = 500_000  # bytes of texts that are cut into shingles at once
+_MOST_SEEN = 100_000  # names of sets that a task remembers
 SIGNATURE = 4  # longs
 SIGNS = [f"s{i}" for i in range(SIGNATURE)]
 _SALTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -66,7 +68,7 @@ class _Sets:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(2**SKETCH_BITS, np.uint16)
         for whole in batches:
-            for batch in parts(whole, "text"):
+            for batch in parts(whole, "text", _SLICE):
                 n = batch.num_rows
                 doc, shingle = shingles(batch.column("text"), self.k)
                 slot, times = np.unique(shingle >> np.uint64(64 - SKETCH_BITS), return_counts=True)
@@ -127,7 +129,7 @@ def _prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 class _Prefixes:
-    """Texts to (token, salt, node, n, place) for the first shingles in the order of rarity, once for each set in a task.
+    """Texts to (token, salt, node, n, place) for the first shingles in the order of rarity, once for each set that a task remembers.
 
     The salt parts the tokens of classes that the sketch counts over `hot` times, by node; other tokens have -1.
     """
@@ -139,10 +141,12 @@ class _Prefixes:
         levels, seen = np.frombuffer(self.levels.value, np.uint8), set()
         pieces = np.ceil(np.exp2(np.arange(256) / 8) / self.hot).astype(np.int64)  # by level
         for whole in batches:
-            for batch in parts(whole, "text"):
+            for batch in parts(whole, "text", _SLICE):
                 doc, shingle = shingles(batch.column("text"), self.k)
                 node = _nodes(doc, shingle, batch.num_rows)
                 fresh = np.zeros(len(node), bool)
+                if len(seen) > _MOST_SEEN:  # a set may come twice from a task; the exchange drops it
+                    seen.clear()
                 for i, x in enumerate(node.tolist()):
                     fresh[i] = x not in seen
                     seen.add(x)
@@ -169,7 +173,7 @@ class _Load:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, "text"):
+            for batch in parts(whole, "text", _SLICE):
                 doc, shingle = shingles(batch.column("text"), self.k)
                 node = _nodes(doc, shingle, batch.num_rows)
                 cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
