@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.functions.columns import let
-from sluice.functions.schemas import SOURCE_TYPES, known, schema
+from sluice.functions.schemas import SOURCE_TYPES, TABLES, Mapped, known, schema
 from sluice.operators.dedup import latest_by_key
 
 INT_MAX = 2_147_483_647
@@ -44,19 +44,48 @@ def inferred_type(value: Column) -> Column:
     return F.when(kind == "BOOLEAN", "boolean").when(kind == "BIGINT", F.when(F.abs(whole) > INT_MAX, "long").otherwise("int")).when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "double").otherwise("string")
 
 
-def fields(events: DataFrame, image: str = "_cdc_image") -> DataFrame:
-    """events with one row for each key of the image: column_name and value (a variant)."""
-    each = F.explode(F.from_json(image, "map<string,variant>")).alias("column_name", "value")
-    return events.select("*", each)
+def unknown(decoded: DataFrame, promoted: dict[str, list[str]] | None = None) -> DataFrame:
+    """(table_name, op, ts_ms, scn, image, extra) of the valid events of all tables that have fields outside the baseline and the
+    promoted columns: extra is the map of those alone, so what is exploded or typed later is only what is new."""
+    own = {t: known(t) + (promoted or {}).get(t, []) for t in TABLES}
+    names = F.create_map(*[x for t, columns in own.items() for x in (F.lit(t), F.array(*map(F.lit, columns)))])
+    own = decoded.filter(F.col("error_type").isNull() & F.col("table_name").isin(*TABLES)).select("table_name", "op", "ts_ms", F.col("scn").try_cast("long").alias("scn"), "image")
+    more = F.size(F.array_except(F.json_object_keys("image"), names[F.col("table_name")])) > 0
+    extra = F.map_filter(F.from_json("image", "map<string,variant>"), lambda k, _: ~F.array_contains(names[F.col("table_name")], k))
+    return own.filter(more).withColumn("extra", extra)
 
 
-def detected(events: DataFrame, table: str) -> DataFrame:
-    """(table_name, column_name, column_type) of the unknown columns, by the type of the first value that is not null."""
-    found = fields(events.select("_cdc_ts_ms", "_cdc_scn", "_cdc_image")).filter(~F.col("column_name").isin(known(table)))
-    first = F.min_by(inferred_type(F.col("value")), F.struct(F.is_variant_null("value"), "_cdc_ts_ms", "_cdc_scn"))
-    out = found.groupBy("column_name").agg(first.alias("kind"))
+def types_of(unknown: DataFrame) -> DataFrame:
+    """(table_name, column_name, column_type) of the unknown columns of all tables, by the type of the first value that is not null."""
+    found = unknown.select("table_name", "ts_ms", "scn", F.explode("extra").alias("column_name", "value"))
+    first = F.min_by(inferred_type(F.col("value")), F.struct(F.is_variant_null("value"), "ts_ms", "scn"))
+    out = found.groupBy("table_name", "column_name").agg(first.alias("kind"))
     names = F.create_map(*[F.lit(x) for kv in SOURCE_TYPES.items() for x in kv])
-    return out.select(F.lit(table).alias("table_name"), "column_name", names[F.col("kind")].alias("column_type"))
+    return out.select("table_name", "column_name", names[F.col("kind")].alias("column_type"))
+
+
+def dynamic_of(unknown: DataFrame) -> DataFrame:
+    """The events that have unknown fields, as rows of the dynamic table."""
+    number = lambda c: F.coalesce(F.get_json_object("image", f"$.{c}").try_cast("int"), F.lit(0)).alias(c.lower())
+    return unknown.select(number("ORDER_ID"), number("CUSTOMER_ID"), F.to_json("extra").alias("data"), F.col("table_name").alias("source_table"), F.col("op").alias("operation"), F.timestamp_millis("ts_ms").alias("event_timestamp"))
+
+
+def row_schema(table: str) -> T.StructType:
+    """The columns of a source table's events."""
+    return T.StructType.fromDDL(TABLES[table] + ", _cdc_op STRING, _cdc_ts_ms BIGINT, _cdc_table STRING, _cdc_scn BIGINT, _cdc_image STRING")
+
+
+def with_promoted(events: DataFrame, columns: list[Mapped]) -> DataFrame:
+    """events with promoted columns, read from the image as text that fits their types or null."""
+    return events.withColumns({m.source: F.get_json_object("_cdc_image", f"$.{m.source}").try_cast(m.type) for m in columns if m.source not in events.columns})
+
+
+def detected(events: DataFrame, table: str) -> DataFrame:
+    """types_of for the events of one table."""
+    own = events.select(F.lit(table).alias("table_name"), F.col("_cdc_ts_ms").alias("ts_ms"), F.col("_cdc_scn").alias("scn"), F.col("_cdc_image").alias("image"))
+    more = F.size(F.array_except(F.json_object_keys("image"), F.array(*map(F.lit, known(table))))) > 0
+    extra = F.map_filter(F.from_json("image", "map<string,variant>"), lambda k, _: ~k.isin(known(table)))
+    return types_of(own.filter(more).withColumn("extra", extra))
 
 
 def register(registry: DataFrame, found: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.functions.folders import shared_folder
 from sluice.operators import aggregates, alerts, dedup, evolution, joins, mapping, reports, xml
@@ -243,9 +245,9 @@ def cdc_upsert_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Two batches, the newer first: an older row doesn't replace a newer one."""
     tables = sinks.Tables(spark, shared_folder(spark))
     for i, version in enumerate((2, 0)):
-        tables.write("cdc_customers", mapping.to_target(feeds.events(spark, sf, "CUSTOMERS", version=version), "CUSTOMERS"), i, ["customer_id"])
+        tables.write("cdc_customers", mapping.to_target(feeds.events(spark, sf, "CUSTOMERS", version=version), "CUSTOMERS"), i)
     out = mapping.to_target(feeds.events(spark, sf, "CUSTOMERS"), "CUSTOMERS")
-    return tables.read("cdc_customers", out.schema).select("customer_id", "name", "email", "tier", "region")
+    return tables.read("cdc_customers", out.schema, ["customer_id"]).select("customer_id", "name", "email", "tier", "region")
 
 
 @query("SELECT c_custkey::INT AS customer_id, c_mktsegment AS tier FROM customer WHERE c_custkey % 3 <> 0")
@@ -531,7 +533,7 @@ def feed_progress(spark: SparkSession, sf: str) -> DataFrame:
     for i in (1, 0):
         out = aggregates.progress(d.filter(F.col("scn").cast("long") % 2 == i), "c")
         tables.advance("cdc_checkpoints", out, 1 - i)
-    return tables.read("cdc_checkpoints", out.schema)
+    return tables.reached("cdc_checkpoints").select(*out.columns)
 
 
 # Reports
@@ -739,27 +741,178 @@ def stream_item_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey::INT AS customer_id, c_mktsegment AS tier FROM customer")
 def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole pipeline over customers as a stream of messages; the result is its table of customers."""
-    from sluice.streaming.pipeline import Pipeline, Settings
+    """The pipeline over customers as a stream of messages; the result is its table of customers."""
+    from sluice.streaming.pipeline import SEQUENCE, Pipeline, Settings
 
     folder = shared_folder(spark)
     feeds.feed(spark, sf, "CUSTOMERS").repartition(2).write.json(f"{folder}/in")
-    run = Pipeline(spark, f"{folder}/tables", Settings(buckets=4))
+    run = Pipeline(spark, f"{folder}/tables", Settings(enrich=False))
     run.start(envelope.read_feed(spark, f"{folder}/in", 1), f"{folder}/checkpoint", once=True).awaitTermination()
-    return run.tables.read("cdc_customers", mapping.to_target(feeds.events(spark, sf, "CUSTOMERS"), "CUSTOMERS").schema).select("customer_id", "tier")
+    return run.tables.read("cdc_customers", mapping.to_target(feeds.events(spark, sf, "CUSTOMERS"), "CUSTOMERS", sequence=True).schema, ["customer_id"], SEQUENCE).select("customer_id", "tier")
+
+
+def _messages(spark: SparkSession, sf: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [feeds.feed(spark, sf, t) for t in ("ORDERS", "ORDER_ITEMS", "CUSTOMERS")])
 
 
 @query(ORACLES["enrich_orders"])
 def stream_orders_enriched(spark: SparkSession, sf: str) -> DataFrame:
     """The pipeline over orders, items and customers in any order and several micro-batches; the result is its table of enriched orders."""
+    from sluice.streaming.pipeline import Pipeline
+
+    folder = shared_folder(spark)
+    _messages(spark, sf).repartition(3).write.json(f"{folder}/in")
+    run = Pipeline(spark, f"{folder}/tables")
+    run.start(envelope.read_feed(spark, f"{folder}/in", 1), f"{folder}/checkpoint", once=True).awaitTermination()
+    return run.orders_enriched()
+
+
+@query(ORACLES["enrich_orders"])
+def stream_new_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """As stream_orders_enriched, but the second half of the messages is read by a run with a new checkpoint, which knows the tables alone."""
+    from sluice.streaming.pipeline import Pipeline
+
+    folder, messages = shared_folder(spark), _messages(spark, sf)
+    for half in (0, 1):
+        messages.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == half).repartition(2).write.json(f"{folder}/in{half}")
+        run = Pipeline(spark, f"{folder}/tables")
+        run.start(envelope.read_feed(spark, f"{folder}/in{half}"), f"{folder}/checkpoint{half}", once=True).awaitTermination()
+    return run.orders_enriched()
+
+
+def _timed(spark: SparkSession, df: DataFrame, ts: str, parts: int = 4) -> DataFrame:
+    """df as a stream of files in the order of ts, one a micro-batch: none holds a row that is earlier than one of the files before."""
+    folder = shared_folder(spark)
+    ms = df.withColumn("_ms", F.unix_millis(ts)).persist()
+    ends = ms.approxQuantile("_ms", [i / parts for i in range(1, parts)], 0.01)
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        one = ms.filter(F.lit(True) if low is None else F.col("_ms") >= low).filter(F.lit(True) if high is None else F.col("_ms") < high)
+        one.drop("_ms").coalesce(1).write.mode("append").parquet(folder)
+    ms.unpersist()
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+_FOUR = """o AS (SELECT o_orderkey AS k, o_custkey AS ck, o_orderdate AS ts FROM orders), c AS (SELECT c_custkey AS ck, c_mktsegment AS tier, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 37 % 2400) AS ts FROM customer),
+    i AS (SELECT l_orderkey AS k, l_partkey AS pk, l_extendedprice AS amount, l_shipdate AS ts FROM lineitem), p AS (SELECT p_partkey AS pk, p_type AS category, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (p_partkey * 37 % 2400) AS ts FROM part)"""
+
+
+@query(f"""WITH {_FOUR}, passed AS (SELECT least((SELECT max(ts) FROM o), (SELECT max(ts) FROM c), (SELECT max(ts) FROM i), (SELECT max(ts) FROM p)) - INTERVAL 1 DAY - INTERVAL 600 DAY AS ts)
+    SELECT time_bucket(INTERVAL 30 DAY, i.ts, TIMESTAMP '1970-01-01') AS window_start, tier, category, count(*) AS items, sum(amount::DECIMAL(18,4))::DOUBLE AS total
+    FROM i JOIN o USING (k) JOIN c USING (ck) JOIN p USING (pk)
+    WHERE i.ts BETWEEN o.ts - INTERVAL 300 DAY AND o.ts + INTERVAL 300 DAY AND c.ts BETWEEN o.ts - INTERVAL 300 DAY AND o.ts + INTERVAL 300 DAY AND p.ts BETWEEN i.ts - INTERVAL 300 DAY AND i.ts + INTERVAL 300 DAY
+    GROUP BY ALL HAVING time_bucket(INTERVAL 30 DAY, any_value(i.ts), TIMESTAMP '1970-01-01') + INTERVAL 30 DAY <= (SELECT ts FROM passed)""")
+def stream_tier_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows by tier and category behind the join of four streams: those that the watermark has passed through both joins."""
+    from sluice.streaming import pipeline, stateful
+
+    out = stateful.tier_windows(*four_streams(spark, sf), "1 day", "300 days", "30 days")
+    return pipeline.collected(out, shared_folder(spark)).select("window_start", "tier", "category", "items", "total")
+
+
+def four_streams(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders, customers, items and products in the order of their times; customers and products get times by their keys."""
+    day = lambda key: F.expr(f"TIMESTAMP '1995-01-01 00:00:00' + make_dt_interval(CAST({key} * 37 % 2400 AS INT))")
+    t = lambda name: feeds.table(spark, sf, name)
+    o = t("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("order_customer_id"), F.col("o_orderdate").alias("order_ts"))
+    c = t("customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("tier"), day("c_custkey").alias("customer_ts"))
+    i = t("lineitem").select(F.col("l_orderkey").alias("item_order_id"), F.col("l_partkey").alias("item_product_id"), F.col("l_extendedprice").alias("amount"), F.col("l_shipdate").alias("item_ts"))
+    p = t("part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), day("p_partkey").alias("product_ts"))
+    return _timed(spark, o, "order_ts"), _timed(spark, c, "customer_ts"), _timed(spark, i, "item_ts"), _timed(spark, p, "product_ts")
+
+
+@query("""WITH i AS (SELECT l_orderkey, epoch_ms(l_shipdate) AS ts FROM lineitem),
+        gaps AS (SELECT *, coalesce(ts - lag(ts) OVER w > 2592000000, true)::INT AS fresh FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY ts)),
+        lists AS (SELECT *, sum(fresh) OVER (PARTITION BY l_orderkey ORDER BY ts ROWS UNBOUNDED PRECEDING) AS list FROM gaps),
+        ended AS (SELECT l_orderkey, list, count(*) AS items, min(ts)::BIGINT AS first_ts, max(ts)::BIGINT AS last_ts FROM lists GROUP BY ALL)
+    SELECT l_orderkey AS order_id, items, first_ts, last_ts FROM ended
+    WHERE last_ts + 2592000000 <= (SELECT max(ts) FROM i) - 86400000 OR list < (SELECT max(list) FROM ended e WHERE e.l_orderkey = ended.l_orderkey)""")
+def stream_expired_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The lists of items that ended by thirty days without news: timers of event time let them out, news or not."""
+    from sluice.streaming import pipeline, stateful
+
+    i = feeds.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").alias("ts"))
+    return pipeline.collected(stateful.expired_lists(_timed(spark, i, "ts"), 30 * 86_400_000, "1 day"), shared_folder(spark)).drop("_batch")
+
+
+@query("""WITH e AS (SELECT event_id, ts, event_id % 4 AS file FROM events), passed AS (SELECT file, max(ts) AS ts FROM e GROUP BY file)
+    SELECT event_id, coalesce(epoch_ms(ts) < epoch_ms((SELECT max(p.ts) FROM passed p WHERE p.file < e.file)) - 86400000, false) AS is_late FROM e""")
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Files in any order of time: the rows that the watermark (a day) had passed are parted from the others, and none is dropped."""
+    from sluice.streaming import pipeline, stateful
+
+    e, folder = feeds.table(spark, sf, "events").select("event_id", "ts"), shared_folder(spark)
+    for part in range(4):
+        e.filter(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return pipeline.collected(stateful.parted_late(stream, "ts", "1 day"), shared_folder(spark)).select("event_id", "is_late")
+
+
+@query("SELECT event_id, (1 + (epoch_ms(ts) + 86400000 <= (SELECT max(epoch_ms(ts)) FROM events) - 86400000)::INT)::BIGINT AS copies FROM events")
+def stream_within_watermark(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that are sent twice at once and again much later: the second is dropped, the third passes once the watermark has dropped the key."""
+    from sluice.streaming import pipeline, stateful
+
+    e, folder = feeds.table(spark, sf, "events").select("event_id", "ts"), shared_folder(spark)
+    end = e.agg(F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts"))
+    for part in (e.unionAll(e), end, e.withColumn("ts", F.col("ts") + F.expr("INTERVAL 100 DAYS"))):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    kept = pipeline.collected(stateful.drop_repeats(stream, ["event_id"], "ts", "1 day"), shared_folder(spark))
+    return kept.filter("event_id >= 0").groupBy("event_id").agg(F.count("*").alias("copies"))
+
+
+@query("SELECT o_orderkey::INT AS order_id, CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 500 END::INT AS loyalty_points, o_orderkey % 2 = 1 AND o_orderkey % 7 = 0 AS was_written FROM orders")
+def stream_promotion(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream finds an unknown column; it is promoted; later batches write it, and what came before is filled in from the dynamic table."""
     from sluice.streaming.pipeline import Pipeline, Settings
 
+    folder, feed = shared_folder(spark), feeds.feed(spark, sf, "ORDERS")
+    run = Pipeline(spark, f"{folder}/tables", Settings(enrich=False))
+    key = F.get_json_object("value", "$.payload.source.scn").cast("long")
+    for half in (0, 1):
+        feed.filter(key % 2 == half).coalesce(2).write.mode("append").json(f"{folder}/in")
+        run.start(envelope.read_feed(spark, f"{folder}/in"), f"{folder}/checkpoint", once=True).awaitTermination()
+        if half == 0:
+            run.promote("ORDERS")
+    written = run.tables.read("cdc_orders", T.StructType.fromDDL("order_id INT, loyalty_points INT")).withColumn("was_written", F.col("loyalty_points").isNotNull())
+    dynamic = run.tables.read("cdc_orders_dynamic", T.StructType.fromDDL("order_id INT, data STRING, event_timestamp TIMESTAMP"))
+    return evolution.backfill(written, dynamic, "order_id", "loyalty_points", "LOYALTY_POINTS", "int").select("order_id", "loyalty_points", "was_written")
+
+
+@query("SELECT 'rows' AS metric_name, count(*)::DOUBLE AS metric_value, 'rows' AS metric_unit FROM orders UNION ALL SELECT 'batches', 3, 'batches'")
+def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """What a run has measured of itself, as its table of metrics holds it: rows and batches (times and rates differ between runs)."""
+    from sluice.streaming.pipeline import METRICS, Pipeline, Settings
+
     folder = shared_folder(spark)
-    names = ("ORDERS", "ORDER_ITEMS", "CUSTOMERS")
-    messages = feeds.feed(spark, sf, names[0])
-    for name in names[1:]:
-        messages = messages.unionByName(feeds.feed(spark, sf, name))
-    messages.repartition(3).write.json(f"{folder}/in")
-    run = Pipeline(spark, f"{folder}/tables", Settings(buckets=4))
+    feeds.feed(spark, sf, "ORDERS").repartition(3).write.json(f"{folder}/in")
+    run = Pipeline(spark, f"{folder}/tables", Settings(enrich=False, report_seconds=0))
     run.start(envelope.read_feed(spark, f"{folder}/in", 1), f"{folder}/checkpoint", once=True).awaitTermination()
-    return run.tables.read("cdc_orders_enriched", _enriched(spark, sf).schema)
+    out = run.tables.read("cdc_metrics", T.StructType.fromDDL(METRICS)).filter(F.col("metric_name").isin("rows", "batches"))
+    return out.groupBy("metric_name", "metric_unit").agg(F.sum("metric_value").cast("double").alias("metric_value"))
+
+
+@query("""WITH e AS (SELECT *, time_bucket(INTERVAL 60 MINUTE, ts) AS w, row_number() OVER (PARTITION BY time_bucket(INTERVAL 60 MINUTE, ts) ORDER BY value) AS k FROM events),
+        per AS (SELECT w, count(*) AS n, avg((event_type = 'error')::INT::DOUBLE) AS errors, sum((event_type = 'error' AND event_id % 3 = 0)::INT)::DOUBLE AS dead FROM e GROUP BY ALL
+                HAVING w + INTERVAL 60 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY),
+        p99 AS (SELECT e.w, min(value) AS p FROM e JOIN per USING (w) WHERE k >= ceil(0.99 * n) GROUP BY e.w)
+    SELECT w AS window_start, 'error_rate' AS rule, errors AS value FROM per WHERE errors > 0.25
+    UNION ALL SELECT w, 'dead_letters', dead FROM per WHERE dead > 1 UNION ALL SELECT w, 'p99_latency', p FROM p99 WHERE p > 95""")
+def stream_alert_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules on error rate, latency and dead letters as windows of a stream, judged once the watermark has passed them."""
+    from sluice.streaming import pipeline
+
+    e, k = _timed(spark, feeds.table(spark, sf, "events").select("event_id", "event_type", "ts", "value"), "ts"), F.col("event_id")
+    error = F.col("event_type") == "error"
+    out = alerts.breaches(e, "ts", error, F.col("value"), "60 minutes", 0.25, 95, 90, 1, is_dead=error & (k % 3 == 0), late="1 day")
+    return pipeline.collected(out, shared_folder(spark)).drop("_batch")
+
+
+@query("SELECT (ts::DATE)::VARCHAR AS day, count(*) AS events FROM events WHERE ts::DATE >= (SELECT min(ts)::DATE + 5 FROM events) GROUP BY ALL")
+def retention_days(spark: SparkSession, sf: str) -> DataFrame:
+    """A log that lies by day, in two batches, of which the first five days are dropped."""
+    tables, e = sinks.Tables(spark, shared_folder(spark)), feeds.table(spark, sf, "events").select("event_id", "ts")
+    for i in (0, 1):
+        tables.write("cdc_audit_log", e.filter(F.col("event_id") % 2 == i), i, day="ts")
+    tables.expire("cdc_audit_log", e.agg(F.date_add(F.min("ts").cast("date"), 5)).first()[0])
+    return tables.read("cdc_audit_log", e.schema).groupBy(F.col("ts").cast("date").cast("string").alias("day")).agg(F.count("*").alias("events"))

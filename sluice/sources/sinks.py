@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import datetime
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -12,10 +13,10 @@ from pyspark.sql import types as T
 
 from sluice.functions.schemas import MODES
 from sluice.operators.aggregates import furthest
-from sluice.operators.joins import insert_missing
 from sluice.operators.mapping import public_columns
 
 HIDDEN = ("operation", "source_ts", "processed_at")
+PROGRESS = "consumer_id STRING, topic STRING, last_offset BIGINT, last_timestamp TIMESTAMP"
 
 
 def aligned(df: DataFrame, columns: T.StructType) -> DataFrame:
@@ -23,29 +24,34 @@ def aligned(df: DataFrame, columns: T.StructType) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns])
 
 
-def merged(current: DataFrame, batch: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
-    """current with the rows of batch put in by key, unless current has a later row of the key.
+#: Columns that a table's rows carry beside its own: when they were written, and whether they take their key out.
+AT, GONE = "_at", "_gone"
 
-    Of rows alike in `order` that of batch counts; of such rows within the batch the one of the greatest hash, so reruns agree.
-    """
-    both = current.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    columns = [c for c in both.columns if c != "_new"]
-    rank = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in order], "_new", F.xxhash64(*columns))
+
+def latest_of(rows: DataFrame, keys: list[str], order: tuple[str, ...] = (), first: bool = False) -> DataFrame:
+    """The row of each key that counts: the greatest in `order`, of equal ones that written last (first: that written first), of those
+    written together that of the greatest hash, so reruns agree. A key whose row is gone is left out."""
+    columns = rows.columns
+    present = [F.struct(F.col(c).isNotNull(), F.col(c)) for c in order if c in columns]
+    rank = F.struct(*present, -F.col(AT) if first else F.col(AT), F.xxhash64(*[c for c in columns if c != AT]))
     best = F.max_by(F.struct(*columns), rank)
-    return both.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(best.alias("_row")).select("_row.*")
+    return rows.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(best.alias("_row")).select("_row.*").filter(f"{GONE} IS NOT TRUE")
 
 
 class Tables:
-    """Tables under a folder. Appends go to a folder for each batch, so that a batch that runs again replaces its own rows.
+    """Tables under a folder: Parquet that Spark writes and commits, with no index or pointer beside it.
 
-    An upsert writes the buckets of keys that a batch touches anew, under the batch's own version, and then publishes a
-    pointer current-<batch>.json by one rename. The highest pointer counts and a published one is never changed, so a
-    stop between any two steps leaves the table as before or as after, readers never see half of a version, and a small
-    batch doesn't rewrite a large table.
+    Each write is a folder of its own, <table>/<stream>/batch=<n>. A batch that runs again replaces its own rows; a stream with a
+    new checkpoint has a new id, so it neither replaces nor skips what others wrote. A keyed table holds change rows, and
+    readers take the row of each key that counts: a batch writes as many rows as it brings, however large the table is.
+
+    compact() is a job apart from the streams: it folds a stream's older batches into one folder upto=<n>, which counts from Spark's
+    _SUCCESS on and hides batch=0..n, and removes what the fold before had hidden, so readers that began earlier go on.
+    The newest batch of a stream is never folded: it may run again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     def _path(self, *parts: str) -> str:
         return "/".join([self.folder, *parts])
@@ -59,88 +65,127 @@ class Tables:
         system, path = self._at(*parts)
         return sorted(x.getPath().getName() for x in system.listStatus(path)) if system.exists(path) else []
 
-    def version(self, table: str) -> dict | None:
-        """The batch of the newest version and the version of each bucket; None for a table without versions."""
-        pointers = [n for n in self._names(table) if n.startswith("current-") and n.endswith(".json")]
-        if not pointers:
-            return None
-        system, path = self._at(table, pointers[-1])
-        stream = system.open(path)
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def paths(self, table: str, but: int | None = None) -> list[str]:
-        """The folders that hold a table now; of an appended one without those of batch `but`."""
-        now = self.version(table)
-        if now:
-            return [self._path(table, v, f"bucket={b}") for b, v in sorted(now["buckets"].items())]
-        return [self._path(table, "batches", n) for n in self._names(table, "batches") if n.startswith("batch=") and n != f"batch={but}"]
-
-    def read(self, table: str, columns: T.StructType, but: int | None = None) -> DataFrame:
-        paths = self.paths(table, but)
-        return self.spark.read.schema(columns).parquet(*paths) if paths else self.spark.createDataFrame([], columns)
-
-    def append(self, table: str, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._path(table, "batches", f"batch={batch_id}"))
-
-    def upsert(self, table: str, df: DataFrame, keys: list[str], order: tuple[str, ...], batch_id: int) -> None:
-        """Puts the rows of df in by key, unless the table has a later row of the key."""
-        self._update(table, df, keys, df, batch_id, lambda have: merged(have, df, keys, order))
-
-    def replace(self, table: str, df: DataFrame, keys: list[str], of: DataFrame, batch_id: int) -> None:
-        """Puts df (one row of each key) in the place of the rows whose keys `of` has; a key that df lacks leaves the table."""
-        self._update(table, df, keys, of, batch_id, lambda have: have.join(of.select(*keys), keys, "left_anti").unionByName(df))
-
-    def advance(self, table: str, progress: DataFrame, batch_id: int) -> None:
-        """Progress rows (consumer_id, topic, last_offset, last_timestamp) put into a table; none goes back."""
-        keys = ["consumer_id", "topic"]
-        have = self.read(table, progress.schema).join(progress.select(*keys), keys, "left_semi")
-        self.replace(table, furthest(progress.unionByName(have)), keys, progress, batch_id)
-
-    def remove(self, table: str, columns: T.StructType, keys: list[str], of: DataFrame, batch_id: int) -> None:
-        """Takes the rows whose keys `of` has out of the table."""
-        self.replace(table, self.spark.createDataFrame([], columns), keys, of, batch_id)
-
-    def expire(self, table: str, columns: T.StructType, keys: list[str], ts: str, before: Column, batch_id: int) -> None:
-        """Takes the rows whose ts is earlier than `before` out of the table; rows without a ts stay."""
-        self.remove(table, columns, keys, self.read(table, columns).filter(F.col(ts) < before), batch_id)
-
-    def _update(self, table: str, df: DataFrame, keys: list[str], of: DataFrame, batch_id: int, change: Callable[[DataFrame], DataFrame]) -> None:
-        now = self.version(table) or {"batch": -1, "buckets": {}}
-        if now["batch"] >= batch_id:
-            return
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
-        touched = [r[0] for r in of.select(bucket.alias("b")).distinct().collect()]  # self.buckets at most
-        old = [self._path(table, now["buckets"][str(b)], f"bucket={b}") for b in touched if str(b) in now["buckets"]]
-        have = self.spark.read.schema(df.schema).parquet(*old) if old else df.limit(0)
-        name = f"version={batch_id}"
-        change(have).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._path(table, name))
-        written = {n.removeprefix("bucket=") for n in self._names(table, name) if n.startswith("bucket=")}  # a bucket can run empty
-        kept = {b: v for b, v in now["buckets"].items() if int(b) not in touched}
-        self._publish(table, {"batch": batch_id, "buckets": kept | {b: name for b in written}})
-
-    def _publish(self, table: str, version: dict) -> None:
-        name = f"current-{version['batch']:019d}.json"
-        system, part = self._at(table, f".{name}.part")
-        out = system.create(part, True)
-        out.write(bytearray(json.dumps(version).encode()))
-        out.close()
-        system.rename(part, self._at(table, name)[1])
-        for old in [n for n in self._names(table) if n.startswith("current-")][:-2]:  # the one before stays for readers
-            system.delete(self._at(table, old)[1], False)
-
-    def write(self, table: str, df: DataFrame, batch_id: int, keys: list[str] | None = None, order: tuple[str, ...] = ("source_ts",)) -> bool:
-        """Writes by the table's mode; False for a table that has none."""
-        mode = MODES.get(table)
-        if mode == "append":
-            self.append(table, df, batch_id)
-        elif mode == "upsert":
-            self.upsert(table, df, keys or [], order, batch_id)
-        elif mode == "insert_missing":
-            self.append(table, insert_missing(self.read(table, df.schema, but=batch_id), df, keys or []), batch_id)
-        return mode is not None
+    def _drop(self, *parts: str) -> None:
+        system, path = self._at(*parts)
+        system.delete(path, True)
+
+    def _parts(self, table: str, stream: str) -> tuple[list[int], list[int]]:
+        """The finished folds and the finished batches of a stream."""
+        done: dict[str, list[int]] = {"upto": [], "batch": []}
+        for name in self._names(table, stream):
+            kind, _, n = name.partition("=")
+            system, mark = self._at(table, stream, name, "_SUCCESS")
+            if kind in done and system.exists(mark):
+                done[kind].append(int(n))
+        return sorted(done["upto"]), sorted(done["batch"])
+
+    def paths(self, table: str) -> list[str]:
+        """The folders that hold a table now."""
+        out = []
+        for stream in self._names(table):
+            folds, batches = self._parts(table, stream)
+            fold = folds[-1:] if folds else []
+            out += [self._path(table, stream, f"upto={n}") for n in fold]
+            out += [self._path(table, stream, f"batch={n}") for n in batches if n > (fold or [-1])[0]]
+        return out
+
+    def days(self, table: str, first: datetime.date, last: datetime.date) -> list[str]:
+        """The folders of some days of a table that lies by day."""
+        wanted = [(path, name) for path in self.paths(table) for name in self._names(*path.removeprefix(self.folder + "/").split("/"))]
+        return [f"{path}/{name}" for path, name in wanted if name.startswith("day=") and first.isoformat() <= name[4:14] <= last.isoformat()]
+
+    def rows(self, table: str, columns: T.StructType, days: tuple[datetime.date, datetime.date] | None = None) -> DataFrame:
+        """All rows of a table, or those of some days, with AT and GONE; columns that older rows lack are null."""
+        hidden = [T.StructField(AT, T.LongType()), T.StructField(GONE, T.BooleanType())]
+        schema = T.StructType([*[f for f in columns if f.name not in (AT, GONE)], *hidden])
+        paths = self.days(table, *days) if days else self.paths(table)
+        return self._load(schema, paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _load(self, schema: T.StructType, paths: list[str]) -> DataFrame:
+        # folders of days only serve to find and drop them; the time itself is in the rows
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths)
+
+    def read(self, table: str, columns: T.StructType, keys: list[str] | None = None, order: tuple[str, ...] = ("source_ts",)) -> DataFrame:
+        """The table: of a keyed one a row for each key, the greatest in `order`. Of equal rows that written last counts, in a table that
+        only takes missing keys that written first. `columns` may be more than some rows have."""
+        rows = self.rows(table, columns)
+        if keys:
+            rows = latest_of(rows, keys, order, MODES.get(table) == "insert_missing")
+        return rows.select(*columns.names)
+
+    def put(self, table: str, df: DataFrame, batch_id: int, stream: str = "direct", day: str | None = None, gone: bool = False) -> None:
+        """Writes the rows of a batch; day: a time by whose day the rows lie in folders, so that old days can be dropped."""
+        df = df.withColumns({AT: F.lit(time.time_ns() // 1000), GONE: F.lit(True if gone else None).cast("boolean") if GONE not in df.columns else F.col(GONE)})
+        path = self._path(table, stream, f"batch={batch_id}")
+        if day:
+            df.withColumn("day", F.to_date(day)).write.mode("overwrite").partitionBy("day").parquet(path)
+        else:
+            df.write.mode("overwrite").parquet(path)
+
+    def write(self, table: str, df: DataFrame, batch_id: int, stream: str = "direct", day: str | None = None) -> bool:
+        """Writes to a table that has a mode; False for one that has none."""
+        if table in MODES:
+            self.put(table, df, batch_id, stream, day)
+        return table in MODES
+
+    def remove(self, table: str, of: DataFrame, batch_id: int, stream: str = "direct") -> None:
+        """Takes the keys of `of` (with the columns that order the table's rows) out of a keyed table."""
+        self.put(table, of, batch_id, stream, gone=True)
+
+    def advance(self, table: str, progress: DataFrame, batch_id: int, stream: str = "direct") -> None:
+        """Progress rows (consumer_id, topic, last_offset, last_timestamp) put into a table; read by `reached`."""
+        self.put(table, progress, batch_id, stream)
+
+    def reached(self, table: str) -> DataFrame:
+        """How far each consumer is in each topic: none goes back."""
+        return furthest(self.rows(table, T.StructType.fromDDL(PROGRESS)))
+
+    def compact(
+        self, table: str, columns: T.StructType, keys: list[str] | None = None, order: tuple[str, ...] = ("source_ts",), least: int = 10, day: str | None = None,
+        keep: Column | None = None, part_bytes: int = 128 * 2**20,
+    ) -> None:
+        """Folds the older batches of each stream that has at least `least` unfolded ones.
+
+        Of a keyed table a row for each key is kept (one that is gone too, as older rows may still come from other streams); keep:
+        of which rows; rows with a null answer stay. Files get about part_bytes, sorted by key, so readers of few keys skip most.
+        """
+        for stream in self._names(table):
+            folds, batches = self._parts(table, stream)
+            last = folds[-1] if folds else -1
+            new = [n for n in batches if n > last][:-1]
+            if len(new) < least:
+                continue
+            paths = [self._path(table, stream, f"upto={last}")] * bool(folds) + [self._path(table, stream, f"batch={n}") for n in new]
+            hidden = [T.StructField(AT, T.LongType()), T.StructField(GONE, T.BooleanType())]
+            df = self._load(T.StructType([*columns, *hidden]), paths)
+            df = df if keep is None else df.filter(F.coalesce(keep, F.lit(True)))
+            size = sum(self._size(p) for p in paths)
+            if keys:
+                kept = latest_of(df.withColumn("_out", F.col(GONE)).withColumn(GONE, F.lit(None).cast("boolean")), keys, order, MODES.get(table) == "insert_missing")
+                df = kept.withColumn(GONE, F.col("_out")).drop("_out").repartition(max(1, -(-size // part_bytes)), *keys).sortWithinPartitions(*keys)
+            else:
+                df = df.coalesce(max(1, -(-size // part_bytes)))
+            path = self._path(table, stream, f"upto={new[-1]}")
+            (df.withColumn("day", F.to_date(day)).write.mode("overwrite").partitionBy("day") if day else df.write.mode("overwrite")).parquet(path)
+            for n in folds[:-1]:
+                self._drop(table, stream, f"upto={n}")
+            for n in (n for n in batches if n <= last):
+                self._drop(table, stream, f"batch={n}")
+
+    def _size(self, path: str) -> int:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+    def expire(self, table: str, before: datetime.date) -> int:
+        """Drops the days before a date from a table that lies by day; how many folders went. No file of a later day is read or written."""
+        n = 0
+        for path in self.paths(table):
+            parts = path.removeprefix(self.folder + "/").split("/")
+            for name in self._names(*parts):
+                if name.startswith("day=") and name[4:14] < before.isoformat():
+                    self._drop(*parts, name)
+                    n += 1
+        return n
 
 
 def dead_letters(errors: DataFrame, topic: Column, payload: Column, consumer: str, at: Column) -> DataFrame:

@@ -1,152 +1,336 @@
-"""The streaming pipeline: one decoded micro-batch feeds every target table."""
+"""The streaming pipeline: decoded micro-batches feed the target tables, and keyed state the enriched orders."""
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
+from statistics import quantiles
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from sluice.functions.schemas import KEYS, MODES, TARGETS
-from sluice.operators import evolution, xml
+from sluice.functions.folders import written
+from sluice.functions.schemas import KEYS, MODES, TARGETS, Mapped, mapping
+from sluice.operators import alerts, evolution, xml
 from sluice.operators.aggregates import by_tier, progress
-from sluice.operators.dedup import ORDER, latest_by_key
-from sluice.operators.joins import current, enrich_orders
-from sluice.operators.mapping import customers_back, to_target
+from sluice.operators.dedup import latest_by_key
+from sluice.operators.mapping import load_mapping, to_target
+from sluice.sources import sinks
 from sluice.sources.envelope import decode, invalid, mismatched, rows
 from sluice.sources.sinks import Tables, aligned, dead_letters, each_on_its_own
+from sluice.streaming import keyed
 
 
 @dataclass
 class Settings:
-    """buckets: parts by key of each upserted table, of which a batch writes those that it touches. sinks: what else each batch of enriched orders goes to, by name; one that fails stops neither the others nor the batch."""
+    """sinks: what else each batch of enriched orders goes to, by name; one that fails stops neither the others nor the batch.
+
+    push: where payloads go, by kind: events, items, enriched, notifications, dead_letters; each gets a DataFrame of (chunk, payloads).
+    days: appended tables that lie in folders by the day of one of their times, so that `Tables.expire` can drop old ones.
+    report_seconds: how often rows, rates and lag go to cdc_metrics.
+    """
 
     consumer: str = "sluice"
     trigger: str = "10 seconds"
     dead_letters: bool = True
     enrich: bool = True
-    buckets: int = 64
     sinks: dict[str, Callable[[DataFrame], None]] = field(default_factory=dict)
+    push: dict[str, Callable[[DataFrame], None]] = field(default_factory=dict)
+    days: dict[str, str] = field(default_factory=dict)
+    report_seconds: float = 30.0
+
+
+REGISTRY = "table_name STRING, column_name STRING, column_type STRING, target_table STRING, target_column STRING, target_type STRING, is_active BOOLEAN, promoted_at TIMESTAMP"
+ENRICHED = (
+    "order_id INT, customer_id INT, customer_name STRING, customer_tier STRING, customer_region STRING, total_amount DECIMAL(15,2), item_count BIGINT, order_date TIMESTAMP, "
+    "status STRING, window_start TIMESTAMP, window_end TIMESTAMP, order_version BIGINT, customer_version BIGINT"
+)
+METRICS = "consumer_id STRING, metric_name STRING, metric_value DECIMAL(15,4), metric_unit STRING, window_start TIMESTAMP, window_end TIMESTAMP"
+SEQUENCE, VERSIONS = ("source_ts", "source_scn"), ("order_version", "customer_version")
+
+
+def stream_of(batch: DataFrame) -> str:
+    """The id of the streaming query whose micro-batch this is: that of its checkpoint, so a restart keeps it and a new checkpoint has
+    a new one."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
 
+def side_by_side(spark: SparkSession, jobs: list[Callable[[], None]], most: int = 8) -> None:
+    """Runs independent jobs of a batch at once; the first failure is raised when all have ended."""
+    with ThreadPoolExecutor(most) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    for r in running:
+        r.result()
 
-REGISTRY = "table_name STRING, column_name STRING, column_type STRING, is_active BOOLEAN"
-SEQUENCE = ("source_ts", "source_scn")
+
+class Running:
+    """The queries of a started pipeline."""
+
+    def __init__(self, pipeline: Pipeline, queries: list[StreamingQuery]):
+        self.pipeline, self.queries = pipeline, queries
+
+    def awaitTermination(self) -> None:
+        for q in self.queries:
+            q.awaitTermination()
+        self.close()
+
+    def stop(self) -> None:
+        for q in self.queries:
+            q.stop()
+        self.close()
+
+    def close(self) -> None:
+        """Waits for what the listener is still to be told of the last batches, and reports."""
+        last = [(str(q.id), p.batchId) for q in self.queries if (p := q.lastProgress) is not None]
+        until = time.time() + 10
+        while time.time() < until and not set(last) <= {(b["query"], b["batch"]) for b in self.pipeline.statistics.batches}:
+            time.sleep(0.05)
+        self.pipeline.report()
+        self.pipeline.spark.streams.removeListener(self.pipeline.statistics)
 
 
 class Pipeline:
-    """Writes each micro-batch of messages to the target tables, under its batch id: a batch that runs again replaces itself."""
+    """Writes each micro-batch of messages to the target tables, under the id of its stream and its own: a batch that runs again replaces itself."""
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None):
         self.spark, self.settings = spark, settings or Settings()
-        self.tables = Tables(spark, folder, self.settings.buckets)
+        self.tables, self.statistics = Tables(spark, folder), Statistics()
+        self._reported = time.time()
 
     def batch(self, messages: DataFrame, batch_id: int) -> None:
-        """Tables without events in the batch are left alone. Each table's latest rows are computed once for all that use them."""
+        """Every table's write is a job of its own, and they run side by side. Tables without events in the batch are left alone."""
+        stream = stream_of(messages)
         decoded = decode(messages).persist()
-        here = {r[0] for r in decoded.select("table_name").filter(F.col("table_name").isin(*KEYS)).distinct().collect()}  # five at most
-        every = {t: rows(decoded, t) for t in KEYS}
-        latest = {t: latest_by_key(every[t], [k]) for t, k in KEYS.items()}
-        latest |= {t: latest[t].persist() for t in here}
+        found = decoded.groupBy("table_name").agg(F.count("*").alias("n")).filter(F.col("table_name").isin(*KEYS)).collect()
+        here = sorted(r["table_name"] for r in found)  # five at most
+        every = {t: rows(decoded, t) for t in here}
+        latest = {t: latest_by_key(df, [KEYS[t]]) for t, df in every.items()}
+        known = self.mapping()
+        promoted = {t: [m.source for m in columns if m not in mapping(t)] for t, columns in known.items()}
+        unknown = evolution.unknown(decoded, promoted).persist()
+        if "ORDERS" in here:
+            latest["ORDERS"] = latest["ORDERS"].persist()
+        failures: dict[str, str] = {}
         try:
-            for table in sorted(here):
-                own = xml.without_xml(latest[table], xml.ITEMS) if table == "ORDERS" else latest[table]
-                # appended tables have the declared columns; in others the sequence number tells events of one time apart
-                upserts = MODES[TARGETS[table]] == "upsert"
-                self.tables.write(TARGETS[table], to_target(own, table, sequence=upserts), batch_id, [KEYS[table].lower()], SEQUENCE)
+            jobs = [lambda t=t: self.target(t, latest[t], known[t], batch_id, stream, failures) for t in here]
             if "ORDERS" in here:
-                items = xml.order_items(latest["ORDERS"])
-                self.tables.write("cdc_order_items_extracted", items.withColumnRenamed("ORDER_ID", "order_id"), batch_id)
-            failures = self.evolved({t: every[t] for t in sorted(here)}, batch_id)
-            if self.settings.enrich and here & {"ORDERS", "ORDER_ITEMS", "CUSTOMERS"}:
-                failures |= self.enriched(latest["ORDERS"], latest["ORDER_ITEMS"], to_target(latest["CUSTOMERS"], "CUSTOMERS"), batch_id)
+                jobs.append(lambda: self.items(latest["ORDERS"], batch_id, stream, failures))
+            jobs.append(lambda: failures.update(self.evolved(unknown, batch_id, stream)))
+            jobs.append(lambda: self.tables.advance("cdc_checkpoints", progress(decoded, self.settings.consumer), batch_id, stream))
+            side_by_side(self.spark, jobs)
             if self.settings.dead_letters:
-                self.failed(decoded, every, here, failures, batch_id)
-            self.tables.advance("cdc_checkpoints", progress(decoded, self.settings.consumer), batch_id)
+                self.failed(decoded, every, failures, batch_id, stream)
+            if time.time() - self._reported >= self.settings.report_seconds:
+                self.report()
         finally:
-            for df in (decoded, *(latest[t] for t in here)):
+            for df in (decoded, unknown, *[latest[t] for t in here if t == "ORDERS"]):
                 df.unpersist()
 
-    def evolved(self, every: dict[str, DataFrame], batch_id: int) -> dict[str, str]:
+    def mapping(self) -> dict[str, list[Mapped]]:
+        """The projections as the registry has them now: a column that was promoted since the last batch is in this one. A column that the
+        registry does not speak of is mapped as it is declared."""
+        out = {t: mapping(t) for t in KEYS}
+        if self.tables.paths("cdc_schema_registry"):
+            for table, columns in load_mapping(self.registry()).items():
+                declared = {m.target for m in out[table]}
+                out[table] = out[table] + [m for m in columns if m.target not in declared]
+        return out
+
+    def registry(self) -> DataFrame:
+        """A row for each column: as it was promoted, or else as it was first found."""
+        return self.tables.read("cdc_schema_registry", T.StructType.fromDDL(REGISTRY), ["table_name", "column_name"], ("is_active",))
+
+    def target(self, table: str, latest: DataFrame, columns: list[Mapped], batch_id: int, stream: str, failures: dict[str, str]) -> None:
+        own = xml.without_xml(latest, xml.ITEMS) if table == "ORDERS" else latest
+        declared = {m.source for m in mapping(table)}
+        own = evolution.with_promoted(own, [m for m in columns if m.source not in declared])
+        # appended tables have the declared columns; in others the sequence number tells events of one time apart
+        name = TARGETS[table]
+        out = to_target(own, table, columns, sequence=MODES[name] == "upsert")
+        self.tables.write(name, out, batch_id, stream, self.settings.days.get(name))
+        failures |= self.pushed("events", lambda: sinks.event_payloads(out, table, self.settings.consumer))
+
+    def items(self, orders: DataFrame, batch_id: int, stream: str, failures: dict[str, str]) -> None:
+        items = xml.order_items(orders).withColumnRenamed("ORDER_ID", "order_id")
+        self.tables.write("cdc_order_items_extracted", items, batch_id, stream)
+        failures |= self.pushed("items", lambda: sinks.row_payloads(items, [c for c in sinks.EXTRACTED if c in items.columns]))
+
+    def pushed(self, kind: str, payloads: Callable[[], DataFrame]) -> dict[str, str]:
+        """Gives payloads to where the settings send that kind; what failed."""
+        send = self.settings.push.get(kind)
+        return each_on_its_own(sinks.chunked(payloads()), {f"push {kind}": send}) if send else {}
+
+    def evolved(self, unknown: DataFrame, batch_id: int, stream: str) -> dict[str, str]:
         """Unknown columns of all tables and events: their rows go to the dynamic table, their names to the registry.
 
         A registry that can't be written does not stop the batch; returns the message of what failed.
         """
-        if not every:
+        if unknown.isEmpty():
             return {}
-        dynamic = reduce(DataFrame.unionByName, [evolution.dynamic_rows(df, t) for t, df in every.items()]).persist()
+        self.tables.write("cdc_orders_dynamic", evolution.dynamic_of(unknown), batch_id, stream)
+        found = evolution.types_of(unknown).withColumn("is_active", F.lit(False))
+        register = lambda df: self.tables.write("cdc_schema_registry", aligned(df, T.StructType.fromDDL(REGISTRY)), batch_id, stream)
+        return each_on_its_own(found, {"registry": register})
+
+    def promote(self, table: str) -> None:
+        """Makes the pending columns of a table part of its target from the next batch on, and fills them in for a keyed target's rows.
+
+        An appended target is filled in as it is read (`evolution.backfill`). Runs beside the stream: what it writes has an id of its own.
+        """
+        run = f"promotion-{time.time_ns()}"
+        pending = self.registry().filter(~F.col("is_active") & (F.col("table_name") == table)).persist()
+        target = TARGETS[table]
         try:
-            if dynamic.isEmpty():
-                return {}
-            self.tables.write("cdc_orders_dynamic", dynamic, batch_id)
-            found = reduce(DataFrame.unionByName, [evolution.detected(df, t) for t, df in every.items()]).withColumn("is_active", F.lit(False))
-            register = lambda df: self.tables.write("cdc_schema_registry", aligned(df, T.StructType.fromDDL(REGISTRY)), batch_id, ["table_name", "column_name"])
-            return each_on_its_own(found, {"registry": register})
+            active = evolution.promote(pending, table, target).withColumn("promoted_at", F.current_timestamp())
+            self.tables.put("cdc_schema_registry", active, 0, run)
+            if MODES[target] == "upsert":
+                key, columns = KEYS[table].lower(), active.collect()  # a row for each new column
+                if columns:
+                    kept = T.StructType.fromDDL("data STRING, event_timestamp TIMESTAMP, source_table STRING, order_id INT, customer_id INT")
+                    dynamic = self.tables.rows("cdc_orders_dynamic", kept).filter(F.col("source_table") == table)
+                    declared = to_target(self.spark.createDataFrame([], evolution.row_schema(table)), table, sequence=True).schema
+                    have = self.tables.read(target, T.StructType([*declared, *[T.StructField(c["target_column"], T._parse_datatype_string(c["target_type"])) for c in columns]]), [key], SEQUENCE)
+                    for c in columns:
+                        have = evolution.backfill(have, dynamic, key, c["target_column"], c["column_name"], c["target_type"])
+                    filled = have.filter(reduce(lambda a, b: a | b, [F.col(c["target_column"]).isNotNull() for c in columns]))
+                    self.tables.put(target, filled, 0, run)
         finally:
-            dynamic.unpersist()
+            pending.unpersist()
 
-    def failed(self, decoded: DataFrame, every: dict[str, DataFrame], here: set[str], failures: dict[str, str], batch_id: int) -> None:
+    def failed(self, decoded: DataFrame, every: dict[str, DataFrame], failures: dict[str, str], batch_id: int, stream: str) -> None:
         """What could not be read goes to the dead letters: messages, values of other types, XML of every event, and sinks' failures."""
         dead = lambda df, topic, payload: dead_letters(df, topic, payload, self.settings.consumer, F.current_timestamp())
         out = dead(invalid(decoded), F.col("topic"), F.col("value"))
-        for table in sorted(here):
+        for table in every:
             out = out.unionByName(dead(mismatched(decoded, table, [KEYS[table]]), F.col("topic"), F.col("value")))
-        if "ORDERS" in here:
+        if "ORDERS" in every:
             out = out.unionByName(dead(xml.malformed(every["ORDERS"], xml.ITEMS), F.lit("cdc/oracle/ORDERS"), F.col("_cdc_image")))
         if failures:
-            lost = self.spark.createDataFrame([("WRITE_ERROR", m, n) for n, m in failures.items()], "error_type string, error_message string, name string")
-            out = out.unionByName(dead(lost, F.col("name"), F.lit(None).cast("string")))
-        self.tables.write("cdc_dlq", out, batch_id)
-
-    def enriched(self, orders: DataFrame, items: DataFrame, customers: DataFrame, batch_id: int) -> dict[str, str]:
-        """Enriches the orders that the batch touches itself, by an item or by their customer, from the latest rows of all batches.
-
-        An item that goes to another order touches both. Orders that are deleted leave the table. The aggregates count the
-        orders that the batch brings alone. The enriched orders also go to the sinks of the settings; returns what failed there.
-        """
-        state = {}
-        for name, df, key, columns in (("state_orders", orders, "ORDER_ID", ["ORDER_ID", "CUSTOMER_ID", "TOTAL_AMOUNT", "ORDER_DATE", "STATUS"]), ("state_order_items", items, "ITEM_ID", ["ITEM_ID", "ORDER_ID", "SUBTOTAL"])):
-            df = df.select(*columns, "_cdc_op", *ORDER)
-            self.tables.upsert(name, df, [key], ORDER, batch_id)
-            state[name] = self.tables.read(name, df.schema)
-        seen = self.tables.read("cdc_order_items", T.StructType.fromDDL("item_id INT, order_id INT")).join(items.select(F.col("ITEM_ID").alias("item_id")), "item_id", "left_semi")
-        own = orders.select("ORDER_ID")
-        of_customers = state["state_orders"].join(customers.select(F.col("customer_id").alias("CUSTOMER_ID")), "CUSTOMER_ID", "left_semi").select("ORDER_ID")
-        touched = own.union(seen.select("order_id")).union(of_customers).dropna().distinct().persist()
+            out = out.unionByName(self.lost(failures))
+        self.tables.write("cdc_dlq", out, batch_id, stream, self.settings.days.get("cdc_dlq"))
+        self.pushed("dead_letters", lambda: sinks.dead_letter_notifications(out).select(F.to_json(F.struct("*")).alias("payload")))
+
+    def lost(self, failures: dict[str, str]) -> DataFrame:
+        rows = self.spark.createDataFrame([("WRITE_ERROR", m, n) for n, m in failures.items()], "error_type string, error_message string, name string")
+        return dead_letters(rows, F.col("name"), F.lit(None).cast("string"), self.settings.consumer, F.current_timestamp())
+
+    def enriched(self, changed: DataFrame, batch_id: int) -> None:
+        """A batch of what `keyed.enriched` yields: enriched orders with their versions go to their table, where orders that are deleted
+        leave; the aggregates count the orders that the batch brings itself. Orders of high value are notified, all go to the sinks."""
+        stream = stream_of(changed)
+        changed = changed.persist()
         try:
-            mine = state["state_orders"].join(touched, "ORDER_ID", "left_semi")
-            parts = state["state_order_items"].join(touched, "ORDER_ID", "left_semi")
-            people = customers_back(self.tables.read("cdc_customers", customers.schema).filter("operation <> 'd'"))
-            out = enrich_orders(current(mine), people, current(parts)).withColumn("source_ts", F.col("window_start")).persist()
-            self.tables.replace("cdc_orders_enriched", out, ["order_id"], touched.withColumnRenamed("ORDER_ID", "order_id"), batch_id)
-            self.tables.write("cdc_order_aggregations", by_tier(out.join(own.withColumnRenamed("ORDER_ID", "order_id"), "order_id", "left_semi")), batch_id)
-            failures = each_on_its_own(out, self.settings.sinks) if self.settings.sinks else {}
-            out.unpersist()
-            return failures
+            if changed.isEmpty():
+                return
+            out = changed.filter("NOT deleted").drop("deleted", "own")
+            own = changed.filter("own AND NOT deleted")
+            failures: dict[str, str] = {}
+            jobs = [
+                lambda: self.tables.put("cdc_orders_enriched", changed.withColumn(sinks.GONE, F.col("deleted")).drop("deleted", "own"), batch_id, stream),
+                lambda: self.tables.write("cdc_order_aggregations", by_tier(own), batch_id, stream),
+                lambda: failures.update(each_on_its_own(out.drop(*VERSIONS), self.settings.sinks) if self.settings.sinks else {}),
+                lambda: failures.update(self.pushed("enriched", lambda: sinks.row_payloads(out, sinks.ENRICHED))),
+                lambda: failures.update(self.pushed("notifications", lambda: alerts.high_value_notifications(own).select(F.to_json(F.struct("*")).alias("payload")))),
+            ]
+            side_by_side(self.spark, jobs)
+            if failures and self.settings.dead_letters:
+                self.tables.write("cdc_dlq", self.lost(failures), batch_id, stream)
         finally:
-            touched.unpersist()
-
-    def start(self, messages: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-        """Starts on a stream of messages; once: takes what is there and stops. The checkpoint makes a restart go on where it stopped."""
-        writer = messages.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.settings.trigger)).start()
+            changed.unpersist()
+
+    def known(self) -> dict[str, DataFrame] | None:
+        """What the tables hold, as the first state of a run without a checkpoint; None if they hold nothing yet."""
+        if not any(self.tables.paths(TARGETS[t]) for t in KEYS):
+            return None
+        now = {}
+        for table in (keyed.ORDER, keyed.ITEM, keyed.CUSTOMER):
+            schema = to_target(self.spark.createDataFrame([], evolution.row_schema(table)), table, sequence=MODES[TARGETS[table]] == "upsert").schema
+            now[table] = self.tables.read(TARGETS[table], schema, [KEYS[table].lower()], SEQUENCE)
+        enriched = latest_versions(self.tables.rows("cdc_orders_enriched", T.StructType.fromDDL(ENRICHED)))
+        return keyed.known_state(now[keyed.ORDER], now[keyed.ITEM], now[keyed.CUSTOMER], enriched)
+
+    def orders_enriched(self) -> DataFrame:
+        """The enriched orders as they are now."""
+        return self.tables.read("cdc_orders_enriched", T.StructType.fromDDL(ENRICHED), ["order_id"], VERSIONS).drop(*VERSIONS)
+
+    def start(self, messages: DataFrame, checkpoint: str, once: bool = False) -> Running:
+        """Starts on a stream of messages; once: takes what is there and stops. The checkpoint makes a restart go on where it stopped; with a
+        new one the state is taken from the tables first, and the messages must be those that came since."""
+        self.spark.streams.addListener(self.statistics)
+
+        def begin(stream: DataFrame, each: Callable[[DataFrame, int], None], name: str) -> StreamingQuery:
+            writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{checkpoint}/{name}")
+            return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=self.settings.trigger)).start()
+
+        # the state is read before this run's own writes reach the tables
+        enriched = keyed.enriched(decode(messages), self._first_state(f"{checkpoint}/enriched")) if self.settings.enrich else None
+        queries = [begin(enriched, self.enriched, "enriched")] if enriched is not None else []
+        counted = messages.observe(self.settings.consumer, F.count(F.lit(1)).alias("rows"))
+        return Running(self, [*queries, begin(counted, self.batch, "tables")])
+
+    def _first_state(self, checkpoint: str) -> dict[str, DataFrame] | None:
+        """The tables' state, written down, for a new checkpoint; Spark reads it in the first batch alone."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+        if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            known = self.known()
+            return known and {k: df.limit(0) for k, df in known.items()}
+        known = self.known()
+        return known and {k: written(df) for k, df in known.items()}
+
+    def report(self) -> None:
+        """Rows, rates, lag and batch times since the last report, to cdc_metrics."""
+        began, self._reported = self._reported, time.time()
+        found = self.statistics.taken()
+        if found:
+            ends = F.timestamp_millis(F.lit(int(began * 1000))).alias("window_start"), F.timestamp_millis(F.lit(int(self._reported * 1000))).alias("window_end")
+            df = self.spark.createDataFrame([(self.settings.consumer, n, v, u) for n, v, u in found], "consumer_id string, metric_name string, metric_value double, metric_unit string")
+            self.tables.write("cdc_metrics", aligned(df.select("*", *ends), T.StructType.fromDDL(METRICS)), 0, f"metrics-{int(self._reported * 1000)}")
+
+
+def latest_versions(rows: DataFrame) -> DataFrame:
+    """(order_id, customer_id, order_version, customer_version) of all orders, of those that left too, so their versions go on."""
+    best = F.max_by(F.struct("customer_id", *VERSIONS), F.struct(*VERSIONS))
+    return rows.groupBy("order_id").agg(best.alias("b")).select("order_id", "b.*")
 
 
 class Statistics(StreamingQueryListener):
-    """Rows and rates of each micro-batch."""
+    """Rows, rates, batch times and lag of each micro-batch; observed: what DataFrame.observe counted."""
 
     def __init__(self) -> None:
         self.batches: list[dict] = []
+        self._taken = 0
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.batches.append({"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "ms": p.batchDuration, "state_rows": sum(s.numRowsTotal for s in p.stateOperators)})
+        observed = {n: r.asDict() for n, r in (p.observedMetrics or {}).items()}
+        self.batches.append({
+            "query": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "ms": p.batchDuration,
+            "state_rows": sum(s.numRowsTotal for s in p.stateOperators), "observed": observed, "behind": sum(_behind(s) for s in p.sources),
+        })
+
+    def taken(self) -> list[tuple[str, float, str]]:
+        """(name, value, unit) over the batches since it was asked last."""
+        new, self._taken = self.batches[self._taken :], len(self.batches)
+        if not new:
+            return []
+        ms = sorted(b["ms"] for b in new)
+        at = lambda q: quantiles(ms, n=100, method="inclusive")[q - 1] if len(ms) > 1 else ms[0]
+        counted = sum(o.get("rows") or 0 for b in new for o in b["observed"].values())
+        seconds = sum(ms) / 1000
+        return [
+            ("rows", float(counted), "rows"), ("rows_per_second", counted / seconds if seconds else 0.0, "rows/s"), ("batches", float(len(new)), "batches"),
+            ("batch_p50", float(at(50)), "ms"), ("batch_p99", float(at(99)), "ms"), ("lag", float(new[-1]["behind"]), "offsets"),
+        ]
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -155,6 +339,17 @@ class Statistics(StreamingQueryListener):
         pass
 
 
+def _behind(source) -> int:
+    """How far the offset that a batch reached is from the latest that the source has; 0 where they are no numbers."""
+
+    def number(offset) -> int | None:
+        found = [int(x) for x in re.findall(r"(?<=[:\s])-?\d+", str(offset or ""))]
+        return sum(found) if found else None
+
+    end, latest = number(source.endOffset), number(source.latestOffset)
+    return max(0, latest - end) if end is not None and latest is not None else 0
+
+
 def late_rows(batch: DataFrame, ts: str, watermark_ms: int) -> DataFrame:
     """The rows of a micro-batch that a watermark drops, for a side table."""
     return batch.filter(F.col(ts) < F.timestamp_millis(F.lit(watermark_ms)))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -159,3 +159,141 @@ def join_four(orders: DataFrame, customers: DataFrame, items: DataFrame, product
     whose = o.join(c, F.expr("order_customer_id = customer_id") & near("customer_ts", "order_ts")).drop("customer_ts")
     what = i.join(p, F.expr("item_product_id = product_id") & near("product_ts", "item_ts")).drop("product_ts")
     return whose.join(what, F.expr("order_id = item_order_id") & near("item_ts", "order_ts")).drop("order_ts")
+
+
+def tier_windows(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, late: str = "10 seconds", within: str = "1 hour", length: str = "5 minutes") -> DataFrame:
+    """Items by window of their time, tier of their order's customer and category of their product: number, sum and average of `amount`.
+
+    The inputs are those of join_four, with `tier` in customers, `category` in products and `amount` in items. A chain of stateful
+    operators in append mode: the joins pass their watermarks on, later by `within` for each of two joins in a row, and a window
+    comes out, and its state goes, once that has passed its end.
+    """
+    joined = join_four(orders, customers, items, products, late, within)
+    amount = F.col("amount").cast("decimal(18,4)")
+    out = joined.groupBy(F.window("item_ts", length).alias("_w"), "tier", "category").agg(F.count("*").alias("items"), F.sum(amount).alias("_sum"))
+    mean = F.round(F.col("_sum").cast("decimal(28,10)") / F.col("items"), 4).cast("double")
+    return out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "tier", "category", "items", F.col("_sum").cast("double").alias("total"), mean.alias("average"))
+
+
+def drop_repeats(rows: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
+    """The first row of each key within `late` of event time: without Python, and the watermark drops the state of keys in time."""
+    return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+class _Expiring(StatefulProcessor):
+    """The items of an order until no news came for ttl_ms of event time: then the list comes out and the state goes."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.list = handle.getValueState("list", "items LONG, first_ts LONG, last_ts LONG")
+
+    def _out(self, key, held: tuple) -> Row:
+        return Row("order_id", "items", "first_ts", "last_ts")(key[0], *held)
+
+    def _until(self, held: tuple) -> int:
+        return held[2] + self.ttl_ms
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.list.get()
+        if held is not None:
+            self.handle.deleteTimer(self._until(held))
+        for ts in sorted(int(r.ts_ms) for r in rows):
+            if held is not None and ts > self._until(held):  # the list ended between two items of one batch
+                yield self._out(key, held)
+                held = None
+            held = (1, ts, ts) if held is None else (held[0] + 1, held[1], max(held[2], ts))
+        self.list.update(held)
+        self.handle.registerTimer(self._until(held))  # each item sets the timer anew
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.list.get()
+        if held is not None and self._until(held) <= expiredTimerInfo.getExpiryTimeInMs():
+            yield self._out(key, held)
+            self.list.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def expired_lists(items: DataFrame, ttl_ms: int = 3_600_000, late: str = "10 seconds") -> DataFrame:
+    """Items (order_id, ts) of a stream to the lists that have ended: (order_id, items, first_ts, last_ts), times in milliseconds.
+
+    A list ends when ttl_ms of event time pass without an item; a timer tells it when the watermark passes, so lists that
+    get no more news come out too. An item that is older than the watermark is dropped.
+    """
+    with_rocksdb(items.sparkSession)
+    timed = items.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
+    return timed.groupBy("order_id").transformWithState(_Expiring(ttl_ms), "order_id long, items long, first_ts long, last_ts long", "append", "eventTime")
+
+
+class _Parted(StatefulProcessor):
+    """Marks the rows that are older than the watermark."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for r in rows:
+            given = {k: v for k, v in r.asDict().items() if k != "_part"}
+            yield Row(*given, "is_late")(*given.values(), r.ts_ms < passed)
+
+    def close(self) -> None:
+        pass
+
+
+def parted_late(rows: DataFrame, ts: str, late: str, parts: int = 64) -> DataFrame:
+    """A stream's rows with is_late: whether the stream's own watermark had passed them when they came. None is dropped.
+
+    The time goes on as a plain number beside the watermark's column, so that late rows reach the operator. Rows are dealt by
+    hash, a hot key to all parts.
+    """
+    with_rocksdb(rows.sparkSession)
+    names = [f.name for f in rows.schema if f.name != ts]
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != ts) + ", ts_ms long, is_late boolean"
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+    timed = rows.withColumn("_mark", F.col(ts)).withWatermark("_mark", late)
+    plain = timed.select(*names, F.unix_millis(F.col("_mark") + F.expr("INTERVAL 0 SECOND")).alias("ts_ms"), part.alias("_part"))
+    marked = plain.groupBy("_part").transformWithState(_Parted(), out, "append", "eventTime")
+    return marked.withColumn(ts, F.timestamp_millis("ts_ms")).drop("ts_ms")
+
+
+class _Silent(StatefulProcessor):
+    """An alert for each source that is silent for a while of processing time."""
+
+    def __init__(self, after_ms: int):
+        self.after_ms = after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_ts LONG, timer LONG")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.last.get()
+        if held is not None:
+            self.handle.deleteTimer(held[1])
+        at = timerValues.getCurrentProcessingTimeInMs() + self.after_ms
+        self.handle.registerTimer(at)
+        newest = max(int(r.ts_ms) for r in rows)
+        self.last.update((newest if held is None else max(newest, held[0]), at))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.last.get()
+        self.last.clear()
+        yield Row("source", "last_ts", "silent_since")(key[0], held[0], held[1] - self.after_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def silent_sources(rows: DataFrame, after_ms: int = 30_000) -> DataFrame:
+    """Rows (source, ts_ms) of a stream to (source, last_ts, silent_since), one row whenever a source was silent for after_ms.
+
+    Timers of processing time fire without input, so the stream that watches runs on by itself.
+    """
+    with_rocksdb(rows.sparkSession)
+    return rows.groupBy("source").transformWithState(_Silent(after_ms), "source string, last_ts long, silent_since long", "append", "processingTime")

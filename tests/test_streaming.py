@@ -1,7 +1,12 @@
+import itertools
 import json
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sluice.operators import evolution
+from sluice.operators.mapping import to_target
 from sluice.sources import envelope
 from sluice.streaming import pipeline, stateful
 from tests.conftest import CUSTOMER, ITEM, ORDER, message
@@ -12,28 +17,51 @@ def put(folder, name, *messages):
     (folder / name).write_text("".join(json.dumps({"topic": t, "value": v}) + "\n" for t, v in messages))
 
 
+def all_rows(spark, run, table):
+    return [r.asDict() for r in spark.read.parquet(*run.tables.paths(table)).collect()] if run.tables.paths(table) else []
+
+
+def customers(spark, run):
+    schema = to_target(spark.createDataFrame([], evolution.row_schema("CUSTOMERS")), "CUSTOMERS", sequence=True).schema
+    return [r["tier"] for r in run.tables.read("cdc_customers", schema, ["customer_id"], pipeline.SEQUENCE).collect()]
+
+
+def enriched(run):
+    return {r["order_id"]: (r["customer_name"], r["item_count"]) for r in run.orders_enriched().collect()}
+
+
+def runner(spark, tmp_path, settings=None):
+    """A pipeline, and a function that feeds it a file of messages; each file may have a checkpoint of its own."""
+    run, n = pipeline.Pipeline(spark, f"file://{tmp_path}/tables", settings), itertools.count()
+
+    def go(*messages, checkpoint="checkpoint", folder="in"):
+        if messages:
+            put(tmp_path / folder, f"{next(n):03d}.json", *messages)
+        run.start(envelope.read_feed(spark, f"file://{tmp_path}/{folder}", 1), f"file://{tmp_path}/{checkpoint}", once=True).awaitTermination()
+
+    return run, go
+
+
 def test_pipeline_and_restart(spark, tmp_path):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    run = pipeline.Pipeline(spark, f"file://{tmp_path}/tables")
-    go = lambda: run.start(envelope.read_feed(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/checkpoint", once=True).awaitTermination()
+    run, go = runner(spark, tmp_path)
     broken = ORDER | {"ORDER_ID": 7, "SHIPPING_INFO": "<a><items>", "PRIORITY": "HIGH"}
-    put(tmp_path / "in", "a.json", message("ORDERS", ORDER), message("CUSTOMERS", CUSTOMER), message("ORDER_ITEMS", ITEM), message("ORDERS", broken), ("cdc/oracle/SALES/ORDERS/insert", "bad"))
-    go()
-    put(tmp_path / "in", "b.json", message("CUSTOMERS", CUSTOMER | {"TIER": "PLATINUM"}, op="u", ts_ms=1_700_000_000_001))
+    go(message("ORDERS", ORDER), message("CUSTOMERS", CUSTOMER), message("ORDER_ITEMS", ITEM), message("ORDERS", broken), ("cdc/oracle/SALES/ORDERS/insert", "bad"))
+    go(message("CUSTOMERS", CUSTOMER | {"TIER": "PLATINUM"}, op="u", ts_ms=1_700_000_000_001))
     go()
-    go()
-    read = lambda t: [r.asDict() for r in spark.read.parquet(*run.tables.paths(t)).collect()]
-    assert [r["tier"] for r in read("cdc_customers")] == ["PLATINUM"]
-    assert sorted(r["order_id"] for r in read("cdc_orders")) == [7, 77]
-    assert len(read("cdc_order_items_extracted")) == 2
-    assert sorted(r["error_type"] for r in read("cdc_dlq")) == ["MALFORMED_JSON", "MALFORMED_XML"]
-    assert [json.loads(r["data"]) for r in read("cdc_orders_dynamic")] == [{"PRIORITY": "HIGH"}]
-    assert {r["order_id"]: (r["customer_name"], r["item_count"]) for r in read("cdc_orders_enriched")} == {77: ("Ada Quill", 1), 7: ("Ada Quill", 0)}
-
-
-def test_enriched_over_several_batches(spark, feed, tmp_path):
-    """The order, its items and its customer come in batches of their own, in any order."""
-    run = pipeline.Pipeline(spark, f"file://{tmp_path}/tables", pipeline.Settings(dead_letters=False))
+    assert customers(spark, run) == ["PLATINUM"]
+    assert sorted(r["order_id"] for r in all_rows(spark, run, "cdc_orders")) == [7, 77]
+    assert len(all_rows(spark, run, "cdc_order_items_extracted")) == 2
+    assert sorted(r["error_type"] for r in all_rows(spark, run, "cdc_dlq")) == ["MALFORMED_JSON", "MALFORMED_XML"]
+    assert [json.loads(r["data"]) for r in all_rows(spark, run, "cdc_orders_dynamic")] == [{"PRIORITY": "HIGH"}]
+    assert enriched(run) == {77: ("Ada Quill", 1), 7: ("Ada Quill", 0)}
+    assert {r["customer_tier"] for r in run.orders_enriched().collect()} == {"PLATINUM"}
+
+
+@pytest.mark.parametrize("fresh", [False, True])
+def test_enriched_over_several_batches(spark, tmp_path, fresh):
+    """The order, its items and its customer come in batches of their own, in any order; fresh: each run has a new checkpoint and knows
+    what came before from the tables alone."""
+    run, go = runner(spark, tmp_path, pipeline.Settings(dead_letters=False))
     item = lambda i, order=77: ITEM | {"ITEM_ID": i, "ORDER_ID": order}
     later = 1_700_000_000_001
     batches = [
@@ -43,13 +71,58 @@ def test_enriched_over_several_batches(spark, feed, tmp_path):
         ([message("ORDERS", ORDER | {"STATUS": "SHIPPED"}, op="u", ts_ms=later), message("ORDER_ITEMS", item(2, 7), op="u", ts_ms=later)], {77: ("Ada Quill", 1), 7: ("Ada Quill", 1)}),
         # an older order and item, and deletes
         ([message("ORDERS", ORDER), message("ORDER_ITEMS", item(2)), message("ORDER_ITEMS", None, item(1), op="d", ts_ms=later), message("ORDERS", None, ORDER | {"ORDER_ID": 7}, op="d", ts_ms=later)], {77: ("Ada Quill", 0)}),
+        # to another customer, of whom nothing is known
+        ([message("ORDERS", ORDER | {"CUSTOMER_ID": 8}, op="u", ts_ms=later + 1)], {77: (None, 0)}),
+        ([message("CUSTOMERS", CUSTOMER | {"CUSTOMER_ID": 8, "FIRST_NAME": "Bo"}), message("CUSTOMERS", CUSTOMER | {"TIER": "X"}, op="u", ts_ms=later)], {77: ("Bo Quill", 0)}),
+        ([message("CUSTOMERS", None, CUSTOMER | {"CUSTOMER_ID": 8}, op="d", ts_ms=later)], {77: (None, 0)}),
     ]
     for i, (messages, want) in enumerate(batches):
-        run.batch(feed(*messages), i)
-        paths = run.tables.paths("cdc_orders_enriched")
-        rows = spark.read.parquet(*paths).collect() if paths else []
-        assert {r["order_id"]: (r["customer_name"], r["item_count"]) for r in rows} == want, i
-    assert [r["status"] for r in rows] == ["SHIPPED"]
+        own = {"checkpoint": f"checkpoint{i}", "folder": f"in{i}"} if fresh else {}
+        go(*messages, **own)
+        assert enriched(run) == want, i
+
+
+def test_new_checkpoint_loses_no_row(spark, tmp_path):
+    """Three files, then two more by a stream with a new checkpoint, whose batch numbers start again; a replay changes nothing."""
+    run, go = runner(spark, tmp_path)
+    orders = lambda ids: [message("ORDERS", ORDER | {"ORDER_ID": i}) for i in ids]
+    for i in range(3):
+        put(tmp_path / "in", f"{i}.json", *orders(range(10 * i, 10 * i + 10)), message("CUSTOMERS", CUSTOMER | {"CUSTOMER_ID": i}))
+    go()
+    for i in range(2):
+        put(tmp_path / "more", f"{i}.json", *orders(range(100 + 10 * i, 110 + 10 * i)), message("CUSTOMERS", CUSTOMER | {"CUSTOMER_ID": i, "TIER": "NEW"}, op="u", ts_ms=1_700_000_000_009))
+    go(checkpoint="second", folder="more")
+    assert sorted(r["order_id"] for r in all_rows(spark, run, "cdc_orders")) == [*range(30), *range(100, 120)]
+    assert sorted(customers(spark, run)) == ["NEW", "NEW", "SILVER"] and len(enriched(run)) == 50
+    before = {t: sorted(map(repr, all_rows(spark, run, t))) for t in ("cdc_orders", "cdc_orders_enriched")}
+    go(checkpoint="second", folder="more")
+    assert before == {t: sorted(map(repr, all_rows(spark, run, t))) for t in before}
+
+
+def test_a_batch_reads_no_table(spark, tmp_path, monkeypatch):
+    """However large the tables are: enrichment lives on its state, and writes look at nothing that is there."""
+    run, go = runner(spark, tmp_path)
+    go(*[message("ORDERS", ORDER | {"ORDER_ID": i}) for i in range(200)], message("CUSTOMERS", CUSTOMER))
+    monkeypatch.setattr(run, "known", lambda: None)
+    monkeypatch.setattr(run.tables, "rows", lambda *_: (_ for _ in ()).throw(AssertionError("a table was read")))
+    go(message("ORDER_ITEMS", ITEM), message("CUSTOMERS", CUSTOMER | {"TIER": "GOLD"}, op="u", ts_ms=1_700_000_000_001))
+    monkeypatch.undo()
+    assert {r["customer_tier"] for r in run.orders_enriched().collect()} == {"GOLD"} and enriched(run)[77] == ("Ada Quill", 1)
+
+
+def test_promoted_column_of_a_keyed_table(spark, tmp_path):
+    """An unknown column is registered, promoted, filled in for rows that came before, and written by later batches."""
+    run, go = runner(spark, tmp_path, pipeline.Settings(enrich=False))
+    person = lambda i, **more: message("CUSTOMERS", CUSTOMER | {"CUSTOMER_ID": i} | more)
+    go(person(1, MOOD="calm"), person(2))
+    assert [(r["column_name"], r["is_active"]) for r in run.registry().collect()] == [("MOOD", False)]
+    run.promote("CUSTOMERS")
+    read = lambda: {r["customer_id"]: (r["mood"], r["tier"]) for r in run.tables.read("cdc_customers", T.StructType.fromDDL("customer_id INT, tier STRING, mood STRING, source_ts TIMESTAMP"), ["customer_id"]).collect()}
+    assert read() == {1: ("calm", "SILVER"), 2: (None, "SILVER")}
+    go(person(3, MOOD="wild", ODD=1), message("CUSTOMERS", CUSTOMER | {"CUSTOMER_ID": 1, "TIER": "GOLD", "MOOD": "glad"}, op="u", ts_ms=1_700_000_000_001))
+    assert read() == {1: ("glad", "GOLD"), 2: (None, "SILVER"), 3: ("wild", "SILVER")}
+    assert sorted((r["column_name"], r["is_active"]) for r in run.registry().collect()) == [("MOOD", True), ("ODD", False)]
+    assert [json.loads(r["data"]) for r in all_rows(spark, run, "cdc_orders_dynamic")] == [{"MOOD": "calm"}, {"ODD": 1}]
 
 
 def test_item_lists_cap_and_expire(spark, tmp_path):
@@ -76,24 +149,37 @@ def test_first_run_starts_from_known_state(spark, tmp_path):
     assert sorted((r["key"], r["ts"]) for r in got) == [(1, 8), (2, 5)]
 
 
-def test_pipeline_sides(spark, feed, tmp_path):
-    """Registry, dynamic rows of all tables and events, dead letters of every kind, a sink that fails, and sequence numbers."""
-    seen = []
+def test_pipeline_sides(spark, tmp_path):
+    """Registry, dynamic rows of all tables and events, dead letters of every kind, a sink that fails, payloads, and sequence numbers."""
+    seen, sent = [], {}
 
     def down(df):
         raise RuntimeError("no route")
 
-    settings = pipeline.Settings(buckets=2, sinks={"push": down, "copy": lambda df: seen.append(df.count())})
-    run = pipeline.Pipeline(spark, f"file://{tmp_path}/tables", settings)
-    read = lambda t: [r.asDict() for r in spark.read.parquet(*run.tables.paths(t)).collect()]
+    push = {kind: lambda df, k=kind: sent.setdefault(k, []).extend(p for r in df.collect() for p in r["payloads"]) for kind in ("events", "items", "enriched", "notifications", "dead_letters")}
+    settings = pipeline.Settings(sinks={"push": down, "copy": lambda df: seen.append(df.count())}, push=push, report_seconds=0)
+    run, go = runner(spark, tmp_path, settings)
     broken = message("ORDERS", ORDER | {"SHIPPING_INFO": "<a><items>", "RUSH": True}, ts_ms=1)
-    run.batch(feed(broken, message("ORDERS", ORDER), message("CUSTOMERS", CUSTOMER | {"MOOD": "calm"}, scn="10"), message("CUSTOMERS", {"CUSTOMER_ID": "none"})), 0)
-    run.batch(feed(message("CUSTOMERS", CUSTOMER | {"TIER": "LATE"}, scn="9"), message("ORDERS", ORDER | {"STATUS": "STALE"}, ts_ms=2), message("ORDERS", ORDER | {"RUSH": False}, ts_ms=3)), 1)
-    assert sorted((r["table_name"], r["column_name"]) for r in read("cdc_schema_registry")) == [("CUSTOMERS", "MOOD"), ("ORDERS", "RUSH")]
+    go(broken, message("ORDERS", ORDER | {"TOTAL_AMOUNT": 12_000}), message("CUSTOMERS", CUSTOMER | {"MOOD": "calm"}, scn="10"), message("CUSTOMERS", {"CUSTOMER_ID": "none"}))
+    go(message("CUSTOMERS", CUSTOMER | {"TIER": "LATE"}, scn="9"), message("ORDERS", ORDER | {"STATUS": "STALE"}, ts_ms=2), message("ORDERS", ORDER | {"RUSH": False}, ts_ms=3))
+    read = lambda t: all_rows(spark, run, t)
+    assert sorted((r["table_name"], r["column_name"]) for r in run.registry().collect()) == [("CUSTOMERS", "MOOD"), ("ORDERS", "RUSH")]
     assert sorted((r["source_table"], json.loads(r["data"]).popitem()) for r in read("cdc_orders_dynamic")) == [("CUSTOMERS", ("MOOD", "calm")), ("ORDERS", ("RUSH", False)), ("ORDERS", ("RUSH", True))]
-    assert sorted((r["error_type"], r["original_topic"]) for r in read("cdc_dlq")) == [("MALFORMED_XML", "cdc/oracle/ORDERS"), ("SCHEMA_MISMATCH", "cdc/oracle/SALES/CUSTOMERS/insert"), ("WRITE_ERROR", "push"), ("WRITE_ERROR", "push")]
-    assert [r["tier"] for r in read("cdc_customers")] == ["SILVER"] and [r["status"] for r in read("cdc_orders_enriched")] == ["CONFIRMED"]
-    assert seen == [1, 1] and max(r["last_offset"] for r in read("cdc_checkpoints")) == 10
+    # the second batch brings only news that are stale, so nothing is enriched or pushed by it
+    assert sorted((r["error_type"], r["original_topic"]) for r in read("cdc_dlq")) == [("MALFORMED_XML", "cdc/oracle/ORDERS"), ("SCHEMA_MISMATCH", "cdc/oracle/SALES/CUSTOMERS/insert"), ("WRITE_ERROR", "push")]
+    assert customers(spark, run) == ["SILVER"] and [r["status"] for r in run.orders_enriched().collect()] == ["CONFIRMED"]
+    assert seen == [1] and max(r["last_offset"] for r in run.tables.reached("cdc_checkpoints").collect()) == 10
+    assert [json.loads(p)["event_type"] for p in sent["notifications"]] == ["HIGH_VALUE_ORDER"] and len(sent["enriched"]) == 1
+    assert {json.loads(p)["table"] for p in sent["events"]} == {"ORDERS", "CUSTOMERS"} and len(sent["items"]) == 4
+    assert {json.loads(p)["event_type"] for p in sent["dead_letters"]} == {"MALFORMED_XML", "SCHEMA_MISMATCH"}
+    metrics = {(r["metric_name"], r["metric_unit"]) for r in read("cdc_metrics")}
+    assert {("rows", "rows"), ("rows_per_second", "rows/s"), ("batch_p50", "ms"), ("batch_p99", "ms"), ("lag", "offsets")} <= metrics
+
+
+def test_lag_is_told_from_offsets():
+    source = lambda end, latest: type("Source", (), {"endOffset": end, "latestOffset": latest})
+    assert pipeline._behind(source('{"t":{"0":5,"1":7}}', '{"t":{"0":9,"1":7}}')) == 4
+    assert pipeline._behind(source('{"logOffset":3}', None)) == 0 and pipeline._behind(source(None, "x")) == 0
 
 
 def test_output_modes_and_statistics(spark, tmp_path):
@@ -130,3 +216,52 @@ def test_state_expires(spark, tmp_path):
     finally:
         query.stop()
     assert len(got) >= 2
+
+
+def test_a_silent_source_raises_an_alert(spark, tmp_path):
+    """A timer of processing time fires without input: once for each silence."""
+    import time
+
+    schema, got = "source string, ts_ms long", []
+    put_row = lambda ts: spark.createDataFrame([("a", ts)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    put_row(5)
+    watched = stateful.silent_sources(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), after_ms=500)
+    query = watched.writeStream.foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start()
+    try:
+        for n in (1, 2):
+            end = time.time() + 60
+            while len(got) < n and time.time() < end:
+                time.sleep(0.2)
+            if n == 1:
+                time.sleep(3)
+                assert len(got) == 1
+                put_row(9)
+    finally:
+        query.stop()
+    assert [(r["source"], r["last_ts"]) for r in got] == [("a", 5), ("a", 9)]
+
+
+def test_state_of_closed_windows_is_dropped(spark, tmp_path):
+    """The joins and the window behind them keep fewer rows once the watermark has passed."""
+    from sluice.plans import queries
+    from tests.conftest import SF
+
+    stats = pipeline.Statistics()
+    spark.streams.addListener(stats)
+    try:
+        out = stateful.tier_windows(*queries.four_streams(spark, SF), "1 day", "300 days", "30 days")
+        assert pipeline.collected(out, f"{tmp_path}/out").count() > 0
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(stats)
+    held = [b["state_rows"] for b in stats.batches]
+    assert held[-1] < 0.7 * max(held)
+
+
+def test_a_list_in_reach_of_its_timer_goes_on(spark, tmp_path):
+    """Each item sets the timer anew; a list ends between two items of one batch too."""
+    for part in ([(1, 1000), (1, 1050), (2, 1000)], [(1, 1140), (1, 1300), (2, 1090)], [(3, 2000)], [(3, 2010)]):
+        spark.createDataFrame(part, "order_id long, s long").select("order_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("order_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = pipeline.collected(stateful.expired_lists(stream, 100_000, "200 seconds"), f"{tmp_path}/out").collect()
+    assert sorted((r["order_id"], r["items"], r["first_ts"], r["last_ts"]) for r in got) == [(1, 1, 1_300_000, 1_300_000), (1, 3, 1_000_000, 1_140_000), (2, 2, 1_000_000, 1_090_000)]
