@@ -84,7 +84,8 @@ def _repeat_words(ws: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """What the rules look at, by document; a null text counts as empty."""
+    """What the rules look at, by row; a null text counts as empty, which has zeros. Repeated rows give repeated results, null ids stay;
+    an empty table gives no rows; extra columns don't matter."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.select("doc_id", let(words(text), lambda ws: F.struct(
         F.size(ws).cast("long").alias("n_words"), F.length(F.array_join(ws, "")).cast("long").alias("word_chars"), F.size(F.array_distinct(ws)).cast("long").alias("n_distinct"), F.size(F.filter(ws, lambda w, i: (i > 0) & (w == ws[F.greatest(i - 1, F.lit(0))]))).cast("long").alias("n_runs"), _repeat_words(ws).alias("n_repeat_words"),
@@ -106,29 +107,39 @@ class Belief(NamedTuple):
     chances: dict[str, dict[int, tuple[float, float]]]
 
 
-def estimate(patterns: DataFrame, rules: list[str], rounds: int = 20, prior: float = 0.8, close: float = 1e-6) -> Belief:
+def estimate(patterns: DataFrame, rules: list[str], rounds: int = 20, prior: float = 0.8) -> Belief:
     """Expectation-maximisation on the table of vote patterns (votes: one of each rule, n): 3 ** rules rows at most.
 
-    Each round sums the posterior of the patterns by rule and vote, in one plan: the chances go in as one array, so the plan's
-    code is the same in every round. It stops when no chance moves by more than `close`, or after `rounds`. A trace of START
-    stays in the sums, so no chance becomes 0. Without patterns the first belief stays.
+    All rounds are one job: the table, whose size the rules bound, is one array, and a fold over the rounds carries the
+    belief as an array of numbers (the prior, then for each rule and vote the two chances). A trace of START stays in the
+    sums, so no chance becomes 0. Without patterns the first belief stays.
     """
-    now = Belief(prior, {r: START for r in rules})
-    for _ in range(rounds):
-        each = patterns.select("n", (F.col("n") * posterior(now, F.col("votes"))).alias("good"), F.posexplode("votes").alias("rule", "vote"))
-        sums = {(r["rule"], r["vote"]): (r["good"], r["n"]) for r in each.groupBy("rule", "vote").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).collect()}  # 3 a rule
-        if not sums:
-            break
-        good, n = (sum(sums.get((0, v), (0.0, 0))[k] for v in (1, 0, -1)) for k in (0, 1))
-        chances = {}
-        for k, rule in enumerate(rules):
-            by_vote = {v: sums.get((k, v), (0.0, 0)) for v in (1, 0, -1)}
-            chances[rule] = {v: ((g + START[v][0]) / (good + 1), (m - g + START[v][1]) / (n - good + 1)) for v, (g, m) in by_vote.items()}
-        before, now = now, Belief((good + 1) / (n + 2), chances)
-        moved = [abs(a - b) for r in rules for v in (1, 0, -1) for a, b in zip(before.chances[r][v], now.chances[r][v])]
-        if max(moved) < close:
-            break
-    return now
+    votes = (-1, 0, 1)
+    first = [prior, *[x for _ in rules for v in votes for x in START[v]]]
+    traces = F.lit(first[1:])
+
+    def belief_of(sums: Column) -> Column:
+        good, n = sums[0] + sums[2] + sums[4], sums[1] + sums[3] + sums[5]
+        chance = lambda x, k: F.when(k % 2 == 0, (x + traces[k]) / (good + 1)).otherwise((x - sums[F.greatest(k - 1, F.lit(0))] + traces[k]) / (n - good + 1))
+        return F.concat(F.array((good + 1) / (n + 2)), F.transform(sums, chance))
+
+    def round_(belief: Column) -> Column:
+        def likely(p: Column) -> Column:
+            ratio = lambda v, i: belief[6 * i + 2 * v + 3] / belief[6 * i + 2 * v + 4]
+            odds = F.aggregate(F.transform(p["votes"], ratio), belief[0] / (1 - belief[0]), lambda a, x: a * x)
+            return let(odds, lambda o: p["n"] * (o / (1 + o)))
+
+        def add(sums: Column, p: Column) -> Column:
+            mine = lambda k: p["votes"][F.floor(k / 6).cast("int")] == F.floor(k / 2).cast("int") % 3 - 1
+            return let(likely(p), lambda g: F.transform(sums, lambda x, k: x + F.when(mine(k), F.when(k % 2 == 0, g).otherwise(p["n"].cast("double"))).otherwise(0.0)))
+
+        return let(F.aggregate("patterns", F.lit([0.0] * (len(first) - 1)), add), belief_of)
+
+    packed = patterns.agg(F.collect_list(F.struct("votes", "n")).alias("patterns"))
+    whole = F.when(F.size("patterns") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(first), lambda b, _: round_(b))).otherwise(F.lit(first))
+    got = packed.select(whole.alias("belief")).first()[0]
+    pairs = iter(zip(got[1::2], got[2::2], strict=True))
+    return Belief(got[0], {r: {v: next(pairs) for v in votes} for r in rules})
 
 
 def posterior(belief: Belief, votes: Column) -> Column:
