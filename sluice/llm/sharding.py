@@ -29,7 +29,7 @@ def pack(loads: np.ndarray, left: np.ndarray, spare: float | None = None) -> np.
     return where
 
 
-def shard(docs: DataFrame, shards: int = 16, pieces_per_shard: int = 8, cells: int = 8192, slot_buckets: int = 256, spare: float = 0.01) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, pieces_per_shard: int = 8, cells: int = 8192, slot_rows: int = 65_536, spare: float = 0.01) -> DataFrame:
     """(doc_id, size, tokens, text_crc32, shard, slot) of each document.
 
     size is the text's UTF-8 bytes and 1, tokens its words; a null text has neither. Documents of one text form a group.
@@ -39,15 +39,17 @@ def shard(docs: DataFrame, shards: int = 16, pieces_per_shard: int = 8, cells: i
     The light groups go whole into one of `cells` cells by their hash; cells and pieces, which these parameters bound at any
     size of the table, fill what the heavy groups leave. So sums of the shards differ by about a cell or a piece. Slots
     number a shard's rows from 0 by (hash bucket, doc_id): counts of buckets give each bucket its first slot, so no task
-    sorts a whole shard. Rows alike in all share what they get in any order. An empty table gives no rows.
+    sorts a whole shard. There are as many buckets as a shard has slot_rows rows on average (256 at least), dealt by the hash of
+    doc_id and text. Rows alike in all share what they get in any order. An empty table gives no rows; extra columns don't matter.
     """
     spark, heavy_from = docs.sparkSession, shards * pieces_per_shard
     text = F.coalesce(F.col("text"), F.lit(""))
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(slot_buckets)).cast("int")
     size = (F.octet_length(text) + F.lit(1)).cast("long")
-    base = written(docs.select("doc_id", size.alias("size"), n_words(F.col("text")).alias("tokens"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_md5"), bucket.alias("bucket")))
+    base = written(docs.select("doc_id", size.alias("size"), n_words(F.col("text")).alias("tokens"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("text_md5")))
     sums = [F.sum("size"), F.sum("tokens"), F.count("*")]
     total = np.array([max(1.0, float(t or 0)) for t in base.agg(*sums).first()])
+    slot_buckets = max(256, -(-int(total[2]) // (shards * slot_rows)))
+    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_md5"), F.lit(slot_buckets)).cast("int"))
     share = F.greatest(*[s / F.lit(float(t)) for s, t in zip(sums, total)])
     heavy = base.groupBy("text_md5").agg(*sums, share.alias("share")).filter(F.col("share") * heavy_from > 1).orderBy("text_md5").collect()
     left = np.full((shards, len(DIMENSIONS)), 1 / shards)
@@ -67,6 +69,6 @@ def shard(docs: DataFrame, shards: int = 16, pieces_per_shard: int = 8, cells: i
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = base.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     rank = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_md5"))
-    # firsts has shards * slot_buckets rows at most
-    out = base.join(F.broadcast(firsts), ["shard", "bucket"])
+    # firsts has shards * slot_buckets rows at most: the optimizer broadcasts it while that is small
+    out = base.join(F.broadcast(firsts) if slot_buckets <= 4096 else firsts, ["shard", "bucket"])
     return out.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first") + rank - 1).cast("long").alias("slot"))
