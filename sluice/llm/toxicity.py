@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import mix, parts, span_hashes, written
@@ -114,16 +114,23 @@ def fit_noisy_or(rows: list, n_features: int, rounds: int = 400, step: float = 0
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 4096, least_docs: int = 5) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, most_features: int = 4096, least_docs: int = 5, most_bytes: int = 200_000_000) -> tuple[np.ndarray, float]:
     """A weight for each of FEATURES hashed features, and the bias.
 
     docs (doc_id, text) and labels (doc_id, toxic) of the rows to learn from: at most most_rows of them, those whose hash of
-    doc_id is least. Kept are the most_features features that stand out most in the toxic ones and occur in least_docs
-    of them. Without toxic or without clean rows no weight is learnt.
+    doc_id is least, and of these as many as have most_bytes of text. Rows that share a doc_id are one, that of the least text
+    hash; it is toxic if any of its labels says so. Null ids and labels take no part, null texts are empty. Kept are the
+    most_features features that stand out most in the toxic ones and occur in least_docs of them. Without toxic or without
+    clean rows, as in an empty table, no weight is learnt. Extra columns don't matter.
     """
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = written(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
-    rows = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"))  # chosen has most_rows rows at most
+    mine = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # chosen has most_rows rows at most
+    one = mine.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    one = written(one)
+    fits = written(one.select("doc_id", F.octet_length("text").alias("size")).withColumn("sum", F.sum("size").over(before)).filter(F.col("sum") <= most_bytes))
+    rows = one.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi").select("text", "toxic")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     none = np.zeros(FEATURES, np.float32)
     if not n.get(1) or not n.get(0):
@@ -182,13 +189,15 @@ class _Clean:
 
 
 def clean(docs: DataFrame, model: tuple[np.ndarray, float], limit: float = 0.7) -> DataFrame:
-    """The rows of docs whose score is under limit, as they are. Null and empty texts score as one plain sentence."""
+    """The rows of docs whose score is under limit, as they are, repeated ones and columns of any name too. Null and empty texts score
+    as one plain sentence; an empty table stays empty."""
     return docs.mapInArrow(_Clean(_Score(*model, 2.0), limit), docs.schema)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], least: float = 0.5) -> DataFrame:
     """(doc_id, score, sentences) of each document: the noisy-or of its sentences, and the spans (code points, end
-    exclusive) and scores of those of `least` or more. An empty or null text scores as one plain sentence."""
+    exclusive) and scores of those of `least` or more. An empty or null text scores as one plain sentence; repeated rows score
+    alike, null ids stay; an empty table gives no rows; extra columns don't matter."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, sentences array<struct<start:bigint,end:bigint,score:double>>"
     return rows.mapInArrow(_Score(*model, least), schema)
