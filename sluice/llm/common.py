@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +16,7 @@ import sluice
 from sluice.functions.columns import let
 from sluice.functions.folders import shared_folder, written
 
-__all__ = ["SPACE", "WORD", "Words", "bound_batches", "documents", "find_words", "let", "mix", "n_words", "parts", "shared_folder", "span_hashes", "words", "written"]
+__all__ = ["SPACE", "WORD", "Words", "bounded_batches", "documents", "find_words", "let", "mix", "n_words", "parts", "shared_folder", "span_hashes", "words", "written"]
 
 # Workers may run in a folder where this package can't be imported: send its functions whole.
 cloudpickle.register_pickle_by_value(sluice)
@@ -26,10 +28,18 @@ SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_batches(spark: SparkSession, most: str = "4m") -> None:
-    """Bounds the Arrow batches of texts by bytes, not by rows alone; a session that has set its own bound keeps it."""
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, most)
+@contextmanager
+def bounded_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """Within it, jobs send Arrow batches that are bounded by bytes, not by rows alone; the session's own setting comes back after."""
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, most)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH)
+        else:
+            spark.conf.set(_BATCH, before)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

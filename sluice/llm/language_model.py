@@ -365,7 +365,11 @@ class _Score:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of each document: log10 chances under add-one-half unigrams and the model."""
+    """(doc_id, n_tokens, n_known, base_score, score) of each document: log10 chances under add-one-half unigrams and the model.
+
+    A null or empty text is one END. Repeated rows score alike, null ids stay; an empty table gives no rows; extra columns don't
+    matter.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_Score(model), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bound_batches, parts
+from sluice.llm.common import parts
 
 # Base phrases and labels, and public license identifiers.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -198,7 +198,6 @@ def scan(docs: DataFrame) -> DataFrame:
     Whole texts are read; a null text counts as empty, and has no words, places or expressions. Repeated rows give repeated
     results, null ids stay null; an empty table gives no rows; extra columns, whatever their names, don't matter.
     """
-    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scan, f"doc_id {kind}, n_words long, found {FOUND}, expressions {EXPRESSIONS}")

@@ -35,6 +35,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size) of each row: the number of words, 0 for a null text. Null ids and sources stay, repeated rows too; an
+    empty table gives no rows; extra columns don't matter."""
     return written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
 
 
@@ -43,7 +45,8 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.
 
     The rate is target / size. Every document has DRAWS hash draws, windows of one SHA-256 of its id that overlap by half; a
     source uses the draw number whose sum comes nearest to its target (the first of equals), so the taken words come nearer
-    than one draw would bring them, and reruns agree. A source of size 0 has target 0 and rate 0.
+    than one draw would bring them, and reruns agree. A source of size 0 has target 0 and rate 0. A null source is one, after all
+    others; rows that share an id draw alike; an empty table gives no sources.
     """
     targets = source_targets(sized, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

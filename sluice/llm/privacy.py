@@ -140,7 +140,8 @@ def _discovered(each: DataFrame, good: DataFrame) -> DataFrame:
 
 def recall(docs: DataFrame, hidden: int = 5, **how) -> DataFrame:
     """(seed, hidden, found, right): of each kind, how many distinct values of base spans are hidden (one in `hidden`, by hash), how many
-    of them the patterns of the others discover, and how many as their own kind."""
+    of them the patterns of the others discover, and how many as their own kind. Null texts have no values and repeated rows count
+    once a value; an empty table, or one without spans, gives no rows; extra columns don't matter."""
     each = _each(_marked(docs))
     gone = F.col("seed").isNotNull() & (F.pmod(F.xxhash64("value"), F.lit(hidden)) == 0)
     good = bootstrap(_by_pattern(each.withColumn("seed", F.when(~gone, F.col("seed")))), **how)
@@ -168,6 +169,8 @@ def find(docs: DataFrame, **how) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """Counts, the hash of the base spans and the text of all spans, for each row of find(): one without spans has zeros, the hash of
+    nothing and an empty text; repeated rows give repeated results, null ids stay."""
     base = joined(F.col("base"), by_kind=True)
     return found.select("doc_id", *[count(F.col("base"), k).alias(f"n_{k}") for k in BASE], F.sha2(base, 256).alias("base_sha256"), joined(F.concat("base", "learnt"), by_kind=True).alias("spans"))
 

@@ -144,6 +144,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, most_broadcast: int =
 
 
 def digest(scanned: DataFrame) -> DataFrame:
+    """Counts, the hash of the base spans and the text of all spans, for each row of scan(): one without spans has zeros, the hash of
+    nothing and an empty text; repeated rows give repeated results, null ids stay."""
     s = F.col("spans")
     base = joined(F.filter(s, lambda x: x["kind"].isin(*BASE)))
     return scanned.select("doc_id", *[count(s, k).alias(f"n_{k}") for k in BASE], F.sha2(base, 256).alias("base_sha256"), joined(s).alias("spans"))

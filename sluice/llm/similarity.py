@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bound_batches, find_words, mix, parts, written
+from sluice.llm.common import bounded_batches, find_words, mix, parts, written
 
 SKETCH_BITS = 23
 _BLOCK_BITS = 17  # counters of a block of the sketch
@@ -356,7 +356,13 @@ def groups(docs: DataFrame, *how, **more) -> DataFrame:
     return labelled(docs, *how, **more).drop("key", "comp")
 
 
-def labelled(
+def labelled(docs: DataFrame, *how, **more) -> DataFrame:
+    """As _labelled, whose jobs on texts send them in batches that are bounded by bytes."""
+    with bounded_batches(docs.sparkSession):
+        return _labelled(docs, *how, **more)
+
+
+def _labelled(
     docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 2, crowd: int = 16, most_broadcast: int = 500_000, count: bool = True,
     block: int = 512, block_shingles: int = 500_000, hot: int = 2000,
 ) -> DataFrame:
@@ -387,7 +393,6 @@ def labelled(
     columns don't matter; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    bound_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     rows = written(docs.mapInArrow(_Sets(k), _ROWS))
     sketch = _sketch(rows)

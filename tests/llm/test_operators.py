@@ -281,6 +281,27 @@ def test_fingerprints(spark):
             assert r["near_edited"] > 0.3 > r["near_next"]
 
 
+def test_likeness_is_about_the_share_of_windows_at_every_length():
+    """A plain version: the Jaccard likeness of the sets of windows, for lengths 0 to 100; no length behaves in another way."""
+    random.seed(16)
+    draw = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+
+    def share(a, b):
+        x, y = ({t[i : i + 8] for i in range(max(1, len(t) - 7))} if t else set() for t in (a, b))
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    far = []
+    for n in range(101):
+        t = draw(n)
+        for other in (t + "wxyz", t[:-1], t, t[n // 4 :], draw(n), t[: n // 2] + draw(n - n // 2)):
+            far.append(abs(fingerprints.likeness(fingerprints.fingerprint(t), fingerprints.fingerprint(other)) - share(t, other)))
+    assert max(far) < 0.2 and sum(far) / len(far) < 0.03
+    for n, more in ((20, 4), (31, 1)):
+        t = draw(n)
+        like = fingerprints.likeness(fingerprints.fingerprint(t), fingerprints.fingerprint(t + "wxyz"[:more]))
+        assert abs(like - share(t, t + "wxyz"[:more])) < 0.15 and like > 0.6
+
+
 def test_spans_equal_by_hash():
     text = fingerprints.Prefixes(fingerprints.codes("abcabcabcx"))
     assert text.same(0, text, 3, 6) and not text.same(0, text, 3, 7) and text.common(0, text, 3) == 6
