@@ -306,9 +306,20 @@ def cdc_dlq_messages(spark: SparkSession, sf: str) -> DataFrame:
 # Schema evolution
 
 
-@query("SELECT DISTINCT 'LOYALTY_POINTS' AS column_name FROM orders WHERE o_orderkey % 7 = 0")
+#: Each user's events name a column of their own: as many unknown columns as there are users.
+_BY_USER = "'U' || user_id AS column_name"
+
+
+def _user_columns(spark: SparkSession, sf: str) -> DataFrame:
+    e = feeds.table(spark, sf, "events")
+    image = F.to_json(F.create_map(F.lit("LOG_ID"), F.col("event_id"), F.concat(F.lit("U"), "user_id"), F.col("event_id") * 1_000_000))
+    return envelope.rows(envelope.decode(envelope.encode(feeds._images(e, "event_id", image, F.unix_millis("ts"), op=F.lit("c")), "AUDIT_LOG")), "AUDIT_LOG")
+
+
+@query("SELECT DISTINCT 'U' || user_id AS column_name FROM events")
 def cdc_new_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return evolution.new_columns(feeds.events(spark, sf, "ORDERS"), "ORDERS")
+    """A column of each user's own."""
+    return evolution.new_columns(_user_columns(spark, sf), "AUDIT_LOG")
 
 
 @query("SELECT column_name, count(*) AS times FROM (SELECT unnest(['SHIPPING_INFO', 'CREATED_AT', 'UPDATED_AT']) AS column_name FROM orders) GROUP BY ALL")
@@ -316,11 +327,12 @@ def cdc_removed_columns(spark: SparkSession, sf: str) -> DataFrame:
     return evolution.removed_columns(feeds.events(spark, sf, "ORDERS"), "ORDERS")
 
 
-@query("SELECT 'LOYALTY_POINTS' AS column_name, 'removed' AS change FROM orders HAVING sum((o_orderkey % 14 = 0)::INT) > 0")
+@query("""WITH c AS (SELECT 'U' || user_id AS column_name, bool_or(event_id % 100 = 0) AS old, bool_or(event_id % 100 = 1) AS new FROM events GROUP BY ALL)
+    SELECT column_name, CASE WHEN new THEN 'added' ELSE 'removed' END AS change FROM c WHERE old <> new""")
 def cdc_changed_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Two batches, the later one of producers that no longer send a column."""
-    e = feeds.events(spark, sf, "ORDERS")
-    return evolution.changed_columns(e.filter("ORDER_ID % 2 = 0"), e.filter("ORDER_ID % 7 <> 0"))
+    """Two batches of a few events, so that users, and the columns of their own, come and go."""
+    e = _user_columns(spark, sf)
+    return evolution.changed_columns(e.filter("LOG_ID % 100 = 0"), e.filter("LOG_ID % 100 = 1"))
 
 
 def _odd_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -349,11 +361,13 @@ def cdc_type_map(spark: SparkSession, sf: str) -> DataFrame:
     return evolution.detected(_odd_audit(spark, sf), "AUDIT_LOG").select("column_name", evolution.target_type().alias("target_type"))
 
 
-@query("SELECT 7::BIGINT AS pending FROM (SELECT count(*) AS n FROM events) WHERE n > 0")
+@query(f"SELECT table_name, count(*) AS pending FROM (SELECT DISTINCT 'AUDIT_LOG' AS table_name, {_BY_USER} FROM events WHERE user_id % 3 > 0) GROUP BY ALL")
 def cdc_pending_count(spark: SparkSession, sf: str) -> DataFrame:
-    found = evolution.detected(_odd_audit(spark, sf), "AUDIT_LOG").withColumn("is_active", F.lit(False))
+    """Of the columns that are found those of every third user are active already."""
+    found = evolution.detected(_user_columns(spark, sf), "AUDIT_LOG")
+    found = found.withColumn("is_active", F.substring("column_name", 2, 20).cast("long") % 3 == 0)
     registry = mapping.registry_seed(spark).unionByName(found, allowMissingColumns=True)
-    return evolution.pending(registry).agg(F.count("*").alias("pending"))
+    return evolution.pending(registry).groupBy("table_name").agg(F.count("*").alias("pending"))
 
 
 @query("""SELECT o_orderkey::INT AS order_id, o_totalprice AS total_amount, NULL::VARCHAR AS shipping_info, CASE WHEN o_orderkey % 7 = 0 THEN '{"LOYALTY_POINTS":' || o_orderkey % 500 || '}' END AS extra_fields FROM orders""")
@@ -378,11 +392,15 @@ def cdc_promote_backfill(spark: SparkSession, sf: str) -> DataFrame:
     return evolution.backfill(target, cdc_dynamic_rows(spark, sf), "order_id", "loyalty_points", "LOYALTY_POINTS", "int")
 
 
-@query("SELECT DISTINCT 'cdc_orders' AS target_table, 'loyalty_points' AS target_column, 'INT' AS target_type, true AS is_active FROM orders WHERE o_orderkey % 7 = 0")
+@query("""WITH c AS (SELECT user_id, arg_min(event_id, (ts, event_id)) * 1000000 AS v FROM events GROUP BY ALL)
+    SELECT 'AUDIT_LOG' AS table_name, 'U' || user_id AS column_name, 'cdc_audit_log' AS target_table, 'u' || user_id AS target_column, CASE WHEN v > 2147483647 THEN 'BIGINT' ELSE 'INT' END AS target_type, true AS is_active FROM c
+    UNION ALL SELECT DISTINCT 'ORDERS', 'LOYALTY_POINTS', NULL, NULL, NULL, false FROM orders WHERE o_orderkey % 7 = 0""")
 def cdc_promote_registry(spark: SparkSession, sf: str) -> DataFrame:
-    found = evolution.detected(feeds.events(spark, sf, "ORDERS"), "ORDERS").withColumn("is_active", F.lit(False))
-    registry = mapping.registry_seed(spark).unionByName(found, allowMissingColumns=True)
-    return evolution.promote(registry, "ORDERS", "cdc_orders").filter("column_name = 'LOYALTY_POINTS'").select("target_table", "target_column", "target_type", "is_active")
+    """The pending columns of one table become active, with types by their first values; those of others stay pending."""
+    found = evolution.detected(_user_columns(spark, sf), "AUDIT_LOG").unionByName(evolution.detected(feeds.events(spark, sf, "ORDERS"), "ORDERS"))
+    registry = mapping.registry_seed(spark).unionByName(found.withColumn("is_active", F.lit(False)), allowMissingColumns=True)
+    out = evolution.promote(registry, "AUDIT_LOG", "cdc_audit_log").filter("column_name RLIKE '^U[0-9]' OR column_name = 'LOYALTY_POINTS'")
+    return out.select("table_name", "column_name", "target_table", "target_column", "target_type", "is_active")
 
 
 @query("SELECT event_id::INT AS log_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id::INT END AS amount FROM events")
@@ -442,10 +460,13 @@ def enrich_orders(spark: SparkSession, sf: str) -> DataFrame:
     return _enriched(spark, sf)
 
 
-@query("SELECT l_partkey::INT AS product_id, p_name AS product_name, p_type AS product_category, count(*) AS items FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+@query(f"""SELECT {ITEM}::INT AS item_id, l_orderkey::INT AS order_id, l_partkey::INT AS product_id, p_name AS product_name, p_type AS product_category, l_quantity::INT AS quantity
+    FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 3 > 0""")
 def enrich_with_products(spark: SparkSession, sf: str) -> DataFrame:
-    out = joins.items_with_products(feeds.events(spark, sf, "ORDER_ITEMS"), feeds.events(spark, sf, "PRODUCTS"))
-    return out.groupBy(F.col("PRODUCT_ID").alias("product_id"), "product_name", "product_category").agg(F.count("*").alias("items"))
+    """Every item, with nulls for the products that are unknown."""
+    out = joins.items_with_products(feeds.events(spark, sf, "ORDER_ITEMS"), feeds.events(spark, sf, "PRODUCTS").filter("PRODUCT_ID % 3 > 0"))
+    columns = {"ITEM_ID": "item_id", "ORDER_ID": "order_id", "PRODUCT_ID": "product_id", "QUANTITY": "quantity"}
+    return out.select(*columns, "product_name", "product_category").withColumnsRenamed(columns)
 
 
 @query("SELECT o_orderkey AS order_id, o_custkey AS k, o_orderstatus AS status, c_mktsegment AS status_right FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
@@ -640,10 +661,12 @@ def payload_notifications(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("event_type", "message", "severity", F.get_json_object("payload", "$.order_id").alias("order_id"))
 
 
-@query("SELECT count(*) AS payloads, true AS small FROM events")
+@query("SELECT event_id, event_type, true AS small FROM events")
 def payload_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every payload is in one chunk, of a hundred at most."""
     p = feeds.table(spark, sf, "events").select(F.to_json(F.struct("event_id", "event_type")).alias("payload"))
-    return sinks.chunked(p).agg(F.sum(F.size("payloads")).alias("payloads"), (F.max(F.size("payloads")) <= 100).alias("small"))
+    each = sinks.chunked(p).select(F.explode("payloads").alias("p"), (F.size("payloads") <= 100).alias("small"))
+    return each.select(F.from_json("p", "event_id long, event_type string").alias("p"), "small").select("p.*", "small")
 
 
 # Streams
@@ -739,16 +762,18 @@ def stream_item_lists(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.collected(lists, shared_folder(spark), "update").select("order_id", "items")
 
 
-@query("SELECT c_custkey::INT AS customer_id, c_mktsegment AS tier FROM customer")
+@query(ORACLES["cdc_upsert_customers"])
 def stream_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """The pipeline over customers as a stream of messages; the result is its table of customers."""
+    """The pipeline over customers and later versions of some, in any order and several micro-batches; the result is its table of customers."""
     from sluice.streaming.pipeline import SEQUENCE, Pipeline, Settings
 
     folder = shared_folder(spark)
-    feeds.feed(spark, sf, "CUSTOMERS").repartition(2).write.json(f"{folder}/in")
+    versions = [feeds.feed(spark, sf, "CUSTOMERS", version=v) for v in (2, 0)]
+    reduce(DataFrame.unionByName, versions).repartition(3).write.json(f"{folder}/in")
     run = Pipeline(spark, f"{folder}/tables", Settings(enrich=False))
     run.start(envelope.read_feed(spark, f"{folder}/in", 1), f"{folder}/checkpoint", once=True).awaitTermination()
-    return run.tables.read("cdc_customers", mapping.to_target(feeds.events(spark, sf, "CUSTOMERS"), "CUSTOMERS", sequence=True).schema, ["customer_id"], SEQUENCE).select("customer_id", "tier")
+    schema = mapping.to_target(feeds.events(spark, sf, "CUSTOMERS"), "CUSTOMERS", sequence=True).schema
+    return run.tables.read("cdc_customers", schema, ["customer_id"], SEQUENCE).select("customer_id", "name", "email", "tier", "region")
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import datetime
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import sluice
 from sluice.functions.schemas import MODES
 from sluice.operators.aggregates import furthest
 from sluice.operators.mapping import public_columns
 
+# Workers may run in a folder where this package can't be imported: send its functions whole.
+cloudpickle.register_pickle_by_value(sluice)
+
 HIDDEN = ("operation", "source_ts", "processed_at")
 PROGRESS = "consumer_id STRING, topic STRING, last_offset BIGINT, last_timestamp TIMESTAMP"
 
@@ -228,11 +234,27 @@ EXTRACTED = ["order_id", "product_id", "quantity", "unit_price", "subtotal", "ex
 # End of the fixed values.
 
 
+class _Chunks:
+    def __init__(self, size: int):
+        self.size = size
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, held = 0, []
+        for batch in batches:
+            held += batch.column("payload").to_pylist()
+            while len(held) >= self.size:
+                yield self.out(n, held[: self.size])
+                n, held = n + 1, held[self.size :]
+        if held:
+            yield self.out(n, held)
+
+    def out(self, n: int, held: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([held], pa.list_(pa.string()))], ["chunk", "payloads"])
+
+
 def chunked(payloads: DataFrame, size: int = 100) -> DataFrame:
-    """(chunk, payloads): up to `size` payloads a request, by the partition they lie in: no order over all rows is needed."""
-    row = F.monotonically_increasing_id()
-    out = payloads.select("payload", F.shiftright(row, 33).alias("part"), F.floor(row % F.lit(2**33) / size).alias("chunk"))
-    return out.groupBy("part", "chunk").agg(F.collect_list("payload").alias("payloads"))
+    """(part, chunk, payloads): up to `size` payloads a request, taken as they lie in a partition, so nothing is exchanged."""
+    return payloads.select("payload").mapInArrow(_Chunks(size), "chunk long, payloads array<string>").select(F.spark_partition_id().cast("long").alias("part"), "chunk", "payloads")
 
 
 def each_on_its_own(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], None]]) -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections import deque
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -34,7 +35,7 @@ class Settings:
 
     push: where payloads go, by kind: events, items, enriched, notifications, dead_letters; each gets a DataFrame of (chunk, payloads).
     days: appended tables that lie in folders by the day of one of their times, so that `Tables.expire` can drop old ones.
-    report_seconds: how often rows, rates and lag go to cdc_metrics.
+    report_seconds: how often rows, rates and lag go to cdc_metrics. items: how the items in the orders' XML are read.
     """
 
     consumer: str = "sluice"
@@ -45,6 +46,7 @@ class Settings:
     push: dict[str, Callable[[DataFrame], None]] = field(default_factory=dict)
     days: dict[str, str] = field(default_factory=dict)
     report_seconds: float = 30.0
+    items: xml.Extraction = xml.ITEMS
 
 
 REGISTRY = "table_name STRING, column_name STRING, column_type STRING, target_table STRING, target_column STRING, target_type STRING, is_active BOOLEAN, promoted_at TIMESTAMP"
@@ -124,9 +126,11 @@ class Pipeline:
                 jobs.append(lambda: self.items(latest["ORDERS"], batch_id, stream, failures))
             jobs.append(lambda: failures.update(self.evolved(unknown, batch_id, stream)))
             jobs.append(lambda: self.tables.advance("cdc_checkpoints", progress(decoded, self.settings.consumer), batch_id, stream))
-            side_by_side(self.spark, jobs)
             if self.settings.dead_letters:
-                self.failed(decoded, every, failures, batch_id, stream)
+                jobs.append(lambda: self.failed(decoded, every, batch_id, stream))
+            side_by_side(self.spark, jobs)
+            if failures and self.settings.dead_letters:
+                self.tables.write("cdc_dlq", self.lost(failures), batch_id, f"{stream}-failures")
             if time.time() - self._reported >= self.settings.report_seconds:
                 self.report()
         finally:
@@ -148,7 +152,7 @@ class Pipeline:
         return self.tables.read("cdc_schema_registry", T.StructType.fromDDL(REGISTRY), ["table_name", "column_name"], ("is_active",))
 
     def target(self, table: str, latest: DataFrame, columns: list[Mapped], batch_id: int, stream: str, failures: dict[str, str]) -> None:
-        own = xml.without_xml(latest, xml.ITEMS) if table == "ORDERS" else latest
+        own = xml.without_xml(latest, self.settings.items) if table == "ORDERS" else latest
         declared = {m.source for m in mapping(table)}
         own = evolution.with_promoted(own, [m for m in columns if m.source not in declared])
         # appended tables have the declared columns; in others the sequence number tells events of one time apart
@@ -158,7 +162,7 @@ class Pipeline:
         failures |= self.pushed("events", lambda: sinks.event_payloads(out, table, self.settings.consumer))
 
     def items(self, orders: DataFrame, batch_id: int, stream: str, failures: dict[str, str]) -> None:
-        items = xml.order_items(orders).withColumnRenamed("ORDER_ID", "order_id")
+        items = xml.order_items(orders, self.settings.items).withColumnRenamed("ORDER_ID", "order_id")
         self.tables.write("cdc_order_items_extracted", items, batch_id, stream)
         failures |= self.pushed("items", lambda: sinks.row_payloads(items, [c for c in sinks.EXTRACTED if c in items.columns]))
 
@@ -204,16 +208,15 @@ class Pipeline:
         finally:
             pending.unpersist()
 
-    def failed(self, decoded: DataFrame, every: dict[str, DataFrame], failures: dict[str, str], batch_id: int, stream: str) -> None:
-        """What could not be read goes to the dead letters: messages, values of other types, XML of every event, and sinks' failures."""
+    def failed(self, decoded: DataFrame, every: dict[str, DataFrame], batch_id: int, stream: str) -> None:
+        """What could not be read goes to the dead letters: messages, values of other types, and XML of every event."""
         dead = lambda df, topic, payload: dead_letters(df, topic, payload, self.settings.consumer, F.current_timestamp())
         out = dead(invalid(decoded), F.col("topic"), F.col("value"))
         for table in every:
             out = out.unionByName(dead(mismatched(decoded, table, [KEYS[table]]), F.col("topic"), F.col("value")))
         if "ORDERS" in every:
-            out = out.unionByName(dead(xml.malformed(every["ORDERS"], xml.ITEMS), F.lit("cdc/oracle/ORDERS"), F.col("_cdc_image")))
-        if failures:
-            out = out.unionByName(self.lost(failures))
+            out = out.unionByName(dead(xml.malformed(every["ORDERS"], self.settings.items), F.lit("cdc/oracle/ORDERS"), F.col("_cdc_image")))
+            out = out.unionByName(dead(xml.incomplete(every["ORDERS"], self.settings.items, ["_cdc_image"]), F.lit("cdc/oracle/ORDERS"), F.col("_cdc_image")))
         self.tables.write("cdc_dlq", out, batch_id, stream, self.settings.days.get("cdc_dlq"))
         self.pushed("dead_letters", lambda: sinks.dead_letter_notifications(out).select(F.to_json(F.struct("*")).alias("payload")))
 
@@ -229,19 +232,24 @@ class Pipeline:
         try:
             if changed.isEmpty():
                 return
-            out = changed.filter("NOT deleted").drop("deleted", "own")
-            own = changed.filter("own AND NOT deleted")
+            conflicts, rows = changed.filter("conflict IS NOT NULL"), changed.filter("conflict IS NULL").drop("conflict")
+            out = rows.filter("NOT deleted").drop("deleted", "own")
+            own = rows.filter("own AND NOT deleted")
             failures: dict[str, str] = {}
             jobs = [
-                lambda: self.tables.put("cdc_orders_enriched", changed.withColumn(sinks.GONE, F.col("deleted")).drop("deleted", "own"), batch_id, stream),
+                lambda: self.tables.put("cdc_orders_enriched", rows.withColumn(sinks.GONE, F.col("deleted")).drop("deleted", "own"), batch_id, stream),
                 lambda: self.tables.write("cdc_order_aggregations", by_tier(own), batch_id, stream),
                 lambda: failures.update(each_on_its_own(out.drop(*VERSIONS), self.settings.sinks) if self.settings.sinks else {}),
                 lambda: failures.update(self.pushed("enriched", lambda: sinks.row_payloads(out, sinks.ENRICHED))),
                 lambda: failures.update(self.pushed("notifications", lambda: alerts.high_value_notifications(own).select(F.to_json(F.struct("*")).alias("payload")))),
             ]
             side_by_side(self.spark, jobs)
-            if failures and self.settings.dead_letters:
-                self.tables.write("cdc_dlq", self.lost(failures), batch_id, stream)
+            if self.settings.dead_letters:
+                named = conflicts.select(F.lit("CONSTRAINT_VIOLATION").alias("error_type"), F.concat(F.lit("key exists: "), "conflict").alias("error_message"), F.concat(F.lit("cdc/oracle/"), F.split("conflict", " ")[0]).alias("topic"))
+                dead = dead_letters(named, F.col("topic"), F.lit(None).cast("string"), self.settings.consumer, F.current_timestamp())
+                dead = dead.unionByName(self.lost(failures)) if failures else dead
+                if failures or not conflicts.isEmpty():
+                    self.tables.write("cdc_dlq", dead, batch_id, stream)
         finally:
             changed.unpersist()
 
@@ -301,11 +309,11 @@ def latest_versions(rows: DataFrame) -> DataFrame:
 
 
 class Statistics(StreamingQueryListener):
-    """Rows, rates, batch times and lag of each micro-batch; observed: what DataFrame.observe counted."""
+    """Rows, rates, batch times and lag of each of the last micro-batches; observed: what DataFrame.observe counted."""
 
-    def __init__(self) -> None:
-        self.batches: list[dict] = []
-        self._taken = 0
+    def __init__(self, most: int = 10_000) -> None:
+        self.batches: deque[dict] = deque(maxlen=most)
+        self._new: deque[dict] = deque(maxlen=most)
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -313,14 +321,16 @@ class Statistics(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         p = event.progress
         observed = {n: r.asDict() for n, r in (p.observedMetrics or {}).items()}
-        self.batches.append({
+        batch = {
             "query": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "ms": p.batchDuration,
             "state_rows": sum(s.numRowsTotal for s in p.stateOperators), "observed": observed, "behind": sum(_behind(s) for s in p.sources),
-        })
+        }
+        self.batches.append(batch)
+        self._new.append(batch)
 
     def taken(self) -> list[tuple[str, float, str]]:
         """(name, value, unit) over the batches since it was asked last."""
-        new, self._taken = self.batches[self._taken :], len(self.batches)
+        new = [self._new.popleft() for _ in range(len(self._new))]
         if not new:
             return []
         ms = sorted(b["ms"] for b in new)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -16,8 +17,14 @@ import sluice
 cloudpickle.register_pickle_by_value(sluice)
 
 
+_ROWS = 10_000  # rows of a frame that goes out
+
+
 def with_rocksdb(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """State in RocksDB, of which a batch stores the changes rather than whole files."""
+    conf = "spark.sql.streaming.stateStore"
+    spark.conf.set(f"{conf}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(f"{conf}.rocksdb.changelogCheckpointing.enabled", "true")
     return spark
 
 
@@ -31,12 +38,16 @@ class _Newer(StatefulProcessor):
         self.seen = handle.getValueState("seen", "ts LONG", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        seen = self.seen.get()[0] if self.seen.exists() else None
-        batch = pd.concat(list(rows)).sort_values(["ts", "scn"])
-        fresh = batch[~batch["ts"].duplicated() & (batch["ts"] > (seen if seen is not None else -(2**63)))]
-        if len(fresh):
-            self.seen.update((int(fresh["ts"].max()),))
-            yield fresh
+        seen = self.seen.get()[0] if self.seen.exists() else -(2**63)
+        passed: set[int] = set()  # frames come and go; only their times are held, so that of equal ones the first passes
+        for frame in rows:
+            frame = frame[frame["ts"] > seen].sort_values(["ts", "scn"])
+            frame = frame[~frame["ts"].duplicated() & ~frame["ts"].isin(passed)]
+            if len(frame):
+                passed.update(frame["ts"].tolist())
+                yield frame
+        if passed:
+            self.seen.update((int(max(passed)),))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timer) -> None:
         self.seen.update((int(initialState["ts"].max()),))
@@ -71,23 +82,24 @@ class _Pending(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "order_id LONG", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
-        known = self.name.get() if self.name.exists() else None
-        people = batch[batch["is_customer"]]
-        if len(people):
-            last = people.sort_values("ts").iloc[-1]
-            if known is None or int(last["ts"]) >= known[1]:
-                known = (str(last["name"]), int(last["ts"]))
-                self.name.update(known)
-        ids = [int(x) for x in batch.loc[~batch["is_customer"], "order_id"]]
+        known = before = self.name.get() if self.name.exists() else None
+        for frame in rows:
+            people = frame[frame["is_customer"]]
+            if len(people):
+                last = people.sort_values("ts").iloc[-1]
+                if known is None or int(last["ts"]) >= known[1]:
+                    known = (str(last["name"]), int(last["ts"]))
+            ids = frame.loc[~frame["is_customer"], "order_id"]
+            if len(ids):
+                self.waiting.appendList([(int(i),) for i in ids])
         if known is None:
-            if ids:
-                self.waiting.appendList([(i,) for i in ids])
             return
-        ids = [r[0] for r in self.waiting.get()] + ids
+        if known != before:
+            self.name.update(known)
+        ids = (r[0] for r in self.waiting.get())
+        while part := list(islice(ids, _ROWS)):
+            yield pd.DataFrame({"customer_id": [int(key[0])] * len(part), "order_id": part, "customer_name": [known[0]] * len(part)})
         self.waiting.clear()
-        if ids:
-            yield pd.DataFrame({"customer_id": [int(key[0])] * len(ids), "order_id": ids, "customer_name": [known[0]] * len(ids)})
 
     def close(self) -> None:
         pass
@@ -115,10 +127,12 @@ class _Items(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         have = [tuple(r) for r in self.items.get()]
-        for r in pd.concat(list(rows)).sort_values(["ts", "item_id"]).itertuples():
-            if have and int(r.ts) - max(t for _, t in have) > self.ttl_ms:
+        # the times of a batch must be in order; an order's batch has few
+        new = sorted((int(t), int(i)) for frame in rows for t, i in zip(frame["ts"], frame["item_id"], strict=True))
+        for ts, item in new:
+            if have and ts - max(t for _, t in have) > self.ttl_ms:
                 have = []
-            have.append((int(r.item_id), int(r.ts)))
+            have.append((item, ts))
             if len(have) > self.cap:
                 have = have[-self.keep :]
         self.items.put(have)

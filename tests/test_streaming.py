@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.operators import evolution
+from sluice.operators import evolution, xml
 from sluice.operators.mapping import to_target
 from sluice.sources import envelope
 from sluice.streaming import pipeline, stateful
@@ -176,6 +176,22 @@ def test_pipeline_sides(spark, tmp_path):
     assert {("rows", "rows"), ("rows_per_second", "rows/s"), ("batch_p50", "ms"), ("batch_p99", "ms"), ("lag", "offsets")} <= metrics
 
 
+def test_conflicts_and_incomplete_items_are_dead_letters(spark, tmp_path):
+    """An event that creates a key that lives is taken as news and told; an event that comes again is not."""
+    how = xml.ITEMS._replace(required=("quantity",), on_missing="dlq")
+    run, go = runner(spark, tmp_path, pipeline.Settings(items=how))
+    first = message("ORDERS", ORDER)
+    go(first, message("ORDERS", ORDER | {"ORDER_ID": 8, "SHIPPING_INFO": '<s><items><item product_id="1"/></items></s>'}), message("CUSTOMERS", CUSTOMER))
+    go(first, message("CUSTOMERS", CUSTOMER, op="r", ts_ms=1_700_000_000_005), message("ORDER_ITEMS", ITEM))
+    go(message("ORDERS", ORDER | {"STATUS": "AGAIN"}, ts_ms=1_700_000_000_009), message("ORDER_ITEMS", ITEM | {"QUANTITY": 5}, ts_ms=1_700_000_000_009))
+    found = sorted((r["error_type"], r["original_topic"], r["error_message"]) for r in all_rows(spark, run, "cdc_dlq"))
+    assert found == [
+        ("CONSTRAINT_VIOLATION", "cdc/oracle/ORDERS", "key exists: ORDERS 77"), ("CONSTRAINT_VIOLATION", "cdc/oracle/ORDER_ITEMS", "key exists: ORDER_ITEMS 300"),
+        ("MALFORMED_XML", "cdc/oracle/ORDERS", "an item in SHIPPING_INFO lacks quantity"),
+    ]
+    assert {r["order_id"]: (r["status"], r["item_count"]) for r in run.orders_enriched().collect()} == {77: ("AGAIN", 1), 8: ("CONFIRMED", 0)}
+
+
 def test_lag_is_told_from_offsets():
     source = lambda end, latest: type("Source", (), {"endOffset": end, "latestOffset": latest})
     assert pipeline._behind(source('{"t":{"0":5,"1":7}}', '{"t":{"0":9,"1":7}}')) == 4
