@@ -204,6 +204,13 @@ def test_rules_about_waiting_and_dead_letters(spark):
     assert got == {("p99_latency", 90.0), ("backlog", 1.0), ("dead_letters", 1.0)}
 
 
+def test_the_p99_is_exact_in_large_windows(spark):
+    rows = spark.range(0, 200_000, 1, 16).selectExpr("id % 2 AS w", "double(id * 7919 % 200000) AS ms").selectExpr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, int(w) * 60) AS ts", "ms")
+    got = alerts.breaches(rows, "ts", F.lit(False), F.col("ms"), "60 minutes").filter("rule = 'p99_latency'").collect()
+    each = [sorted(i * 7919 % 200_000 for i in range(w, 200_000, 2)) for w in (0, 1)]  # 100,000 values each, all different
+    assert sorted(r["value"] for r in got) == sorted(float(v[98_999]) for v in each)
+
+
 def test_dual_sinks(spark):
     seen = []
 
