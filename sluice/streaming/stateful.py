@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby, islice
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -71,85 +73,138 @@ def drop_stale(rows: DataFrame, schema: str = "key long, ts long, scn long", kno
     return rows.groupBy("key").transformWithStateInPandas(_Newer(ttl_ms), schema, "append", _mode(ttl_ms), initialState=initial)
 
 
+#: Groups of keys. State is read and written by group: a call between the JVM and Python serves all keys of a group that a batch
+#: brings, and a batch writes the groups that it touches. The number stays with a checkpoint.
+GROUPS = 8_192
+
+
+def _grouped(rows: DataFrame, key: str, groups: int):
+    """The rows that have a key, grouped by its hash."""
+    return rows.filter(F.col(key).isNotNull()).withColumn("_group", F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(groups))).groupBy("_group")
+
+
+def _longs(blobs: Iterable[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.int64) for b in blobs]
+
+
+def _blobs(*columns: Sequence[int] | np.ndarray) -> tuple[bytes, ...]:
+    return tuple(np.asarray(c, np.int64).tobytes() for c in columns)
+
+
+def _now(timer, ttl_ms: int | None) -> int:
+    return timer.getCurrentProcessingTimeInMs() if ttl_ms else 0
+
+
 class _Pending(StatefulProcessor):
-    """Orders wait until their customer is known."""
+    """Orders wait until their customer is known; the customers of a group share their state."""
 
     def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.name = handle.getValueState("name", "name STRING, ts LONG", self.ttl_ms)
-        self.waiting = handle.getListState("waiting", "order_id LONG", self.ttl_ms)
+        # seen: the processing time of the last news, 0 without a ttl
+        self.people = handle.getListState("people", "customer_id LONG, name STRING, ts LONG, seen LONG", self.ttl_ms)
+        self.waiting = handle.getListState("waiting", "customer_id LONG, order_id LONG, seen LONG", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        known = before = self.name.get() if self.name.exists() else None
+        now = _now(timer, self.ttl_ms)
+        alive = lambda seen: not self.ttl_ms or seen + self.ttl_ms > now
+        known = {who: (name, ts, seen) for who, name, ts, seen in self.people.get() if alive(seen)}
+        waiting = [tuple(r) for r in self.waiting.get() if alive(r[2])]
+        had, news = len(waiting), False
         for frame in rows:
             people = frame[frame["is_customer"]]
-            if len(people):
-                last = people.sort_values("ts").iloc[-1]
-                if known is None or int(last["ts"]) >= known[1]:
-                    known = (str(last["name"]), int(last["ts"]))
-            ids = frame.loc[~frame["is_customer"], "order_id"]
-            if len(ids):
-                self.waiting.appendList([(int(i),) for i in ids])
-        if known is None:
-            return
-        if known != before:
-            self.name.update(known)
-        ids = (r[0] for r in self.waiting.get())
-        while part := list(islice(ids, _ROWS)):
-            yield pd.DataFrame({"customer_id": [int(key[0])] * len(part), "order_id": part, "customer_name": [known[0]] * len(part)})
-        self.waiting.clear()
+            for who, name, ts in zip(people["customer_id"].tolist(), people["name"].tolist(), people["ts"].tolist(), strict=True):
+                if who not in known or ts >= known[who][1]:
+                    known[who], news = (name, ts, now), True
+            orders = frame[~frame["is_customer"]]
+            waiting.extend((who, order, now) for who, order in zip(orders["customer_id"].tolist(), orders["order_id"].tolist(), strict=True))
+        if news:
+            self.people.put([(who, *of) for who, of in known.items()])
+        left = [r for r in waiting if r[0] not in known]
+        if len(left) == len(waiting) > had:
+            self.waiting.appendList(left[had:])
+        elif len(left) < len(waiting):
+            self.waiting.put(left) if left else self.waiting.clear()
+        out = ((who, order, known[who][0]) for who, order, _ in waiting if who in known)
+        while part := list(islice(out, _ROWS)):
+            yield pd.DataFrame(part, columns=["customer_id", "order_id", "customer_name"])
 
     def close(self) -> None:
         pass
 
 
-def pending_join(orders: DataFrame, customers: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+def pending_join(orders: DataFrame, customers: DataFrame, ttl_ms: int | None = None, groups: int = GROUPS) -> DataFrame:
     """Orders (customer_id, order_id) joined with customers (customer_id, name, ts); an order waits for its customer.
 
     With ttl_ms customers are forgotten, and orders given up, after so much processing time; without it state stays.
     """
     none = lambda t: F.lit(None).cast(t)
-    both = orders.select("customer_id", F.col("order_id").cast("long").alias("order_id"), none("string").alias("name"), F.lit(0).cast("long").alias("ts"), F.lit(False).alias("is_customer"))
-    both = both.unionByName(customers.select("customer_id", F.lit(0).cast("long").alias("order_id"), "name", F.col("ts").cast("long").alias("ts"), F.lit(True).alias("is_customer")))
-    return both.groupBy("customer_id").transformWithStateInPandas(_Pending(ttl_ms), "customer_id long, order_id long, customer_name string", "append", _mode(ttl_ms))
+    who = F.col("customer_id").cast("long").alias("customer_id")
+    both = orders.select(who, F.col("order_id").cast("long").alias("order_id"), none("string").alias("name"), F.lit(0).cast("long").alias("ts"), F.lit(False).alias("is_customer"))
+    both = both.unionByName(customers.select(who, F.lit(0).cast("long").alias("order_id"), "name", F.col("ts").cast("long").alias("ts"), F.lit(True).alias("is_customer")))
+    return _grouped(both, "customer_id", groups).transformWithStateInPandas(_Pending(ttl_ms), "customer_id long, order_id long, customer_name string", "append", _mode(ttl_ms))
+
+
+def _by_order(frame: pd.DataFrame, *columns: str) -> Iterator[tuple[int, list[tuple[int, ...]]]]:
+    """The orders of a frame, each with its rows, in the order of the columns."""
+    rows = sorted(zip(*(frame[c].tolist() for c in ("order_id", *columns)), strict=True))
+    return ((order, [r[1:] for r in own]) for order, own in groupby(rows, key=itemgetter(0)))
 
 
 class _Items(StatefulProcessor):
-    """The latest items of an order; above `cap` the last `keep` stay, and after `ttl_ms` of event time without news the list starts afresh."""
+    """The latest items of each order of a group; above `cap` the last `keep` stay, and after `ttl_ms` of event time without news the
+    list starts afresh."""
 
     def __init__(self, cap: int, keep: int, ttl_ms: int, state_ttl_ms: int | None):
         self.cap, self.keep, self.ttl_ms, self.state_ttl_ms = cap, keep, ttl_ms, state_ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.items = handle.getListState("items", "item_id LONG, ts LONG", self.state_ttl_ms)
+        # columns of 64-bit integers, an item a place; seen: the processing time of the order's last news, 0 without a ttl
+        self.items = handle.getValueState("items", "order_id BINARY, item_id BINARY, ts BINARY, seen BINARY", self.state_ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        have = [tuple(r) for r in self.items.get()]
-        # the times of a batch must be in order; an order's batch has few
-        new = sorted((int(t), int(i)) for frame in rows for t, i in zip(frame["ts"], frame["item_id"], strict=True))
-        for ts, item in new:
-            if have and ts - max(t for _, t in have) > self.ttl_ms:
-                have = []
-            have.append((item, ts))
-            if len(have) > self.cap:
-                have = have[-self.keep :]
-        self.items.put(have)
-        yield pd.DataFrame({"order_id": [int(key[0])], "items": [len(have)], "last_ts": [have[-1][1]]})
+        now = _now(timer, self.state_ttl_ms)
+        # the times of a batch must be in order; a group's batch is a small part of it
+        batch = pd.concat(list(rows))
+        held = np.stack(_longs(self.items.get() or [b""] * 4))
+        if self.state_ttl_ms:
+            held = held[:, held[3] + self.state_ttl_ms > now]
+        touched = np.isin(held[0], batch["order_id"].to_numpy())
+        lists: dict[int, list[tuple[int, int]]] = {}
+        for order, item, ts, _ in held[:, touched].T.tolist():
+            lists.setdefault(order, []).append((item, ts))
+        out = []
+        for order, new in _by_order(batch, "ts", "item_id"):
+            have = lists.get(order, [])
+            newest = max((t for _, t in have), default=0)
+            for ts, item in new:
+                if have and ts - newest > self.ttl_ms:
+                    have = []
+                newest = max(newest, ts) if have else ts
+                have.append((item, ts))
+                if len(have) > self.cap:
+                    have = have[-self.keep :]
+                    newest = max(t for _, t in have)
+            lists[order] = have
+            out.append((order, len(have), have[-1][1]))
+        changed = np.array([(order, item, ts, now) for order, have in lists.items() for item, ts in have], np.int64).reshape(-1, 4).T
+        self.items.update(_blobs(*np.concatenate([held[:, ~touched], changed], axis=1)))
+        yield pd.DataFrame(out, columns=["order_id", "items", "last_ts"])
 
     def close(self) -> None:
         pass
 
 
-def item_lists(items: DataFrame, cap: int = 100, keep: int = 50, ttl_ms: int = 3_600_000, state_ttl_ms: int | None = None) -> DataFrame:
+def item_lists(items: DataFrame, cap: int = 100, keep: int = 50, ttl_ms: int = 3_600_000, state_ttl_ms: int | None = None, groups: int = GROUPS) -> DataFrame:
     """Items (order_id, item_id, ts) to the number that each order's list holds after each batch.
 
     ttl_ms is event time between items after which a list starts afresh; state_ttl_ms is processing time after which the
     state of an order without news is dropped.
     """
     lists = _Items(cap, keep, ttl_ms, state_ttl_ms)
-    return items.groupBy("order_id").transformWithStateInPandas(lists, "order_id long, items long, last_ts long", "update", _mode(state_ttl_ms))
+    longs = items.select(*[F.col(c).cast("long").alias(c) for c in ("order_id", "item_id", "ts")])
+    return _grouped(longs, "order_id", groups).transformWithStateInPandas(lists, "order_id long, items long, last_ts long", "update", _mode(state_ttl_ms))
 
 
 def join_streams(orders: DataFrame, items: DataFrame, late: str = "10 seconds", within: str = "1 hour") -> DataFrame:
@@ -195,52 +250,75 @@ def drop_repeats(rows: DataFrame, keys: list[str], ts: str, late: str) -> DataFr
 
 
 class _Expiring(StatefulProcessor):
-    """The items of an order until no news came for ttl_ms of event time: then the list comes out and the state goes."""
+    """The items of each order of a group until no news came for ttl_ms of event time: then the list comes out and its state goes. The
+    group has one timer, for the list that ends first."""
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.list = handle.getValueState("list", "items LONG, first_ts LONG, last_ts LONG")
-
-    def _out(self, key, held: tuple) -> Row:
-        return Row("order_id", "items", "first_ts", "last_ts")(key[0], *held)
-
-    def _until(self, held: tuple) -> int:
-        return held[2] + self.ttl_ms
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.list.get()
-        if held is not None:
-            self.handle.deleteTimer(self._until(held))
-        for ts in sorted(int(r.ts_ms) for r in rows):
-            if held is not None and ts > self._until(held):  # the list ended between two items of one batch
-                yield self._out(key, held)
-                held = None
-            held = (1, ts, ts) if held is None else (held[0] + 1, held[1], max(held[2], ts))
-        self.list.update(held)
-        self.handle.registerTimer(self._until(held))  # each item sets the timer anew
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.list.get()
-        if held is not None and self._until(held) <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self._out(key, held)
-            self.list.clear()
+        # columns of 64-bit integers, a list a place
+        self.lists = handle.getValueState("lists", "order_id BINARY, items BINARY, first_ts BINARY, last_ts BINARY, timer LONG")
+
+    def _held(self) -> tuple[np.ndarray, int | None]:
+        held = self.lists.get()
+        return (np.stack(_longs([b""] * 4)), None) if held is None else (np.stack(_longs(held[:4])), held[4])
+
+    def _keep(self, lists: np.ndarray, timer: int | None) -> None:
+        """Stores the lists and sets the timer, which is at `timer` so far."""
+        first = int(lists[3].min()) + self.ttl_ms if lists.size else None
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.lists.clear() if first is None else self.lists.update((*_blobs(*lists), first))
+
+    def _out(self, lists: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(lists.T, columns=["order_id", "items", "first_ts", "last_ts"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        held, timer = self._held()
+        touched = np.isin(held[0], batch["order_id"].to_numpy())
+        lists = {order: of for order, *of in held[:, touched].T.tolist()}
+        ended = []
+        for order, new in _by_order(batch, "ts_ms"):
+            have = lists.get(order)
+            for (ts,) in new:
+                if have is not None and ts > have[2] + self.ttl_ms:  # the list ended between two items of one batch
+                    ended.append((order, *have))
+                    have = None
+                have = [1, ts, ts] if have is None else [have[0] + 1, have[1], max(have[2], ts)]
+            lists[order] = have
+        changed = np.array([(order, *of) for order, of in lists.items()], np.int64).reshape(-1, 4).T
+        self._keep(np.concatenate([held[:, ~touched], changed], axis=1), timer)
+        if ended:
+            yield self._out(np.array(ended, np.int64).T)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, timer = self._held()
+        # all that the watermark has passed comes at once: the timer that is set now is for a later batch
+        over = held[3] + self.ttl_ms <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        if over.any():
+            self._keep(held[:, ~over], None if timer == expiredTimerInfo.getExpiryTimeInMs() else timer)
+            yield self._out(held[:, over])
 
     def close(self) -> None:
         pass
 
 
-def expired_lists(items: DataFrame, ttl_ms: int = 3_600_000, late: str = "10 seconds") -> DataFrame:
+def expired_lists(items: DataFrame, ttl_ms: int = 3_600_000, late: str = "10 seconds", groups: int = GROUPS) -> DataFrame:
     """Items (order_id, ts) of a stream to the lists that have ended: (order_id, items, first_ts, last_ts), times in milliseconds.
 
     A list ends when ttl_ms of event time pass without an item; a timer tells it when the watermark passes, so lists that
     get no more news come out too. An item that is older than the watermark is dropped.
     """
     with_rocksdb(items.sparkSession)
-    timed = items.withWatermark("ts", late).withColumn("ts_ms", F.unix_millis("ts"))
-    return timed.groupBy("order_id").transformWithState(_Expiring(ttl_ms), "order_id long, items long, first_ts long, last_ts long", "append", "eventTime")
+    timed = items.withWatermark("ts", late).select(F.col("order_id").cast("long").alias("order_id"), F.unix_millis("ts").alias("ts_ms"), "ts")
+    out = "order_id long, items long, first_ts long, last_ts long"
+    return _grouped(timed, "order_id", groups).transformWithStateInPandas(_Expiring(ttl_ms), out, "append", "eventTime")
 
 
 class _Parted(StatefulProcessor):

@@ -281,3 +281,27 @@ def test_a_list_in_reach_of_its_timer_goes_on(spark, tmp_path):
     stream = spark.readStream.schema("order_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     got = pipeline.collected(stateful.expired_lists(stream, 100_000, "200 seconds"), f"{tmp_path}/out").collect()
     assert sorted((r["order_id"], r["items"], r["first_ts"], r["last_ts"]) for r in got) == [(1, 1, 1_300_000, 1_300_000), (1, 3, 1_000_000, 1_140_000), (2, 2, 1_000_000, 1_090_000)]
+
+
+def test_keys_share_state_in_groups(spark, tmp_path):
+    """State is kept by group, so its rows, and the calls of a batch, are as many as groups at most; keys of a group don't mix."""
+    stateful.with_rocksdb(spark)
+    day = 86_400_000
+    items = spark.range(4000).selectExpr("id % 1000 AS order_id", "id AS item_id", f"(id % 1000 + id div 1000) * {day // 1000} AS ts", "id div 2000 AS half")
+    for half in (0, 1):
+        items.filter(f"half = {half}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/items")
+        spark.range(100).filter(f"id % 2 = {half}").selectExpr("id AS customer_id", "concat('c', id) AS name", "1 AS ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/people")
+    stream = lambda of, ddl: spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{of}")
+    i = stream("items", "order_id long, item_id long, ts long")
+    lists = pipeline.collected(stateful.item_lists(i, cap=3, keep=2, groups=4), f"{tmp_path}/lists", "update").collect()
+    assert sorted((r["_batch"], r["order_id"], r["items"]) for r in lists) == [(b, o, 2) for b in (0, 1) for o in range(1000)]
+    orders = i.select(F.col("order_id").alias("customer_id"), F.col("item_id").alias("order_id"))
+    pending = pipeline.collected(stateful.pending_join(orders, stream("people", "customer_id long, name string, ts long"), groups=4), f"{tmp_path}/pending").collect()
+    assert sorted((r["order_id"], r["customer_name"]) for r in pending) == [(o, f"c{o % 1000}") for o in range(4000) if o % 1000 < 100]
+    timed = i.select("order_id", F.timestamp_millis("ts").alias("ts"))
+    ended = pipeline.collected(stateful.expired_lists(timed, 600_000, "1 second", groups=4), f"{tmp_path}/ended").collect()
+    assert all(r["items"] == 4 and r["last_ts"] - r["first_ts"] == 3 * (day // 1000) for r in ended if r["order_id"] >= 200) and len({r["order_id"] for r in ended}) == len(ended) > 0
+    last = max(r["ts"] for r in items.collect())
+    assert {r["order_id"] for r in ended} == {o for o in range(1000) if (o + 3) * (day // 1000) + 600_000 <= last - 1000}
+    states = [spark.read.format("statestore").option("stateVarName", var).load(f"{tmp_path}/{of}/checkpoint") for of, var in (("lists", "items"), ("ended", "lists"))]
+    assert all(0 < s.count() <= 4 for s in states)
