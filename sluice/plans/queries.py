@@ -673,11 +673,16 @@ def payload_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, name: str, files: int = 2) -> DataFrame:
-    """A table as a stream of its four files, so many a micro-batch."""
+    """A table as a stream of four parts, so many a micro-batch; a part is as many files as a large table needs."""
     source = feeds.table(spark, sf, name)
-    folder = shared_folder(spark)
-    source.repartition(4).write.parquet(folder)
-    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    folder, each = shared_folder(spark), _files(source)
+    source.repartition(4 * each).write.parquet(folder)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files * each).parquet(folder)
+
+
+def _files(df: DataFrame) -> int:
+    """How many files a quarter of df is dealt to: about as many as it has splits, so that no task reads more as df grows."""
+    return -(-df.rdd.getNumPartitions() // 4)
 
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, event_id FROM events), early AS (SELECT user_id, ms, max(ms) OVER (PARTITION BY user_id) AS seen FROM e WHERE event_id % 2 = 0)
@@ -806,15 +811,16 @@ def stream_new_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _timed(spark: SparkSession, df: DataFrame, ts: str, parts: int = 4) -> DataFrame:
-    """df as a stream of files in the order of ts, one a micro-batch: none holds a row that is earlier than one of the files before."""
-    folder = shared_folder(spark)
+    """df as a stream of parts in the order of ts, one a micro-batch: none holds a row that is earlier than one of the parts before. A part
+    is as many files as a large table needs."""
+    folder, each = shared_folder(spark), _files(df)
     ms = df.withColumn("_ms", F.unix_millis(ts)).persist()
     ends = ms.approxQuantile("_ms", [i / parts for i in range(1, parts)], 0.01)
     for low, high in zip([None, *ends], [*ends, None], strict=True):
         one = ms.filter(F.lit(True) if low is None else F.col("_ms") >= low).filter(F.lit(True) if high is None else F.col("_ms") < high)
-        one.drop("_ms").coalesce(1).write.mode("append").parquet(folder)
+        one.drop("_ms").repartition(each).write.mode("append").parquet(folder)
     ms.unpersist()
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(folder)
 
 
 _FOUR = """o AS (SELECT o_orderkey AS k, o_custkey AS ck, o_orderdate AS ts FROM orders), c AS (SELECT c_custkey AS ck, c_mktsegment AS tier, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * (c_custkey * 37 % 2400) AS ts FROM customer),
@@ -895,7 +901,7 @@ def stream_promotion(spark: SparkSession, sf: str) -> DataFrame:
     run = Pipeline(spark, f"{folder}/tables", Settings(enrich=False))
     key = F.get_json_object("value", "$.payload.source.scn").cast("long")
     for half in (0, 1):
-        feed.filter(key % 2 == half).coalesce(2).write.mode("append").json(f"{folder}/in")
+        feed.filter(key % 2 == half).write.mode("append").json(f"{folder}/in")
         run.start(envelope.read_feed(spark, f"{folder}/in"), f"{folder}/checkpoint", once=True).awaitTermination()
         if half == 0:
             run.promote("ORDERS")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from sluice.operators import evolution, xml
 from sluice.operators.mapping import to_target
+from sluice.plans import queries
 from sluice.sources import envelope
 from sluice.streaming import pipeline, stateful
 from tests.conftest import CUSTOMER, ITEM, ORDER, message
@@ -305,3 +306,23 @@ def test_keys_share_state_in_groups(spark, tmp_path):
     assert {r["order_id"] for r in ended} == {o for o in range(1000) if (o + 3) * (day // 1000) + 600_000 <= last - 1000}
     states = [spark.read.format("statestore").option("stateVarName", var).load(f"{tmp_path}/{of}/checkpoint") for of, var in (("lists", "items"), ("ended", "lists"))]
     assert all(0 < s.count() <= 4 for s in states)
+
+
+def test_streams_of_large_tables_have_more_files(spark, tmp_path):
+    """No task writes a quarter of a large table, and the micro-batches stay as many."""
+    spark.range(0, 40_000, 1, 24).selectExpr("id", "timestamp_millis(id) AS ts").write.parquet(f"{tmp_path}/t.parquet")
+    size = max(p.stat().st_size for p in (tmp_path / "t.parquet").glob("*.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size + 1))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(size + 1))
+    try:
+        whole = queries.feeds.table(spark, str(tmp_path), "t")
+        streams = {"dealt": queries._stream(spark, str(tmp_path), "t", 2), "timed": queries._timed(spark, whole, "ts")}
+        for (name, stream), batches in zip(streams.items(), (2, 4), strict=True):
+            assert len(whole.inputFiles()) == 24
+            got = pipeline.collected(stream, f"{tmp_path}/{name}")
+            assert got.count() == 40_000 and got.select("_batch").distinct().count() == batches
+            files = spark.read.text(f"{tmp_path}/{name}/checkpoint/sources/0/*").filter("value LIKE '{%'").count()
+            assert files == 24
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
