@@ -59,7 +59,8 @@ MODES = {
 SOURCE_TYPES = {"int": "NUMBER(10)", "long": "NUMBER(19)", "double": "NUMBER(15,4)", "string": "VARCHAR2(255)", "boolean": "NUMBER(1)", "timestamp": "TIMESTAMP"}
 # End of the fixed values.
 
-_SOURCE = "version STRING, connector STRING, name STRING, ts_ms BIGINT, snapshot STRING, db STRING, schema STRING, `table` STRING, txId STRING, scn STRING"
+#: Of the source only what is used is read: the parser skips the rest.
+_SOURCE = "scn STRING"
 _BODY = f"before STRING, after STRING, source STRUCT<{_SOURCE}>, op STRING, ts_ms BIGINT"
 #: A message with its payload inside or bare; _corrupt has the text of one that does not fit.
 EVENT = f"payload STRUCT<{_BODY}>, {_BODY}, _corrupt STRING"

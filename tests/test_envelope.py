@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import dedup, evolution, mapping
 from sluice.sources import envelope
-from tests.conftest import CUSTOMER, ORDER, PRODUCT, message
+from tests.conftest import SF, CUSTOMER, ORDER, PRODUCT, message
 
 
 def decoded(feed, *messages):
@@ -132,3 +132,14 @@ def test_changed_columns_and_structs(spark, feed):
 def test_promoted_since(spark):
     rows = spark.createDataFrame([("a", 10), ("b", 50), ("c", 59)], "column_name string, m int").withColumn("promoted_at", F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, 0, m)"))
     assert [r[0] for r in evolution.promoted_since(rows, F.expr("TIMESTAMP '2024-01-01 01:20:00'")).collect()] == ["c", "b"]
+
+
+def test_stored_feeds_are_packed(spark):
+    """Messages repeat their frame: stored ones take a small part of their text."""
+    import pyarrow.parquet as pq
+
+    from sluice.plans import feeds
+
+    files = [f.removeprefix("file://") for f in feeds.feed(spark, SF, "ORDER_ITEMS").inputFiles()]
+    columns = [pq.ParquetFile(f).metadata.row_group(0).column(1) for f in files if pq.ParquetFile(f).metadata.num_row_groups]
+    assert columns and {c.compression for c in columns} == {"ZSTD"}
