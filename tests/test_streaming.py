@@ -1,5 +1,6 @@
 import itertools
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -326,3 +327,27 @@ def test_streams_of_large_tables_have_more_files(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_enriched_orders_share_state_in_groups(spark, tmp_path):
+    """The state has a value for each group, not for each key; numbers beyond 53 bits, far dates and nulls pass through it unharmed."""
+    from sluice.streaming import keyed
+
+    big = 2**53
+    far = ORDER | {"ORDER_ID": 1, "ORDER_DATE": "9999-12-31", "CUSTOMER_ID": None, "TOTAL_AMOUNT": None}
+    news = lambda status, scn: message("ORDERS", ORDER | {"ORDER_ID": 2, "STATUS": status}, op="u", scn=scn)
+    first = [message("ORDERS", far, scn=None), news("OLD", str(big)), message("CUSTOMERS", CUSTOMER), *[message("ORDERS", ORDER | {"ORDER_ID": i}) for i in range(10, 60)]]
+    put(tmp_path / "in", "0.json", *first)
+    os.utime(tmp_path / "in" / "0.json", (1_700_000_000, 1_700_000_000))  # files come by their times
+    put(tmp_path / "in", "1.json", news("NEW", str(big + 1)), news("OLD", str(big)), message("ORDER_ITEMS", ITEM | {"ORDER_ID": 2}))
+    seen = []
+    out = keyed.enriched(envelope.decode(envelope.read_feed(spark, f"file://{tmp_path}/in", 1)), groups=3)
+    q = out.writeStream.foreachBatch(lambda df, n: seen.extend((n, r) for r in df.collect())).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    states = [s.numRowsTotal for p in q.recentProgress for s in p.stateOperators]
+    assert max(states) <= 12  # two lists a group, each with its number of entries
+    rows = {(n, r["order_id"]): r for n, r in seen}
+    assert sorted(rows) == [(0, 1), (0, 2), *[(0, i) for i in range(10, 60)], (1, 2)]
+    alone = rows[0, 1]
+    assert str(alone["order_date"]).startswith("9999-12-31") and (alone["customer_id"], alone["total_amount"], alone["customer_name"]) == (None, None, None)
+    assert (rows[0, 2]["status"], rows[1, 2]["status"], rows[1, 2]["item_count"], rows[1, 2]["customer_name"]) == ("OLD", "NEW", 1, "Ada Quill")
