@@ -916,10 +916,11 @@ def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """What a run has measured of itself, as its table of metrics holds it: rows and batches (times and rates differ between runs)."""
     from sluice.streaming.pipeline import METRICS, Pipeline, Settings
 
-    folder = shared_folder(spark)
-    feeds.feed(spark, sf, "ORDERS").repartition(3).write.json(f"{folder}/in")
+    folder, feed = shared_folder(spark), feeds.feed(spark, sf, "ORDERS")
+    each = _files(feed, 3)
+    feed.repartition(3 * each).write.json(f"{folder}/in")
     run = Pipeline(spark, f"{folder}/tables", Settings(enrich=False, report_seconds=0))
-    run.start(envelope.read_feed(spark, f"{folder}/in", 1), f"{folder}/checkpoint", once=True).awaitTermination()
+    run.start(envelope.read_feed(spark, f"{folder}/in", each), f"{folder}/checkpoint", once=True).awaitTermination()
     out = run.tables.read("cdc_metrics", T.StructType.fromDDL(METRICS)).filter(F.col("metric_name").isin("rows", "batches"))
     return out.groupBy("metric_name", "metric_unit").agg(F.sum("metric_value").cast("double").alias("metric_value"))
 

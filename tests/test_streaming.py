@@ -11,7 +11,7 @@ from sluice.operators.mapping import to_target
 from sluice.plans import queries
 from sluice.sources import envelope
 from sluice.streaming import pipeline, stateful
-from tests.conftest import CUSTOMER, ITEM, ORDER, message
+from tests.conftest import CUSTOMER, ITEM, ORDER, SF, message
 
 
 def put(folder, name, *messages):
@@ -351,3 +351,12 @@ def test_enriched_orders_share_state_in_groups(spark, tmp_path):
     alone = rows[0, 1]
     assert str(alone["order_date"]).startswith("9999-12-31") and (alone["customer_id"], alone["total_amount"], alone["customer_name"]) == (None, None, None)
     assert (rows[0, 2]["status"], rows[1, 2]["status"], rows[1, 2]["item_count"], rows[1, 2]["customer_name"]) == ("OLD", "NEW", 1, "Ada Quill")
+
+
+def test_messages_of_the_metrics_run_lie_in_as_many_files_as_splits(spark, tmp_path, monkeypatch):
+    """Three micro-batches of several files each: no task writes a third of a large feed."""
+    monkeypatch.setattr(queries, "shared_folder", lambda _: f"file://{tmp_path}/run")
+    got = {r["metric_name"]: r["metric_value"] for r in queries.stream_metrics(spark, SF).collect()}
+    splits = queries.feeds.feed(spark, SF, "ORDERS").rdd.getNumPartitions()
+    assert splits > 3 and len(list((tmp_path / "run" / "in").glob("*.json"))) >= splits
+    assert got == {"rows": spark.read.parquet(f"{SF}/orders.parquet").count(), "batches": 3}
