@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
+def dealt(df: DataFrame, by: str | None = None) -> DataFrame:
+    """A table's rows, whose messages are much longer and cost more, dealt to all cores.
+
+    Spark cuts a table that is no larger than two full splits a core into about a split a core, but whole row groups go to one of
+    them: a table that lies in a few row groups would keep as many cores busy. A larger one has several full splits a core.
+    by: rows with equal values of this column go to one core and lie together, whatever the table's size.
+    """
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    if by:
+        return df.repartition(max(splits, cores), by).sortWithinPartitions(by)
+    return df.repartition(max(splits, cores)) if splits <= 2 * cores else df
+
+
 def op_of(key: Column) -> Column:
     """d for each twentieth key, u for the next five, else c."""
     return F.when(key % 20 == 0, "d").when(key % 20 <= 5, "u").otherwise("c")
@@ -31,7 +44,8 @@ def _images(df: DataFrame, key: str, row: Column, ts_ms: Column, scn: Column | N
 
 def orders(spark: SparkSession, sf_dir: str, xml: bool = False, op: Column | None = None) -> DataFrame:
     """LOYALTY_POINTS, a column that the baseline lacks, is in each seventh order; with xml the items are in SHIPPING_INFO."""
-    o = table(spark, sf_dir, "orders")
+    # with xml the join deals the rows
+    o = table(spark, sf_dir, "orders") if xml else dealt(table(spark, sf_dir, "orders"))
     if xml:
         o = o.join(shipping(spark, sf_dir), "o_orderkey", "left")
     row = F.struct(
@@ -53,14 +67,14 @@ def shipping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several events of one item are natural: order and line number do not tell line items apart."""
-    li = table(spark, sf_dir, "lineitem").withColumn("item", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    li = dealt(table(spark, sf_dir, "lineitem")).withColumn("item", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     row = F.struct(F.col("item").alias("ITEM_ID"), F.col("l_orderkey").alias("ORDER_ID"), F.col("l_partkey").alias("PRODUCT_ID"), F.col("l_quantity").cast("int").alias("QUANTITY"), F.col("l_extendedprice").alias("UNIT_PRICE"), F.col("l_extendedprice").alias("SUBTOTAL"))
     return _images(li, "l_partkey", row, F.unix_millis("l_shipdate") + F.col("l_partkey") % 1000, F.col("l_partkey") * 1_000_000 + F.col("l_suppkey"))
 
 
 def customers(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
     """Version v holds the customers whose key is divisible by v + 1, 1000 v ms later and with another tier."""
-    c = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % (version + 1) == 0)
+    c = dealt(table(spark, sf_dir, "customer")).filter(F.col("c_custkey") % (version + 1) == 0)
     c = c.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # nation has 25 rows
     row = F.struct(
         F.col("c_custkey").alias("CUSTOMER_ID"), F.get(F.split("c_name", "#"), F.lit(0)).alias("FIRST_NAME"), F.get(F.split("c_name", "#"), F.lit(1)).alias("LAST_NAME"), F.concat(F.lit("c"), F.col("c_custkey"), F.lit("@example.com")).alias("EMAIL"), F.col("n_name").alias("CITY"),
@@ -70,14 +84,14 @@ def customers(spark: SparkSession, sf_dir: str, version: int = 0) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part"))
     status = F.when(F.col("p_partkey") % 10 == 0, "INACTIVE").when(F.col("p_partkey") % 10 != 1, "ACTIVE")
     row = F.struct(F.col("p_partkey").alias("PRODUCT_ID"), F.col("p_name").alias("NAME"), F.col("p_type").alias("CATEGORY"), F.col("p_retailprice").alias("PRICE"), F.col("p_size").alias("STOCK_QUANTITY"), status.alias("STATUS"))
     return _images(p, "p_partkey", row, F.lit(1_700_000_000_000) + F.col("p_partkey"))
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events"))
     row = F.struct(F.col("event_id").alias("LOG_ID"), F.col("event_type").alias("ACTION"), F.lit("EVENTS").alias("ENTITY_TYPE"), F.col("event_id").alias("ENTITY_ID"), F.col("user_id").alias("USER_ID"), F.col("props").alias("DETAILS"), F.date_format("ts", ISO).alias("CREATED_AT"))
     return _images(e, "event_id", row, F.unix_millis("ts"), op=F.lit("c"))
 
@@ -95,10 +109,7 @@ def feed(spark: SparkSession, sf_dir: str, name: str, **how) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir, name, str(sorted(how.items(), key=str)))
     if key not in _stored:
-        images, cores = BUILDERS[name](spark, sf_dir, **how), spark.sparkContext.defaultParallelism
-        # a small table is one split: its messages, which are much longer than its rows, are dealt to all cores
-        images = images.repartition(cores) if images.rdd.getNumPartitions() < cores else images
-        _stored[key] = written(encode(images, name))
+        _stored[key] = written(encode(BUILDERS[name](spark, sf_dir, **how), name))
     return _stored[key]
 
 
