@@ -152,7 +152,8 @@ def cdc_schema_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT item::INT AS item_id, l_partkey::INT AS product_id, l_quantity::INT AS quantity, l_extendedprice AS subtotal FROM {LATEST_ITEMS}")
 def cdc_dedup_items(spark: SparkSession, sf: str) -> DataFrame:
-    out = dedup.latest_by_key(feeds.events(spark, sf, "ORDER_ITEMS"), ["ITEM_ID"])
+    rows = feeds.events(spark, sf, "ORDER_ITEMS").select("ITEM_ID", "PRODUCT_ID", "QUANTITY", "SUBTOTAL", *dedup.ORDER)
+    out = dedup.latest_by_key(rows, ["ITEM_ID"])
     return out.select(F.col("ITEM_ID").alias("item_id"), F.col("PRODUCT_ID").alias("product_id"), F.col("QUANTITY").alias("quantity"), F.col("SUBTOTAL").alias("subtotal"))
 
 
@@ -232,7 +233,8 @@ def cdc_reverse_products(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT item::INT AS item_id, l_orderkey::INT AS order_id, CASE WHEN l_partkey % 50 > 0 THEN make_timestamp({L_TS} * 1000) END AS source_ts FROM {LATEST_ITEMS} WHERE l_partkey % 50 = 0 OR make_timestamp({L_TS} * 1000) >= TIMESTAMP '2000-01-01' - INTERVAL 48 HOUR")
 def cdc_bootstrap_items(spark: SparkSession, sf: str) -> DataFrame:
-    items = mapping.to_target(dedup.latest_by_key(feeds.events(spark, sf, "ORDER_ITEMS"), ["ITEM_ID"]), "ORDER_ITEMS")
+    rows = feeds.events(spark, sf, "ORDER_ITEMS").drop("_cdc_image", "_cdc_table")
+    items = mapping.to_target(dedup.latest_by_key(rows, ["ITEM_ID"]), "ORDER_ITEMS")
     items = items.withColumn("source_ts", F.when(F.col("product_id") % 50 > 0, F.col("source_ts")))
     return mapping.recent_items(items, F.expr("TIMESTAMP '2000-01-01 00:00:00'"), 48).select("item_id", "order_id", "source_ts")
 
@@ -483,7 +485,8 @@ def customer_dynamic_agg(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT l_orderkey::INT AS order_id, count(*) AS item_count, sum(l_extendedprice::DECIMAL(15,2))::DOUBLE AS items_total FROM {LATEST_ITEMS} GROUP BY ALL")
 def items_per_order(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.items_per_order(dedup.latest_by_key(feeds.events(spark, sf, "ORDER_ITEMS"), ["ITEM_ID"])).withColumnRenamed("ORDER_ID", "order_id")
+    rows = feeds.events(spark, sf, "ORDER_ITEMS").select("ITEM_ID", "ORDER_ID", "SUBTOTAL", *dedup.ORDER)
+    return joins.items_per_order(dedup.latest_by_key(rows, ["ITEM_ID"])).withColumnRenamed("ORDER_ID", "order_id")
 
 
 _TIERS = f"SELECT min(window_start) AS window_start, max(window_end) AS window_end, coalesce(customer_tier, 'UNKNOWN') AS customer_tier, NULL::VARCHAR AS product_category, count(*) AS order_count, coalesce(sum({{x}}), 0)::DOUBLE AS total_revenue, round(sum({{x}})::DECIMAL(28,10) / count({{x}}), 2)::DOUBLE AS avg_order_value FROM {ENRICHED} GROUP BY coalesce(customer_tier, 'UNKNOWN')"
