@@ -12,7 +12,8 @@ from sluice.sources.envelope import decode, rows
 
 def enriched(orders_feed: DataFrame, customers_feed: DataFrame, items_feed: DataFrame) -> DataFrame:
     """Current orders with their current customer and items, from three feeds of messages."""
-    latest = lambda feed, table, key: current(latest_by_key(rows(decode(feed), table), [key]))
+    # the images, which are most of a row, are not carried through the shuffle
+    latest = lambda feed, table, key: current(latest_by_key(rows(decode(feed), table).drop("_cdc_image", "_cdc_table"), [key]))
     return enrich_orders(latest(orders_feed, "ORDERS", "ORDER_ID"), latest(customers_feed, "CUSTOMERS", "CUSTOMER_ID"), latest(items_feed, "ORDER_ITEMS", "ITEM_ID"))
 
 

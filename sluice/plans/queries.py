@@ -519,8 +519,9 @@ def agg_window(spark: SparkSession, sf: str) -> DataFrame:
     SELECT window_start, window_start + INTERVAL 5 MINUTE AS window_end, customer_tier, product_category, {_SUMS.format(v='l_extendedprice')} FROM rows GROUP BY ALL""")
 def agg_window_tier_category(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of five minutes by customer tier and product category over the current items."""
-    now = lambda t, key: joins.current(dedup.latest_by_key(feeds.events(spark, sf, t), [key]))
-    items = joins.items_of_orders(now("ORDER_ITEMS", "ITEM_ID"), now("ORDERS", "ORDER_ID"), now("CUSTOMERS", "CUSTOMER_ID"), now("PRODUCTS", "PRODUCT_ID"))
+    now = lambda t, key, *columns: joins.current(dedup.latest_by_key(feeds.events(spark, sf, t).select(key, *columns, "_cdc_op", *dedup.ORDER), [key]))
+    items, orders = now("ORDER_ITEMS", "ITEM_ID", "ORDER_ID", "PRODUCT_ID", "SUBTOTAL"), now("ORDERS", "ORDER_ID", "CUSTOMER_ID")
+    items = joins.items_of_orders(items, orders, now("CUSTOMERS", "CUSTOMER_ID", "TIER"), now("PRODUCTS", "PRODUCT_ID", "NAME", "CATEGORY"))
     return aggregates.windowed(items, "source_ts", ["customer_tier", "product_category"], "SUBTOTAL")
 
 
