@@ -678,9 +678,10 @@ def payload_chunks(spark: SparkSession, sf: str) -> DataFrame:
 # Streams
 
 
-def _stream(spark: SparkSession, sf: str, name: str, files: int = 2) -> DataFrame:
-    """A table as a stream of four parts, so many a micro-batch; a part is as many files as a large table needs."""
-    source = feeds.table(spark, sf, name)
+def _stream(spark: SparkSession, sf: str, name: str, files: int = 2, columns: str = "*") -> DataFrame:
+    """A table, or the columns of it that are in use, as a stream of four parts, so many a micro-batch; a part is as many files as a
+    large table needs."""
+    source = feeds.table(spark, sf, name).select(*columns.split())
     folder, each = shared_folder(spark), _files(source)
     source.repartition(4 * each).write.parquet(folder)
     return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files * each).parquet(folder)
@@ -750,10 +751,10 @@ def stream_join_four(spark: SparkSession, sf: str) -> DataFrame:
     from sluice.streaming import pipeline, stateful
 
     day = lambda start, key: F.expr(f"TIMESTAMP '{start} 00:00:00' + make_dt_interval(CAST({key} AS INT))")
-    o = _stream(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("order_customer_id"), F.col("o_orderdate").alias("order_ts"))
-    c = _stream(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("tier"), day("1995-01-01", "c_custkey % 900").alias("customer_ts"))
-    i = _stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item_order_id"), F.col("l_partkey").alias("item_product_id"), F.col("l_shipdate").alias("item_ts"))
-    p = _stream(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), day("1995-06-01", "p_partkey % 700").alias("product_ts"))
+    o = _stream(spark, sf, "orders", columns="o_orderkey o_custkey o_orderdate").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("order_customer_id"), F.col("o_orderdate").alias("order_ts"))
+    c = _stream(spark, sf, "customer", columns="c_custkey c_mktsegment").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("tier"), day("1995-01-01", "c_custkey % 900").alias("customer_ts"))
+    i = _stream(spark, sf, "lineitem", columns="l_orderkey l_partkey l_shipdate").select(F.col("l_orderkey").alias("item_order_id"), F.col("l_partkey").alias("item_product_id"), F.col("l_shipdate").alias("item_ts"))
+    p = _stream(spark, sf, "part", columns="p_partkey p_type").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), day("1995-06-01", "p_partkey % 700").alias("product_ts"))
     out = pipeline.collected(stateful.join_four(o, c, i, p, "10000 days", "400 days"), shared_folder(spark))
     return out.select("order_id", "tier", F.col("product_id").alias("part"), "category")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 import sluice
+from sluice.streaming import spans
 
 # Workers may run in a folder where this package can't be imported: send its functions whole.
 cloudpickle.register_pickle_by_value(sluice)
@@ -215,13 +216,24 @@ def join_streams(orders: DataFrame, items: DataFrame, late: str = "10 seconds",
     return o.join(i, near, "leftOuter")
 
 
-def join_four(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, late: str = "10 seconds", within: str = "1 hour") -> DataFrame:
+def join_four(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, late: str = "10 seconds", within: str = "1 hour", groups: int = spans.GROUPS) -> DataFrame:
     """Items (item_order_id, item_product_id, item_ts, ...) with their order (order_id, order_customer_id, order_ts), its customer
     (customer_id, customer_ts, ...) and their product (product_id, product_ts, ...), all four streams with watermarks.
 
     Each side may come up to `within` of event time apart from the item or order it belongs to, so all state is dropped in time.
-    Orders meet their customers and items their products first: each join then has one time a side, as watermarks ask. Of the times
-    item_ts stays.
+    Of the times item_ts stays, without a watermark. State is kept by groups of keys (see spans).
+    """
+    with_rocksdb(orders.sparkSession)
+    o, c, i, p = orders.withWatermark("order_ts", late), customers.withWatermark("customer_ts", late), items.withWatermark("item_ts", late), products.withWatermark("product_ts", late)
+    whose = spans.near_join(o, c, ("order_customer_id", "customer_id"), ("order_ts", "customer_ts"), within, groups=groups).drop("customer_ts")
+    what = spans.near_join(i, p, ("item_product_id", "product_id"), ("item_ts", "product_ts"), within, groups=groups).drop("product_ts")
+    return spans.near_join(whose, what, ("order_id", "item_order_id"), ("order_ts", "item_ts"), within, depth=1, groups=groups).drop("order_ts")
+
+
+def _joined_rows(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, late: str, within: str) -> DataFrame:
+    """join_four by Spark's own joins, whose watermark passes on to what follows.
+
+    Orders meet their customers and items their products first: each join then has one time a side, as watermarks ask.
     """
     o, c, i, p = orders.withWatermark("order_ts", late), customers.withWatermark("customer_ts", late), items.withWatermark("item_ts", late), products.withWatermark("product_ts", late)
     near = lambda a, b: F.expr(f"{a} BETWEEN {b} - INTERVAL {within} AND {b} + INTERVAL {within}")
@@ -237,7 +249,7 @@ def tier_windows(orders: DataFrame, customers: DataFrame, items: DataFrame, prod
     operators in append mode: the joins pass their watermarks on, later by `within` for each of two joins in a row, and a window
     comes out, and its state goes, once that has passed its end.
     """
-    joined = join_four(orders, customers, items, products, late, within)
+    joined = _joined_rows(orders, customers, items, products, late, within)
     amount = F.col("amount").cast("decimal(18,4)")
     out = joined.groupBy(F.window("item_ts", length).alias("_w"), "tier", "category").agg(F.count("*").alias("items"), F.sum(amount).alias("_sum"))
     mean = F.round(F.col("_sum").cast("decimal(28,10)") / F.col("items"), 4).cast("double")
