@@ -223,7 +223,8 @@ def join_four(orders: DataFrame, customers: DataFrame, items: DataFrame, product
     Each side may come up to `within` of event time apart from the item or order it belongs to, so all state is dropped in time.
     Of the times item_ts stays, without a watermark. State is kept by groups of keys (see spans).
     """
-    with_rocksdb(orders.sparkSession)
+    # one bound for all stores of a process: each would keep buffers of its own, and there are three joins of many partitions
+    with_rocksdb(orders.sparkSession).conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     o, c, i, p = orders.withWatermark("order_ts", late), customers.withWatermark("customer_ts", late), items.withWatermark("item_ts", late), products.withWatermark("product_ts", late)
     whose = spans.near_join(o, c, ("order_customer_id", "customer_id"), ("order_ts", "customer_ts"), within, groups=groups).drop("customer_ts")
     what = spans.near_join(i, p, ("item_product_id", "product_id"), ("item_ts", "product_ts"), within, groups=groups).drop("product_ts")
