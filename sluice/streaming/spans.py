@@ -26,8 +26,8 @@ cloudpickle.register_pickle_by_value(sluice)
 
 #: Groups of keys, fixed for a checkpoint: a batch costs some milliseconds for each group that it touches.
 GROUPS = 1_024
-_INPUT = 64 << 20  # bytes of a task's input that are packed at a time
-_PACK, _PACKS = 16 << 20, 8  # bytes of a stored pack; so many smaller ones are made one
+_INPUT = 16 << 20  # bytes of a task's input that are packed at a time
+_PACK, _PACKS = 4 << 20, 8  # bytes of a stored pack; so many smaller ones are made one
 _OUT = 20_000  # pairs that are made at a time
 _DAY = 86_400_000_000
 _OWN = ("_key", "_at", "_from", "_end")  # columns for the join alone

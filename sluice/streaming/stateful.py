@@ -23,11 +23,23 @@ cloudpickle.register_pickle_by_value(sluice)
 _ROWS = 10_000  # rows of a frame that goes out
 
 
+_BATCH = 8 << 20  # bytes of an Arrow batch
+
+
 def with_rocksdb(spark: SparkSession) -> SparkSession:
-    """State in RocksDB, of which a batch stores the changes rather than whole files."""
+    """State in RocksDB, of which a batch stores the changes rather than whole files.
+
+    What an executor holds beside its heap does not grow with the tables: all its stores share one bound, as each would keep buffers of
+    its own, and Arrow batches between the JVM and Python end by bytes too, not by rows alone. Bounds that the session has set stay.
+    """
     conf = "spark.sql.streaming.stateStore"
     spark.conf.set(f"{conf}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set(f"{conf}.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set(f"{conf}.rocksdb.boundedMemoryUsage", "true")
+    if spark.conf.get(f"{conf}.rocksdb.maxMemoryUsageMB", None) is None:
+        spark.conf.set(f"{conf}.rocksdb.maxMemoryUsageMB", "256")
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2**31 - 1), f"{2**31 - 1}b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH))
     return spark
 
 
@@ -223,8 +235,7 @@ def join_four(orders: DataFrame, customers: DataFrame, items: DataFrame, product
     Each side may come up to `within` of event time apart from the item or order it belongs to, so all state is dropped in time.
     Of the times item_ts stays, without a watermark. State is kept by groups of keys (see spans).
     """
-    # one bound for all stores of a process: each would keep buffers of its own, and there are three joins of many partitions
-    with_rocksdb(orders.sparkSession).conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    with_rocksdb(orders.sparkSession)
     o, c, i, p = orders.withWatermark("order_ts", late), customers.withWatermark("customer_ts", late), items.withWatermark("item_ts", late), products.withWatermark("product_ts", late)
     whose = spans.near_join(o, c, ("order_customer_id", "customer_id"), ("order_ts", "customer_ts"), within, groups=groups).drop("customer_ts")
     what = spans.near_join(i, p, ("item_product_id", "product_id"), ("item_ts", "product_ts"), within, groups=groups).drop("product_ts")

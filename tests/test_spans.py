@@ -1,5 +1,6 @@
 """Joins of streams within a span of time, with state by groups of keys."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,17 @@ def test_state_goes_once_the_watermark_has_passed(spark, tmp_path):
     packs = spark.read.format("statestore").option("stateVarName", "left").load(f"{tmp_path}/out/checkpoint")
     first = packs.selectExpr("min(user_map_key.until)").head()[0]
     assert 1 <= packs.count() < 6 and first >= (1_600_000_000 + 200 * 86_400) * 1000
+
+
+def test_memory_beside_the_heap_is_bounded(spark):
+    """Arrow batches end by bytes, and RocksDB stores share a bound; before, a batch took 64 MB and stores of joins by Spark none."""
+    conf = "spark.sql.streaming.stateStore.rocksdb"
+    for key in (f"{conf}.boundedMemoryUsage", f"{conf}.maxMemoryUsageMB", "spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.unset(key)
+    stateful.with_rocksdb(spark)
+    assert spark.conf.get(f"{conf}.boundedMemoryUsage") == "true" and spark.conf.get(f"{conf}.maxMemoryUsageMB") == "256"
+    sizes = spark.range(0, 60, 1, 1).selectExpr("repeat('x', 1000000) AS t").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) < 10 << 20
+    spark.conf.set(f"{conf}.maxMemoryUsageMB", "300")
+    assert stateful.with_rocksdb(spark).conf.get(f"{conf}.maxMemoryUsageMB") == "300"  # what a session has set stays
+    spark.conf.unset(f"{conf}.maxMemoryUsageMB")
