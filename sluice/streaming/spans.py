@@ -1,4 +1,4 @@
-"""Joins of two streams whose rows meet within a span of event time, with state by groups of keys.
+"""Joins of two streams whose rows meet within a span of event time, and sums by window behind them, with state by groups of keys.
 
 Rows are packed by group as Arrow batches before they are shuffled, met in numpy, and spread again: what the shuffle, the state store
 and the calls between the JVM and Python handle one by one are packs of rows. A batch writes the rows that it brings; it reads those of
@@ -8,7 +8,7 @@ the groups that it touches, a pack at a time.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,11 +57,12 @@ def _gathered(tables: Iterable[pa.Table], size: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(held).combine_chunks()
 
 
-def _packed(df: DataFrame, is_left: bool) -> DataFrame:
-    """The rows by _group, many in each pack."""
+def _packed(df: DataFrame, is_left: bool, made: Callable[[pa.Table], pa.Table] = lambda t: t) -> DataFrame:
+    """The rows by _group, many in each pack; made: what is made of the rows before."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _gathered((pa.Table.from_batches([b]) for b in batches if b.num_rows), _INPUT):
+            table = made(table)
             group = table["_group"].to_numpy()
             order = np.argsort(group, kind="stable")
             rows = table.drop_columns(["_group"]).take(pa.array(order))
@@ -185,7 +186,7 @@ class _Near(StatefulProcessor):
         pass
 
 
-def _length(df: DataFrame, within: str) -> int:
+def length(df: DataFrame, within: str) -> int:
     """An interval's length in microseconds; that of months differs by up to three days."""
     start = "TIMESTAMP '2000-01-01 00:00:00'"
     return df.sparkSession.sql(f"SELECT unix_micros({start} + INTERVAL {within}) - unix_micros({start})").head()[0]
@@ -207,7 +208,72 @@ def near_join(left: DataFrame, right: DataFrame, on: tuple[str, str], times: tup
 
     lefts = keyed(left, on[0], begin, F.unix_micros(begin - span).alias("_from"))
     rights = keyed(right, on[1], at, F.unix_micros(at).alias("_at"))
-    behind = depth * _length(left, within) + 4 * (depth + 1) * _DAY
+    behind = depth * length(left, within) + 4 * (depth + 1) * _DAY
     packs = _packed(lefts, True).unionByName(_packed(rights, False))
     out = packs.groupBy("_group").transformWithStateInPandas(_Near(behind), "rows binary", "append", "eventTime")
     return _spread(out, T.StructType([*left.schema, *right.schema]))
+
+
+class _Windows(StatefulProcessor):
+    """Sums of a group's windows, each until the watermark has passed its end by `behind` microseconds; the group has one timer, for the
+    window that ends first."""
+
+    def __init__(self, keys: list[str], end: str, value: str, behind: int):
+        self.keys, self.end, self.value, self.behind = keys, end, value, behind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        # passed: the watermark when windows came out last, in milliseconds; they don't come out again
+        self.windows = handle.getValueState("windows", "rows BINARY, timer LONG, passed LONG")
+
+    def _held(self) -> tuple[list[pa.Table], int | None, int]:
+        held = self.windows.get()
+        return ([], None, -(2**63)) if held is None else ([_table(held[0])], held[1], held[2])
+
+    def _due(self, table: pa.Table) -> np.ndarray:
+        return -(-(table[self.end].cast(pa.int64()).to_numpy() + self.behind) // 1000)
+
+    def _keep(self, table: pa.Table, timer: int | None, passed: int) -> None:
+        """Stores the windows and sets the timer, which is at `timer` so far."""
+        first = int(self._due(table).min()) if table.num_rows else None
+        if timer != first:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.windows.update((_bytes(table), first, passed))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        have, timer, passed = self._held()
+        for frame in rows:
+            have = [added(pa.concat_tables([*have, *map(_table, frame["rows"].tolist())]), self.keys, self.value)]
+        self._keep(have[0].filter(pa.array(self._due(have[0]) > passed)), timer, passed)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (held,), timer, _ = self._held()
+        passed, at = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        over = self._due(held) <= max(passed, at)
+        self._keep(held.filter(pa.array(~over)), None if timer == at else timer, max(passed, at))
+        if over.any():
+            yield pd.DataFrame({"rows": [_bytes(held.filter(pa.array(over)))]})
+
+    def close(self) -> None:
+        pass
+
+
+def added(table: pa.Table, keys: list[str], value: str) -> pa.Table:
+    """The rows of equal keys made one: the sums of their items and value."""
+    out = table.group_by(keys).aggregate([("items", "sum"), (value, "sum")])
+    return out.rename_columns([c.removesuffix("_sum") for c in out.column_names]).select(table.column_names).cast(table.schema).combine_chunks()
+
+
+def summed(df: DataFrame, end: str, value: str, behind: int, groups: int = 64) -> DataFrame:
+    """The number (items) and sum of `value`, a decimal, of the rows with equal other columns, of which `end` is the time when a window ends:
+    each once the watermark, of which df has no column, has passed that by `behind` microseconds. Rows of a window that came out are dropped.
+    """
+    names = [c for c in df.columns if c != value]
+    rows = df.select(*names, F.lit(1).cast("long").alias("items"), F.col(value).cast("decimal(38,4)").alias(value))
+    packs = _packed(rows.withColumn("_group", F.pmod(F.xxhash64(end), F.lit(groups))), True, lambda t: added(t, [*names, "_group"], value))
+    out = packs.groupBy("_group").transformWithStateInPandas(_Windows(names, end, value, behind), "rows binary", "append", "eventTime")
+    return _spread(out, rows.schema)

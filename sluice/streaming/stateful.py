@@ -242,30 +242,18 @@ def join_four(orders: DataFrame, customers: DataFrame, items: DataFrame, product
     return spans.near_join(whose, what, ("order_id", "item_order_id"), ("order_ts", "item_ts"), within, depth=1, groups=groups).drop("order_ts")
 
 
-def _joined_rows(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, late: str, within: str) -> DataFrame:
-    """join_four by Spark's own joins, whose watermark passes on to what follows.
-
-    Orders meet their customers and items their products first: each join then has one time a side, as watermarks ask.
-    """
-    o, c, i, p = orders.withWatermark("order_ts", late), customers.withWatermark("customer_ts", late), items.withWatermark("item_ts", late), products.withWatermark("product_ts", late)
-    near = lambda a, b: F.expr(f"{a} BETWEEN {b} - INTERVAL {within} AND {b} + INTERVAL {within}")
-    whose = o.join(c, F.expr("order_customer_id = customer_id") & near("customer_ts", "order_ts")).drop("customer_ts")
-    what = i.join(p, F.expr("item_product_id = product_id") & near("product_ts", "item_ts")).drop("product_ts")
-    return whose.join(what, F.expr("order_id = item_order_id") & near("item_ts", "order_ts")).drop("order_ts")
-
-
-def tier_windows(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, late: str = "10 seconds", within: str = "1 hour", length: str = "5 minutes") -> DataFrame:
+def tier_windows(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, late: str = "10 seconds", within: str = "1 hour", length: str = "5 minutes", groups: int = spans.GROUPS) -> DataFrame:
     """Items by window of their time, tier of their order's customer and category of their product: number, sum and average of `amount`.
 
-    The inputs are those of join_four, with `tier` in customers, `category` in products and `amount` in items. A chain of stateful
-    operators in append mode: the joins pass their watermarks on, later by `within` for each of two joins in a row, and a window
-    comes out, and its state goes, once that has passed its end.
+    The inputs are those of join_four, with `tier` in customers, `category` in products and `amount` in items, and so is the state of the
+    joins. A window comes out, and its state goes, once the watermark has passed its end by `within` for each of two joins in a row.
     """
-    joined = _joined_rows(orders, customers, items, products, late, within)
-    amount = F.col("amount").cast("decimal(18,4)")
-    out = joined.groupBy(F.window("item_ts", length).alias("_w"), "tier", "category").agg(F.count("*").alias("items"), F.sum(amount).alias("_sum"))
-    mean = F.round(F.col("_sum").cast("decimal(28,10)") / F.col("items"), 4).cast("double")
-    return out.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "tier", "category", "items", F.col("_sum").cast("double").alias("total"), mean.alias("average"))
+    joined = join_four(orders, customers, items, products, late, within, groups)
+    at, amount = F.window("item_ts", length), F.col("amount").cast("decimal(18,4)").alias("amount")
+    out = spans.summed(joined.select(at["start"].alias("window_start"), at["end"].alias("window_end"), "tier", "category", amount), "window_end", "amount", 2 * spans.length(orders, within))
+    total = F.col("amount").cast("decimal(28,4)")
+    mean = F.round(total.cast("decimal(28,10)") / F.col("items"), 4).cast("double")
+    return out.select("window_start", "window_end", "tier", "category", "items", total.cast("double").alias("total"), mean.alias("average"))
 
 
 def drop_repeats(rows: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:

@@ -79,6 +79,32 @@ def test_state_goes_once_the_watermark_has_passed(spark, tmp_path):
     assert 1 <= packs.count() < 6 and first >= (1_600_000_000 + 200 * 86_400) * 1000
 
 
+def test_windows_keep_packs_and_come_out_once(spark, tmp_path, held):
+    """Against a batch: windows by tier and category, nulls and all, up to what the watermark has passed; state holds packs, not rows, and
+    a late row opens no window again."""
+    tables = {
+        "orders": spark.range(3000).selectExpr("id AS n", "id AS order_id", "id % 40 AS order_customer_id", f"{AT.format('id')} AS order_ts"),
+        "customers": spark.range(3000).selectExpr("id AS n", "id AS customer_id", "if(id % 4 = 0, null, concat('t', id % 3)) AS tier", f"{AT.format('id')} AS customer_ts"),
+        "items": spark.range(3000).selectExpr("id AS n", "id AS item_order_id", "id % 7 AS item_product_id", "if(id % 5 = 0, null, id / 3) AS amount", f"{AT.format('id')} AS item_ts"),
+        "products": spark.range(3000).selectExpr("id AS n", "id AS product_id", "if(id = 3, null, concat('c', id % 2)) AS category", f"{AT.format('id')} AS product_ts"),
+    }
+    for name, df in tables.items():
+        late = df.filter("n = 6") if name == "items" else df.limit(0)  # of a window that has come out by then
+        for part in (df.filter("n < 1000"), df.filter("n BETWEEN 1000 AND 1999"), df.filter("n >= 2000").unionByName(late)):
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+    o, c, i, p = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}").drop("n") for name, df in tables.items()]
+    got = pipeline.collected(stateful.tier_windows(o, c, i, p, "1 second", "100 seconds", "10 seconds", groups=4), f"{tmp_path}/out").drop("_batch")
+    o, c, i, p = [df.drop("n") for df in tables.values()]
+    near = lambda a, b: F.expr(f"{a} BETWEEN {b} - INTERVAL 100 SECONDS AND {b} + INTERVAL 100 SECONDS")
+    joined = i.join(o, F.expr("item_order_id = order_id") & near("item_ts", "order_ts")).join(c, F.expr("order_customer_id = customer_id") & near("customer_ts", "order_ts")).join(p, F.expr("item_product_id = product_id") & near("product_ts", "item_ts"))
+    amount = F.col("amount").cast("decimal(18,4)")
+    want = joined.groupBy(F.window("item_ts", "10 seconds").alias("w"), "tier", "category").agg(F.count("*").alias("items"), F.sum(amount).cast("double").alias("total"))
+    want = want.filter(F.col("w.end") <= F.expr(AT.format("2999 - 1 - 200"))).selectExpr("w.start AS window_start", "w.end AS window_end", "tier", "category", "items", "total")
+    columns = want.columns
+    assert plain(got, columns) == plain(want, columns) and got.count() > 40
+    assert 0 < max(held()) < 500
+
+
 def test_memory_beside_the_heap_is_bounded(spark):
     """Arrow batches end by bytes, and RocksDB stores share a bound; before, a batch took 64 MB and stores of joins by Spark none."""
     conf = "spark.sql.streaming.stateStore.rocksdb"
