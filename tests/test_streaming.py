@@ -360,3 +360,13 @@ def test_messages_of_the_metrics_run_lie_in_as_many_files_as_splits(spark, tmp_p
     splits = queries.feeds.feed(spark, SF, "ORDERS").rdd.getNumPartitions()
     assert splits > 3 and len(list((tmp_path / "run" / "in").glob("*.json"))) >= splits
     assert got == {"rows": spark.read.parquet(f"{SF}/orders.parquet").count(), "batches": 3}
+
+
+def test_messages_of_large_feeds_are_packed(spark, tmp_path):
+    """Feeds' messages lie on disk packed, in as many files as a micro-batch can read at once."""
+    feed = queries.feeds.feed(spark, SF, "ORDERS")
+    each = queries._sent(feed, f"file://{tmp_path}/in", 2)
+    files = list((tmp_path / "in").glob("part-*"))
+    assert len(files) == 2 * each and all(f.name.endswith(".json.gz") for f in files)
+    assert sum(f.stat().st_size for f in files) < feed.selectExpr("sum(length(value))").first()[0] / 4
+    assert spark.read.schema(envelope.FEED).json(f"{tmp_path}/in").exceptAll(feed).isEmpty()
