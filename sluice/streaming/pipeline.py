@@ -109,12 +109,14 @@ class Pipeline:
     def batch(self, messages: DataFrame, batch_id: int) -> None:
         """Every table's write is a job of its own, and they run side by side. Tables without events in the batch are left alone."""
         stream = stream_of(messages)
-        decoded = decode(messages).persist()
+        # the image stays, not what it was taken from
+        decoded = decode(messages).drop("before", "after", "schema_name", "operation").persist()
         found = decoded.groupBy("table_name").agg(F.count("*").alias("n")).filter(F.col("table_name").isin(*KEYS)).collect()
         here = sorted(r["table_name"] for r in found)  # five at most
         every = {t: rows(decoded, t) for t in here}
-        latest = {t: latest_by_key(df, [KEYS[t]]) for t, df in every.items()}
         known = self.mapping()
+        # promoted columns are read before, so images do not go along through the sort and shuffle to the latest rows
+        latest = {t: latest_by_key(evolution.with_promoted(df, new_columns(t, known[t])).drop("_cdc_image"), [KEYS[t]]) for t, df in every.items()}
         promoted = {t: [m.source for m in columns if m not in mapping(t)] for t, columns in known.items()}
         unknown = evolution.unknown(decoded, promoted).persist()
         if "ORDERS" in here:
@@ -153,8 +155,6 @@ class Pipeline:
 
     def target(self, table: str, latest: DataFrame, columns: list[Mapped], batch_id: int, stream: str, failures: dict[str, str]) -> None:
         own = xml.without_xml(latest, self.settings.items) if table == "ORDERS" else latest
-        declared = {m.source for m in mapping(table)}
-        own = evolution.with_promoted(own, [m for m in columns if m.source not in declared])
         # appended tables have the declared columns; in others the sequence number tells events of one time apart
         name = TARGETS[table]
         out = to_target(own, table, columns, sequence=MODES[name] == "upsert")
@@ -302,6 +302,12 @@ class Pipeline:
             self.tables.write("cdc_metrics", aligned(df.select("*", *ends), T.StructType.fromDDL(METRICS)), 0, f"metrics-{int(self._reported * 1000)}")
 
 
+def new_columns(table: str, columns: list[Mapped]) -> list[Mapped]:
+    """Those of a table's columns that are not declared."""
+    declared = {m.source for m in mapping(table)}
+    return [m for m in columns if m.source not in declared]
+
+
 def latest_versions(rows: DataFrame) -> DataFrame:
     """(order_id, customer_id, order_version, customer_version) of all orders, of those that left too, so their versions go on."""
     best = F.max_by(F.struct("customer_id", *VERSIONS), F.struct(*VERSIONS))

@@ -362,6 +362,21 @@ def test_messages_of_the_metrics_run_lie_in_as_many_files_as_splits(spark, tmp_p
     assert got == {"rows": spark.read.parquet(f"{SF}/orders.parquet").count(), "batches": 3}
 
 
+def test_batches_carry_images_no_further_than_they_are_read(spark, tmp_path, monkeypatch):
+    """A batch keeps no row images beside the one that counts, and the sort for the latest rows has none; a promoted column is read all the same."""
+    seen, latest = [], pipeline.latest_by_key
+    monkeypatch.setattr(pipeline, "latest_by_key", lambda df, keys: (seen.append(df.columns), latest(df, keys))[1])
+    kept, unknown = [], pipeline.evolution.unknown
+    monkeypatch.setattr(pipeline.evolution, "unknown", lambda decoded, *a: (kept.append(decoded.columns), unknown(decoded, *a))[1])
+    run, go = runner(spark, tmp_path, pipeline.Settings(enrich=False))
+    go(message("CUSTOMERS", CUSTOMER | {"POINTS": 5}))
+    run.promote("CUSTOMERS")
+    go(message("CUSTOMERS", CUSTOMER | {"POINTS": 6}, op="u", scn="2"))
+    assert seen and not any("_cdc_image" in columns for columns in seen) and "POINTS" in seen[-1]
+    assert kept and not any({"before", "after"} & set(columns) for columns in kept)
+    assert 6 in [r["points"] for r in spark.read.option("mergeSchema", True).parquet(*run.tables.paths("cdc_customers")).collect()]
+
+
 def test_messages_of_large_feeds_are_packed(spark, tmp_path):
     """Feeds' messages lie on disk packed, in as many files as a micro-batch can read at once."""
     feed = queries.feeds.feed(spark, SF, "ORDERS")
